@@ -52,7 +52,7 @@ def minutes_to_time(c: ColumnOrName) -> Column:
 # --------------------------------------------------------------------------
 def parse_date(c: ColumnOrName, fmt: str) -> Column:
     """Exact-format date parse; null when it does not match or is out of range."""
-    d = F.try_to_date(_c(c), F.lit(fmt))
+    d = F.try_to_date(_c(c), fmt)
     in_range = d.between(F.lit(K.MIN_DATE).cast("date"), F.lit(K.MAX_DATE).cast("date"))
     return F.when(in_range, d)
 

@@ -79,9 +79,9 @@ def apply_limits(logs: DataFrame, limits=DEFAULT_LIMITS) -> DataFrame:
         out = out.join(thr, ["ip_address", wcol], "left")
         hit = (F.col("rejected_by").isNull() & lim.applies() & F.col(f"_t{i}_ts").isNotNull()
                & _after(f"_t{i}_ts", f"_t{i}_id"))
-        out = (out.withColumn("rejected_by", F.when(hit, F.lit(lim.action))
-                              .otherwise(F.col("rejected_by")))
-               .withColumn(f"_ws{i}", F.when(hit, F.col(wcol)))
+        out = (out.withColumn(f"_ws{i}", F.when(hit, F.col(wcol)))
+               .withColumn("rejected_by", F.when(F.col(f"_ws{i}").isNotNull(), F.lit(lim.action))
+                           .otherwise(F.col("rejected_by")))
                .drop(wcol, f"_t{i}_ts", f"_t{i}_id"))
     # Window start of the limit that refused the event.
     starts = [f"_ws{i}" for i in range(len(limits))]

@@ -35,7 +35,8 @@ def read_events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    # A file source watches a folder; the glob keeps it to the events table.
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ SELECT ip_address, date_trunc('hour', created_at) AS window_start,
        count(CASE WHEN event_type = 'model_trained' THEN 1 END) AS trainings,
        count(CASE WHEN event_type = 'prediction_made' THEN 1 END) AS predictions,
        greatest(count(*) - {STREAM_REQUEST_LIMIT}, 0) AS violations
-FROM security_logs GROUP BY ALL
+FROM security_logs GROUP BY ip_address, date_trunc('hour', created_at)
 HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR
        <= (SELECT max(created_at) FROM security_logs) - INTERVAL 10 MINUTE""", "security_logs"))
 def q_stream_usage_by_window(spark, sf):
