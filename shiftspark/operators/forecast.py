@@ -21,11 +21,6 @@ HIST_END = "hist_end"
 REQUEST_COLS = [K.ID, "target_date", "window_size"]
 
 
-def _target(c: str = "target_date") -> Column:
-    """Request dates may come as DATE or as ``dd/mm/YYYY`` text."""
-    return F.col(c)
-
-
 def normalise_requests(requests: DataFrame) -> DataFrame:
     """Accept text target dates (``d/M/yyyy``) as well as DATE columns."""
     dtype = dict(requests.dtypes)["target_date"]

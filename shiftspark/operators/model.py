@@ -29,7 +29,8 @@ class ForestParams:
     max_bins: int = 366
     max_memory_mb: int = 1024
     # Fixed partitioning before the fit makes a seed reproduce the same forest.
-    fit_partitions: int = 8
+    # None = the session's shuffle partitions (sized by the cluster for the data).
+    fit_partitions: int | None = None
     checkpoint_interval: int = 10
 
 
@@ -47,8 +48,9 @@ def _forest(label: str, prediction: str, p: ForestParams) -> RandomForestRegress
 def prepare_training(train: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
     """Deterministic layout: hash on (id, date) -- a hot id still spreads -- then sort."""
     cols = [*K.FEATURES, K.START, K.END]
+    n = p.fit_partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (train.select(K.ID, K.DATE, *cols)
-            .repartition(p.fit_partitions, K.ID, K.DATE)
+            .repartition(n, K.ID, K.DATE)
             .sortWithinPartitions(K.ID, K.DATE, K.START, K.END)
             .select(*cols))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -67,12 +66,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="shiftspark-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code that must touch the local filesystem."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def is_local_fs(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:") or os.path.isabs(path)

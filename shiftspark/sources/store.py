@@ -70,3 +70,24 @@ def dataset_sizes(spark: SparkSession, root: str) -> DataFrame:
 def list_datasets(spark: SparkSession, root: str) -> DataFrame:
     """The data-set ids present in the store."""
     return dataset_sizes(spark, root).select(DATASET)
+
+
+AUDIT_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("session_id", T.StringType()),
+    T.StructField("ip_address", T.StringType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("event_data", T.StringType()),
+    T.StructField("severity", T.StringType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+])
+
+
+def append_audit_events(events: DataFrame, path: str) -> None:
+    """Append a batch of audit rows (any number) to the log table."""
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields]
+    events.select(*cols).write.mode("append").parquet(path)
+
+
+def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT_SCHEMA).parquet(path)

@@ -108,3 +108,18 @@ WHERE l.created_at >= s.created_at AND l.created_at <= s.expires_at
 def q_stream_ip_changes(spark, sf):
     sessions = Fixtures(spark, sf).sessions()
     return run_to_table(quotas.ip_changes(log_stream(spark, sf), sessions), "ip-changes")
+
+
+def _stream_bans_sql() -> str:
+    from shiftspark.plans.catalog import REGISTRY
+    return REGISTRY["bans"].sql
+
+
+@register("stream_bans", _stream_bans_sql())
+def q_stream_bans(spark, sf):
+    """Stateful per-ip decisions on the stream; summarised like batch ``bans``."""
+    from shiftspark.plans.catalog import FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS, FIXTURE_LIMITS
+    from shiftspark.streaming import bans as SB
+    decisions = run_to_table(SB.ban_decisions(log_stream(spark, sf), FIXTURE_LIMITS,
+                                              FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS), "bans")
+    return SB.bans_from_decisions(decisions, FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS)
