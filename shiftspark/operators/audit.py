@@ -57,6 +57,11 @@ def lookup_sessions(sessions: DataFrame, keys: DataFrame) -> DataFrame:
     return sessions.join(keys.select("session_id"), "session_id", "left_semi")
 
 
+def first_session(sessions: DataFrame, session_id: str) -> DataFrame:
+    """One-or-none lookup of a single session (a pushed-down filter + limit 1)."""
+    return sessions.where(F.col("session_id") == session_id).limit(1)
+
+
 def ip_statistics(sessions: DataFrame, quotas: DataFrame, now: Column) -> DataFrame:
     """V3 = A4 + A5 + J4 + A6.  Sessions are aggregated per ip before the join,
     so the join sees one row per ip on both sides."""

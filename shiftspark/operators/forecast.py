@@ -54,9 +54,10 @@ def request_rejects(requests: DataFrame, index: DataFrame) -> DataFrame:
 
 def forecast_frame(requests: DataFrame, history: DataFrame, index: DataFrame) -> DataFrame:
     """J1 + J2 + J3: calendar rows of known ids with their recorded times, if any."""
-    cal = calendar(requests).join(index, K.ID, "inner")
-    keys = cal.select(K.ID, K.DATE)
-    hist = history.join(keys, [K.ID, K.DATE], "left_semi")
+    days = calendar(requests)
+    cal = days.join(index, K.ID, "inner")
+    # Keys straight from the calendar: unknown ids have no stored rows to keep.
+    hist = history.join(days.select(K.ID, K.DATE), [K.ID, K.DATE], "left_semi")
     if "row_seq" in hist.columns:
         hist = last_record(hist.select(K.ID, K.DATE, K.START, K.END, "row_seq"))
     hist = hist.select(K.ID, K.DATE, F.col(K.START).alias(HIST_START), F.col(K.END).alias(HIST_END))

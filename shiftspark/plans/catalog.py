@@ -277,7 +277,7 @@ def q_last_access_per_session(spark, sf):
 
 
 @register("orphan_datasets", W("""
-SELECT session_id, count(*) AS files, sum(length) AS bytes,
+SELECT session_id, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes,
        sum(length) / 1048576.0 AS size_mb
 FROM file_inventory WHERE session_id NOT IN (SELECT session_id FROM sessions)
 GROUP BY session_id""", "file_inventory", "sessions"))

@@ -57,7 +57,10 @@ def _decider(limits: tuple[RateLimit, ...], after: int, hours: int):
     n = len(limits)
 
     def decide(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["created_at", "id"])
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        batch = pd.concat(frames, ignore_index=True).sort_values(["created_at", "id"])
         if state.exists:
             st = list(state.get)
         else:

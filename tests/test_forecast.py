@@ -92,3 +92,9 @@ def test_beats_global_mean_on_weekday_pattern(spark):
     err = scored.agg(F.avg(F.abs(F.col("pred_start") - F.col(K.START))),
                      F.avg(F.abs(F.lit(mean) - F.col(K.START)))).first()
     assert err[0] < err[1] / 5
+
+
+def test_single_day(spark, trained):
+    fx, sched, index, fitted = trained
+    out = FC.forecast_single_day(fx.prediction_requests(), sched, fitted, index)
+    assert out.count() == fx.prediction_requests().join(index, "id").count()
