@@ -129,6 +129,20 @@ def ts_literal(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def wall_clock_to_instant(c: ColumnOrName) -> Column:
+    """timestamp_ntz -> timestamp read as UTC, whatever the session time zone."""
+    micros = F.timestamp_diff("MICROSECOND", ts_literal(_EPOCH), _c(c))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_wall_clock(c: ColumnOrName) -> Column:
+    """timestamp -> its UTC wall clock as timestamp_ntz, whatever the session time zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(c)), ts_literal(_EPOCH))
+
+
 def minus_hours(c: ColumnOrName, hours: int) -> Column:
     return _c(c) - F.make_dt_interval(hours=F.lit(hours))
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark import constants as K
+from shiftspark.functions.timeparts import instant_to_wall_clock, wall_clock_to_instant
 from shiftspark.operators import quotas
 from shiftspark.plans.catalog import register
 from shiftspark.plans.oracle import with_fixtures as W
@@ -47,10 +48,11 @@ def usage_stream(logs: DataFrame, window: str = "1 hour", request_limit: int | N
                  watermark: str = WATERMARK) -> DataFrame:
     """T1 (+T2 when ``request_limit`` is given): per-window counts, append mode.
 
-    The event time is cast to a zoned timestamp for the watermark (session
-    zone UTC), and window bounds are cast back to wall-clock timestamps.
+    The watermark needs a zoned timestamp: the wall-clock event time is read
+    as UTC (independent of the session zone) and window bounds are turned back
+    into wall-clock timestamps, so windows align exactly as in batch.
     """
-    ts = F.col("created_at").cast("timestamp")
+    ts = wall_clock_to_instant("created_at")
     w = F.window("event_time", window)
     agg = (logs.withColumn("event_time", ts)
            .withWatermark("event_time", watermark)
@@ -59,8 +61,8 @@ def usage_stream(logs: DataFrame, window: str = "1 hour", request_limit: int | N
                 F.count_if(F.col("event_type") == K.EVENT_MODEL_TRAINED).alias("trainings"),
                 F.count_if(F.col("event_type") == K.EVENT_PREDICTION_MADE).alias("predictions")))
     out = agg.select("ip_address",
-                     F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                     instant_to_wall_clock("w.start").alias("window_start"),
+                     instant_to_wall_clock("w.end").alias("window_end"),
                      "requests", "trainings", "predictions")
     if request_limit is not None:
         out = out.withColumn("violations",

@@ -25,3 +25,19 @@ def test_stream_static_ip_changes_equal_batch(spark):
     batch = Q.ip_changes(fx.security_logs(), fx.sessions())
     stream = S.run_to_table(Q.ip_changes(S.log_stream(spark, SF_SMALL), fx.sessions()), "t-ipc")
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
+
+
+def test_stream_windows_do_not_depend_on_session_zone(spark):
+    logs = Fixtures(spark, SF_SMALL).security_logs()
+    key = ["ip_address", "window_start", "window_end", "requests"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        stream = S.run_to_table(S.usage_stream(S.log_stream(spark, SF_SMALL), "1 day"), "t-tz")
+        got = sorted(tuple(r) for r in stream.select(*key).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    batch = Q.usage_by_window(logs, "1 day")
+    closed = {tuple(r) for r in batch.select(*key).collect()}
+    assert got and set(got) <= closed
+    assert all(r[1].hour == 0 for r in got)
