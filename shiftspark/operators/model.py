@@ -46,12 +46,19 @@ def _forest(label: str, prediction: str, p: ForestParams) -> RandomForestRegress
 
 
 def prepare_training(train: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
-    """Deterministic layout: hash on (id, date) -- a hot id still spreads -- then sort."""
+    """Deterministic, balanced layout for the fit.
+
+    Rows are hashed on everything that tells them apart (with the file-order
+    ``row_seq`` when present), so neither a hot id nor a hot day lands in one
+    task, then sorted inside each partition: same data, same partition count
+    and same seed give the same forest.
+    """
     cols = [*K.FEATURES, K.START, K.END]
+    keys = [K.ID, K.DATE, K.START, K.END] + (["row_seq"] if "row_seq" in train.columns else [])
     n = p.fit_partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (train.select(K.ID, K.DATE, *cols)
-            .repartition(n, K.ID, K.DATE)
-            .sortWithinPartitions(K.ID, K.DATE, K.START, K.END)
+    return (train.select(*dict.fromkeys(keys + cols))
+            .repartition(n, *keys)
+            .sortWithinPartitions(*keys)
             .select(*cols))
 
 
