@@ -96,8 +96,55 @@ def rate_rejects(logs: DataFrame, limits=DEFAULT_LIMITS) -> DataFrame:
                     F.col("rejected_by").alias("action"), "window_start"))
 
 
-def usage_by_window(logs: DataFrame, window: str = "1 hour") -> DataFrame:
-    """R2: requests, trainings and predictions per ip and tumbling window."""
+# A training is logged as JSON and again as "entities=N, data_points=M" text.
+_KV_TRAINING = r"^entities=([0-9]+), data_points=([0-9]+)$"
+
+
+def training_counts(logs: DataFrame) -> DataFrame:
+    """``model_trained`` rows with their counts read from either encoding."""
+    data = F.col("event_data")
+    kv = data.rlike(_KV_TRAINING)
+    ent = F.when(kv, F.regexp_extract(data, _KV_TRAINING, 1)).otherwise(
+        F.get_json_object(data, "$.entity_count")).try_cast("long")
+    pts = F.when(kv, F.regexp_extract(data, _KV_TRAINING, 2)).otherwise(
+        F.get_json_object(data, "$.data_row_count")).try_cast("long")
+    return (logs.where(F.col("event_type") == K.EVENT_MODEL_TRAINED)
+            .select("id", "session_id", "created_at", kv.alias("is_text"),
+                    ent.alias("entities"), pts.alias("data_points")))
+
+
+def without_duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
+    """Q17: drop the JSON row of a training whose text twin (same session and
+    counts) follows within ``within_seconds``.
+
+    The twin is found by an equi-join on (session, counts, time bucket), the
+    JSON row probing its own bucket and the next one, so a join group only
+    holds the rows of one session in one short bucket.
+    """
+    t = training_counts(logs).where(F.col("entities").isNotNull() & F.col("data_points").isNotNull())
+    secs = F.timestamp_diff("SECOND", T.ts_literal("1970-01-01 00:00:00"), F.col("created_at"))
+    bucket = F.floor(secs / within_seconds)
+    keys = ["session_id", "entities", "data_points", "_b"]
+    text = t.where("is_text").select("session_id", "entities", "data_points",
+                                     bucket.alias("_b"), F.col("created_at").alias("_twin_at"))
+    js = (t.where(~F.col("is_text"))
+          .select("id", "session_id", "entities", "data_points", "created_at",
+                  F.explode(F.array(bucket, bucket + 1)).alias("_b")))
+    twin = (js.join(text, keys, "inner")
+            .where((F.col("_twin_at") >= F.col("created_at"))
+                   & (F.col("_twin_at") <= F.col("created_at") + F.make_dt_interval(secs=F.lit(within_seconds))))
+            .select("id"))
+    return logs.join(twin, "id", "left_anti")
+
+
+def usage_by_window(logs: DataFrame, window: str = "1 hour",
+                    dedup_trainings: bool = True) -> DataFrame:
+    """R2: requests, trainings and predictions per ip and tumbling window.
+
+    A training logged in both encodings is one request and one training.
+    """
+    if dedup_trainings:
+        logs = without_duplicate_trainings(logs)
     w = F.window("created_at", window)
     return (logs.groupBy("ip_address", w.start.alias("window_start"), w.end.alias("window_end"))
             .agg(F.count("*").alias("requests"),

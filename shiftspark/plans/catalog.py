@@ -373,12 +373,28 @@ def q_ip_changes(spark, sf):
 
 
 @register("usage_by_window", W("""
+trained AS (
+  SELECT id, session_id, created_at,
+         regexp_full_match(event_data, 'entities=[0-9]+, data_points=[0-9]+') AS is_text,
+         TRY_CAST(CASE WHEN regexp_full_match(event_data, 'entities=[0-9]+, data_points=[0-9]+')
+                  THEN regexp_extract(event_data, 'entities=([0-9]+)', 1)
+                  ELSE json_extract_string(event_data, '$.entity_count') END AS BIGINT) AS entities,
+         TRY_CAST(CASE WHEN regexp_full_match(event_data, 'entities=[0-9]+, data_points=[0-9]+')
+                  THEN regexp_extract(event_data, 'data_points=([0-9]+)', 1)
+                  ELSE json_extract_string(event_data, '$.data_row_count') END AS BIGINT) AS data_points
+  FROM security_logs WHERE event_type = 'model_trained'),
+dup AS (
+  SELECT j.id FROM trained j JOIN trained t
+    ON j.session_id = t.session_id AND j.entities = t.entities AND j.data_points = t.data_points
+   AND t.is_text AND NOT j.is_text
+   AND t.created_at >= j.created_at AND t.created_at <= j.created_at + INTERVAL 60 SECOND),
+logs AS (SELECT * FROM security_logs WHERE id NOT IN (SELECT id FROM dup))
 SELECT ip_address, date_trunc('hour', created_at) AS window_start,
        date_trunc('hour', created_at) + INTERVAL 1 HOUR AS window_end,
        count(*) AS requests,
        count(CASE WHEN event_type = 'model_trained' THEN 1 END) AS trainings,
        count(CASE WHEN event_type = 'prediction_made' THEN 1 END) AS predictions
-FROM security_logs GROUP BY ALL""", "security_logs"))
+FROM logs GROUP BY ip_address, date_trunc('hour', created_at)""", "security_logs"))
 def q_usage_by_window(spark, sf):
     return quotas.usage_by_window(Fixtures(spark, sf).security_logs(), "1 hour")
 

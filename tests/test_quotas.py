@@ -124,3 +124,18 @@ def test_unban_and_defaults(spark):
     full = Q.default_quotas(q, fx.sessions(), fx.now())
     assert full.count() == q.count() + fx.sessions().select("ip_address").distinct() \
         .join(q, "ip_address", "left_anti").count()
+
+
+def test_training_logged_twice_counts_once(spark):
+    t = dt.datetime(2024, 1, 1, 10, 0, 59)
+    rows = [(1, "s1", "ip", "model_trained", '{"entity_count": 3, "data_row_count": 40}', t),
+            (2, "s1", "ip", "model_trained", "entities=3, data_points=40", t + dt.timedelta(seconds=2)),
+            (3, "s1", "ip", "model_trained", '{"entity_count": 3, "data_row_count": 41}', t),
+            (4, "s2", "ip", "model_trained", "entities=5, data_points=9", t),
+            (5, "s1", "ip", "prediction_made", "entity_id=1, date=01/01/2024", t)]
+    logs = spark.createDataFrame(rows, "id long, session_id string, ip_address string, event_type string, "
+                                       "event_data string, created_at timestamp_ntz")
+    kept = sorted(r.id for r in Q.without_duplicate_trainings(logs).collect())
+    assert kept == [2, 3, 4, 5]
+    u = Q.usage_by_window(logs, "1 day").first()
+    assert (u.requests, u.trainings, u.predictions) == (4, 3, 1)
