@@ -63,35 +63,75 @@ def nth_per_group(df: DataFrame, keys: list[str], n: int, prefix: str) -> DataFr
                     F.col("id").alias(f"{prefix}_id")))
 
 
-def apply_limits(logs: DataFrame, limits=DEFAULT_LIMITS) -> DataFrame:
+def _materialize(df: DataFrame, materialize: bool) -> DataFrame:
+    """Cut lineage of a small intermediate table with a reliable checkpoint."""
+    if not materialize:
+        return df
+    from shiftspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _with_windows(logs: DataFrame, limits) -> DataFrame:
+    # One window() per projection: Spark refuses several in one.
+    for i, lim in enumerate(limits):
+        logs = logs.withColumn(f"_w{i}", F.window("created_at", lim.window).start)
+    return logs
+
+
+def _hit(i: int, lim: RateLimit) -> Column:
+    """The event is at or past stage i's threshold (given the joined threshold)."""
+    return lim.applies() & F.col(f"_t{i}_ts").isNotNull() & _after(f"_t{i}_ts", f"_t{i}_id")
+
+
+def stage_thresholds(logs: DataFrame, limits=DEFAULT_LIMITS,
+                     materialize: bool = True) -> list[DataFrame]:
+    """Per limit, the ``limit``-th event of each over-limit (ip, window) group,
+    counted among the events the earlier limits let through.
+
+    Each table has one row per over-limit group.  Materialised, each stage is
+    one scan of the narrow log joined to the earlier (small) tables, so the
+    whole check costs (stages + 1) scans, not a lineage that doubles per stage.
+    """
+    base = _with_windows(logs.select("id", "ip_address", "event_type", "created_at"), limits)
+    thresholds: list[DataFrame] = []
+    for i, lim in enumerate(limits):
+        cur = base
+        passed = F.lit(True)
+        for j, thr in enumerate(thresholds):
+            cur = cur.join(thr, ["ip_address", f"_w{j}"], "left")
+            passed = passed & ~_hit(j, limits[j])
+        live = cur.where(passed & lim.applies())
+        thresholds.append(_materialize(
+            nth_per_group(live, ["ip_address", f"_w{i}"], lim.limit, f"_t{i}"), materialize))
+    return thresholds
+
+
+def apply_limits(logs: DataFrame, limits=DEFAULT_LIMITS, materialize: bool = True) -> DataFrame:
     """Every event with ``rejected_by`` = the first limit refusing it, or null.
 
     Limits are checked in order; an event refused by one is not seen by the
     later ones (its request stopped there), but it did count for the earlier
     limits it passed.
     """
-    out = logs.withColumn("rejected_by", F.lit(None).cast("string"))
-    for i, lim in enumerate(limits):
-        wcol = f"_w{i}"
-        out = out.withColumn(wcol, F.window("created_at", lim.window).start)
-        live = out.where(F.col("rejected_by").isNull() & lim.applies())
-        thr = nth_per_group(live, ["ip_address", wcol], lim.limit, f"_t{i}")
-        out = out.join(thr, ["ip_address", wcol], "left")
-        hit = (F.col("rejected_by").isNull() & lim.applies() & F.col(f"_t{i}_ts").isNotNull()
-               & _after(f"_t{i}_ts", f"_t{i}_id"))
-        out = (out.withColumn(f"_ws{i}", F.when(hit, F.col(wcol)))
-               .withColumn("rejected_by", F.when(F.col(f"_ws{i}").isNotNull(), F.lit(lim.action))
-                           .otherwise(F.col("rejected_by")))
-               .drop(wcol, f"_t{i}_ts", f"_t{i}_id"))
-    # Window start of the limit that refused the event.
-    starts = [f"_ws{i}" for i in range(len(limits))]
-    out = out.withColumn("window_start", F.coalesce(*starts) if starts else F.lit(None))
-    return out.drop(*starts)
-
-
-def rate_rejects(logs: DataFrame, limits=DEFAULT_LIMITS) -> DataFrame:
+    thresholds = stage_thresholds(logs, limits, materialize)
+    out = _with_windows(logs, limits)
+    for i, thr in enumerate(thresholds):
+        out = out.join(thr, ["ip_address", f"_w{i}"], "left")
+    hits = [_hit(i, lim) for i, lim in enumerate(limits)]
+    rejected_by = F.coalesce(*[F.when(h, F.lit(lim.action)) for h, lim in zip(hits, limits)],
+                             F.lit(None).cast("string"))
+    window_start = F.coalesce(*[F.when(h, F.col(f"_w{i}")) for i, h in enumerate(hits)],
+                              F.lit(None).cast("timestamp_ntz"))
+    helper = [c for i in range(len(limits)) for c in (f"_w{i}", f"_t{i}_ts", f"_t{i}_id")]
+    return (out.withColumn("rejected_by", rejected_by)
+            .withColumn("window_start", window_start)
+            .drop(*helper))
+
+
+def rate_rejects(logs: DataFrame, limits=DEFAULT_LIMITS, materialize: bool = True) -> DataFrame:
     """The refused events with the limit that refused them."""
-    return (apply_limits(logs, limits).where(F.col("rejected_by").isNotNull())
+    return (apply_limits(logs, limits, materialize).where(F.col("rejected_by").isNotNull())
             .select("id", "ip_address", "event_type", "created_at",
                     F.col("rejected_by").alias("action"), "window_start"))
 
@@ -154,7 +194,8 @@ def usage_by_window(logs: DataFrame, window: str = "1 hour",
 
 def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
          after: int = K.DEFAULT_QUOTAS["ban_after_violations"],
-         hours: int = K.DEFAULT_QUOTAS["ban_duration_hours"]) -> DataFrame:
+         hours: int = K.DEFAULT_QUOTAS["ban_duration_hours"],
+         materialize: bool = True) -> DataFrame:
     """R3, exact batch form.  Per ip: accepted, violations, refused while banned,
     and the ban (given once, at the ``after``-th violation, for ``hours``).
 
@@ -163,15 +204,15 @@ def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
     events refused during the ban (they are refused before any counting) and
     checks the limits again.  No loop, two passes.
     """
-    first = rate_rejects(logs, limits)
-    ban = (nth_per_group(first, ["ip_address"], after, "_b")
-           .select("ip_address", F.col("_b_ts").alias("banned_at"), "_b_id",
-                   T.plus_hours("_b_ts", hours).alias("banned_until")))
+    first = rate_rejects(logs, limits, materialize)
+    ban = _materialize(nth_per_group(first, ["ip_address"], after, "_b")
+                       .select("ip_address", F.col("_b_ts").alias("banned_at"), "_b_id",
+                               T.plus_hours("_b_ts", hours).alias("banned_until")), materialize)
     marked = logs.join(ban, "ip_address", "left")
     refused = (F.col("banned_at").isNotNull() & _after("banned_at", "_b_id")
                & (F.col("created_at") < F.col("banned_until")))
     kept = marked.where(~refused).drop("banned_at", "_b_id", "banned_until")
-    checked = apply_limits(kept, limits)
+    checked = apply_limits(kept, limits, materialize)
     per_ip_kept = checked.groupBy("ip_address").agg(
         F.count_if(F.col("rejected_by").isNull()).alias("accepted"),
         F.count_if(F.col("rejected_by").isNotNull()).alias("violations"))

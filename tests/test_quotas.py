@@ -111,11 +111,19 @@ def test_fixture_log_matches_simulation(spark):
 def test_group_limit_is_map_side(spark):
     """The per-window threshold uses Spark's partial per-group limit before the shuffle."""
     logs = Fixtures(spark, SF_SMALL).security_logs()
-    plan = Q.rate_rejects(logs, (Q.RateLimit("request", "1 day", 3),))._jdf.queryExecution() \
-        .executedPlan().toString()
+    thr = Q.stage_thresholds(logs, (Q.RateLimit("request", "1 day", 3),), materialize=False)[0]
+    plan = thr._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
+def test_lazy_and_materialized_agree(spark):
+    logs = Fixtures(spark, SF_SMALL).security_logs()
+    lims = (Q.RateLimit("request", "1 day", 3), Q.RateLimit("p", "1 hour", 1, ("prediction_made",)))
+    a = sorted(map(tuple, Q.bans(logs, lims, 4, 24, materialize=False).collect()))
+    b = sorted(map(tuple, Q.bans(logs, lims, 4, 24, materialize=True).collect()))
+    assert a == b
+
+
 def test_unban_and_defaults(spark):
     fx = Fixtures(spark, SF_SMALL)
     q = fx.ip_quotas()
