@@ -105,17 +105,19 @@ def system_statistics(sessions: DataFrame, quotas: DataFrame, logs: DataFrame,
                       now: Column) -> DataFrame:
     """V6: one row.  The session aggregate is the anchor; quota and log figures
     are scalar subqueries (no join at all)."""
-    banned = quotas.select(F.count_if(F.col("is_banned"))).scalar()
-    storage = quotas.select(F.coalesce(F.sum("storage_used_mb"), F.lit(0.0))).scalar()
+    # One pass over the quotas gives both figures.
+    q = quotas.select(F.struct(F.count_if(F.col("is_banned")).alias("banned"),
+                               F.coalesce(F.sum("storage_used_mb"), F.lit(0.0)).alias("mb"))).scalar()
     recent = logs.select(F.count_if(recent_events(logs, now))).scalar()
     return sessions.agg(
         F.count("*").alias("total_sessions"),
         F.count_if(is_active(now)).alias("active_sessions"),
         F.count_if(is_expired(now)).alias("expired_sessions"),
         F.count_distinct("ip_address").alias("unique_ips")).select(
+        "*", q.alias("_q"), recent.alias("security_events_24h")).select(
         "total_sessions", "active_sessions", "expired_sessions", "unique_ips",
-        banned.alias("banned_ips"), storage.alias("total_storage_mb"),
-        recent.alias("security_events_24h"))
+        F.col("_q.banned").alias("banned_ips"), F.col("_q.mb").alias("total_storage_mb"),
+        "security_events_24h")
 
 
 def live_sessions_per_ip(sessions: DataFrame) -> DataFrame:
@@ -164,17 +166,27 @@ def session_snapshot(sessions: DataFrame, at: Column) -> DataFrame:
 
 
 def lifecycle_events(before: DataFrame, after: DataFrame, at: Column) -> DataFrame:
-    """Created / deleted events from two snapshots (anti joins both ways)."""
+    """Created / deleted events from two snapshots, by one full outer join
+    on the session id (a session only in ``after`` was created, one only in
+    ``before`` was deleted)."""
     fmt = "yyyy-MM-dd HH:mm:ss"
-    created = after.join(before.select("session_id"), "session_id", "left_anti").select(
-        "session_id", "ip_address", F.lit(K.EVENT_SESSION_CREATED).alias("event_type"),
+    b = before.select("session_id", F.col("ip_address").alias("_b_ip"),
+                      F.col("created_at").alias("_b_created"), F.col("last_accessed").alias("_b_last"),
+                      F.lit(True).alias("_in_b"))
+    a = after.select("session_id", F.col("ip_address").alias("_a_ip"),
+                     F.col("expires_at").alias("_a_exp"), F.lit(True).alias("_in_a"))
+    j = b.join(a, "session_id", "full_outer").where(F.col("_in_b").isNull() | F.col("_in_a").isNull())
+    created = F.col("_in_b").isNull()
+    data = F.when(created, T.json_object(session_id=F.col("session_id"),
+                                         expires_at=F.date_format("_a_exp", fmt))).otherwise(
         T.json_object(session_id=F.col("session_id"),
-                      expires_at=F.date_format("expires_at", fmt)).alias("event_data"))
-    deleted = before.join(after.select("session_id"), "session_id", "left_anti").select(
-        "session_id", "ip_address", F.lit(K.EVENT_SESSION_DELETED).alias("event_type"),
-        T.json_object(session_id=F.col("session_id"),
-                      created_at=F.date_format("created_at", fmt),
-                      last_accessed=F.date_format("last_accessed", fmt)).alias("event_data"))
-    return (created.unionByName(deleted)
-            .withColumn("severity", F.lit(K.SEVERITY_INFO))
-            .withColumn("created_at", at))
+                      created_at=F.date_format("_b_created", fmt),
+                      last_accessed=F.date_format("_b_last", fmt)))
+    return j.select(
+        "session_id",
+        F.when(created, F.col("_a_ip")).otherwise(F.col("_b_ip")).alias("ip_address"),
+        F.when(created, F.lit(K.EVENT_SESSION_CREATED))
+         .otherwise(F.lit(K.EVENT_SESSION_DELETED)).alias("event_type"),
+        data.alias("event_data"),
+        F.lit(K.SEVERITY_INFO).alias("severity"),
+        at.alias("created_at"))

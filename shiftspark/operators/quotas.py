@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shiftspark import constants as K
 from shiftspark.functions import timeparts as T
-from shiftspark.operators.audit import currently_banned, live_sessions_per_ip
+from shiftspark.operators.audit import currently_banned
 
 
 @dataclass(frozen=True)
@@ -275,10 +275,11 @@ def quota_compliance(quotas: DataFrame, sessions: DataFrame, inventory: DataFram
                      now: Column, upload_mb: float = 0.0,
                      limits: dict = K.DEFAULT_QUOTAS) -> DataFrame:
     """A15 + A16 per ip: may it open a session, may it store ``upload_mb`` more?"""
-    live = live_sessions_per_ip(sessions)
-    stored = storage_per_ip(sessions, inventory).select("ip_address", "storage_mb")
-    q = (quotas.select("ip_address", "is_banned", "banned_until")
-         .join(live, "ip_address", "left").join(stored, "ip_address", "left"))
+    # One aggregate over sessions gives both the live-session count (A11) and
+    # the stored MB (J6): every session is one data set.
+    stored = storage_per_ip(sessions, inventory).select(
+        "ip_address", F.col("datasets").alias("models_count"), "storage_mb")
+    q = quotas.select("ip_address", "is_banned", "banned_until").join(stored, "ip_address", "left")
     banned = currently_banned(now)
     models = F.coalesce(F.col("models_count"), F.lit(0).cast("long"))
     used = F.coalesce(F.col("storage_mb"), F.lit(0.0))
