@@ -98,3 +98,21 @@ def test_single_day(spark, trained):
     fx, sched, index, fitted = trained
     out = FC.forecast_single_day(fx.prediction_requests(), sched, fitted, index)
     assert out.count() == fx.prediction_requests().join(index, "id").count()
+
+
+def test_ordered_output(spark, trained):
+    fx, sched, index, fitted = trained
+    rows = FC.ordered(FC.forecast_history(fx.prediction_requests(), sched, index)).collect()
+    keys = [(r.id, r.target_date, r.window_size, r.day) for r in rows]
+    assert keys == sorted(keys)
+
+
+def test_entity_history_pushdown(spark, tmp_dir):
+    from shiftspark.sources import store
+    sched = Fixtures(spark, SF_SMALL).schedule()
+    store.save_schedule(sched, tmp_dir + "/s")
+    one = sched.select("id").first().id
+    h = store.entity_history(store.read_schedule(spark, tmp_dir + "/s"), one)
+    assert h.count() == sched.where(F.col("id") == one).count()
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id," in plan
