@@ -35,10 +35,11 @@ def id_index(schedule: DataFrame, num_partitions: int | None = None,
     executor loss and later plans see its true size (for join planning).
     """
     spark = schedule.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = schedule.select(K.ID).where(F.col(K.ID).isNotNull()).distinct()
+    # Without an explicit count AQE may merge adjacent ranges, which keeps order.
+    ranged = ids.repartitionByRange(num_partitions, K.ID) if num_partitions else ids.repartitionByRange(K.ID)
     mid = F.monotonically_increasing_id()
-    tagged = (ids.repartitionByRange(n, K.ID).sortWithinPartitions(K.ID)
+    tagged = (ranged.sortWithinPartitions(K.ID)
               .select(K.ID, mid.alias("_mid"))
               .select(K.ID, F.shiftright("_mid", _POS_BITS).alias("_part"),
                       (F.col("_mid") - F.shiftleft(F.shiftright("_mid", _POS_BITS), _POS_BITS))

@@ -29,8 +29,10 @@ class ForestParams:
     max_bins: int = 366
     max_memory_mb: int = 1024
     # Fixed partitioning before the fit makes a seed reproduce the same forest.
-    # None = the session's shuffle partitions (sized by the cluster for the data).
+    # None = one partition per ``fit_rows_per_partition`` rows, at most the
+    # session's shuffle partitions: same data and settings, same layout.
     fit_partitions: int | None = None
+    fit_rows_per_partition: int = 500_000
     checkpoint_interval: int = 10
 
 
@@ -55,13 +57,20 @@ def prepare_training(train: DataFrame, p: ForestParams = ForestParams()) -> Data
     """
     cols = [*K.FEATURES, K.START, K.END]
     keys = [K.ID, K.DATE, K.START, K.END] + (["row_seq"] if "row_seq" in train.columns else [])
-    n = p.fit_partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = p.fit_partitions or fit_partition_count(train, p)
     return (train.select(*dict.fromkeys(keys + cols))
             .repartition(n, *keys)
             .sortWithinPartitions(*keys)
             .select(*cols))
 
 
+def fit_partition_count(train: DataFrame, p: ForestParams) -> int:
+    """Partitions for the fit from the row count (one pass; the fit makes many)."""
+    cap = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = train.count()
+    return max(1, min(cap, -(-rows // p.fit_rows_per_partition)))
+
+
 def fit_models(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
     """M3 + M4: one pipeline = feature vector + start forest + end forest."""
     from shiftspark.session import ensure_checkpoint_dir
