@@ -149,47 +149,63 @@ def training_counts(logs: DataFrame) -> DataFrame:
     pts = F.when(kv, F.regexp_extract(data, _KV_TRAINING, 2)).otherwise(
         F.get_json_object(data, "$.data_row_count")).try_cast("long")
     return (logs.where(F.col("event_type") == K.EVENT_MODEL_TRAINED)
-            .select("id", "session_id", "created_at", kv.alias("is_text"),
+            .select("id", "session_id", "ip_address", "created_at", kv.alias("is_text"),
                     ent.alias("entities"), pts.alias("data_points")))
 
 
-def without_duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
-    """Q17: drop the JSON row of a training whose text twin (same session and
-    counts) follows within ``within_seconds``.
+def duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
+    """Q17: the JSON row of each training whose text twin (same session and
+    counts) follows within ``within_seconds``: ``(id, ip_address, created_at)``.
 
     The twin is found by an equi-join on (session, counts, time bucket), the
     JSON row probing its own bucket and the next one, so a join group only
     holds the rows of one session in one short bucket.
     """
-    t = training_counts(logs).where(F.col("entities").isNotNull() & F.col("data_points").isNotNull())
+    t = training_counts(logs.select("id", "session_id", "ip_address", "event_type",
+                                    "event_data", "created_at"))
+    t = t.where(F.col("entities").isNotNull() & F.col("data_points").isNotNull())
     secs = F.timestamp_diff("SECOND", T.ts_literal("1970-01-01 00:00:00"), F.col("created_at"))
     bucket = F.floor(secs / within_seconds)
     keys = ["session_id", "entities", "data_points", "_b"]
     text = t.where("is_text").select("session_id", "entities", "data_points",
                                      bucket.alias("_b"), F.col("created_at").alias("_twin_at"))
     js = (t.where(~F.col("is_text"))
-          .select("id", "session_id", "entities", "data_points", "created_at",
+          .select("id", "ip_address", "session_id", "entities", "data_points", "created_at",
                   F.explode(F.array(bucket, bucket + 1)).alias("_b")))
-    twin = (js.join(text, keys, "inner")
-            .where((F.col("_twin_at") >= F.col("created_at"))
-                   & (F.col("_twin_at") <= F.col("created_at") + F.make_dt_interval(secs=F.lit(within_seconds))))
-            .select("id"))
-    return logs.join(twin, "id", "left_anti")
+    near = ((F.col("_twin_at") >= F.col("created_at"))
+            & (F.col("_twin_at") <= F.col("created_at") + F.make_dt_interval(secs=F.lit(within_seconds))))
+    return (js.join(text, keys, "inner").where(near)
+            .select("id", "ip_address", "created_at").distinct())
+
+
+def without_duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
+    """The log without the duplicate JSON training rows."""
+    return logs.join(duplicate_trainings(logs, within_seconds).select("id"), "id", "left_anti")
 
 
 def usage_by_window(logs: DataFrame, window: str = "1 hour",
                     dedup_trainings: bool = True) -> DataFrame:
     """R2: requests, trainings and predictions per ip and tumbling window.
 
-    A training logged in both encodings is one request and one training.
+    Counted map-side first; a training logged in both encodings is then taken
+    off once, from a (small) count of duplicates per ip and window, so the log
+    itself is never joined or shuffled whole.
     """
-    if dedup_trainings:
-        logs = without_duplicate_trainings(logs)
     w = F.window("created_at", window)
-    return (logs.groupBy("ip_address", w.start.alias("window_start"), w.end.alias("window_end"))
-            .agg(F.count("*").alias("requests"),
-                 F.count_if(F.col("event_type") == K.EVENT_MODEL_TRAINED).alias("trainings"),
-                 F.count_if(F.col("event_type") == K.EVENT_PREDICTION_MADE).alias("predictions")))
+    keys = ["ip_address", "window_start", "window_end"]
+    usage = (logs.groupBy("ip_address", w.start.alias("window_start"), w.end.alias("window_end"))
+             .agg(F.count("*").alias("requests"),
+                  F.count_if(F.col("event_type") == K.EVENT_MODEL_TRAINED).alias("trainings"),
+                  F.count_if(F.col("event_type") == K.EVENT_PREDICTION_MADE).alias("predictions")))
+    if not dedup_trainings:
+        return usage
+    dups = (duplicate_trainings(logs)
+            .groupBy("ip_address", w.start.alias("window_start"), w.end.alias("window_end"))
+            .agg(F.count("*").alias("_dup")))
+    d = F.coalesce(F.col("_dup"), F.lit(0))
+    return (usage.join(dups, keys, "left")
+            .select(*keys, (F.col("requests") - d).alias("requests"),
+                    (F.col("trainings") - d).alias("trainings"), "predictions"))
 
 
 def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
