@@ -7,10 +7,12 @@ separator); everything else is a Spark scan + projection + filter.
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shiftspark import constants as K
 from shiftspark.functions import timeparts as T
@@ -52,22 +54,49 @@ def pick_separator(header: str, min_columns: int = len(K.SCHEDULE_COLUMNS)) -> s
     return K.CSV_SEPARATORS[-1]
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_raw_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All-text scan with cleaned header names and a file-order sequence."""
-    if sep is None:
-        header = header_line(spark, path)
-        if header is None:
-            raise InvalidCsvError("the file is empty")
-        sep = pick_separator(header)
-    raw = (spark.read.option("sep", sep).option("header", True)
-           .option("inferSchema", False).option("mode", "PERMISSIVE")
-           .option("enforceSchema", False).csv(path))
-    cleaned = [T.clean_header(c) for c in raw.columns]
+    """All-text scan with cleaned header names and a file-order sequence.
+
+    The schema is the header's own fields (all text) plus ``_corrupt_record``,
+    so rows whose field count differs from the header are kept and marked
+    rather than cut silently.
+    """
+    header = header_line(spark, path)
+    if header is None:
+        raise InvalidCsvError("the file is empty")
+    sep = sep or pick_separator(header)
+    names = next(csv.reader([header], delimiter=sep))
+    cleaned = [T.clean_header(c) for c in names]
     dup = {c for c in cleaned if cleaned.count(c) > 1}
     if dup:
         raise InvalidCsvError(f"header names collide after cleaning: {sorted(dup)}")
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(cleaned))]
+                        + [StructField(CORRUPT, StringType())])
+    raw = (spark.read.schema(schema).option("sep", sep).option("header", True)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+           .csv(path))
     # Rows of one file keep file order in the id; it orders "last record wins".
-    return raw.toDF(*cleaned).withColumn("row_seq", F.monotonically_increasing_id())
+    return (raw.toDF(*cleaned, CORRUPT)
+            .withColumn("row_seq", F.monotonically_increasing_id())
+            .withColumn("_fields_expected", F.lit(len(cleaned)))
+            .withColumn("_sep_re", F.lit(re.escape(sep))))
+
+
+def long_rows(raw: DataFrame) -> DataFrame:
+    """Rows with more fields than the header (a pandas reader refuses the file).
+
+    Fields are counted by splitting the raw line on the separator, so a
+    separator inside quotes counts too: an upper bound, exact for unquoted text.
+    """
+    fields = F.size(F.split(F.col(CORRUPT), F.col("_sep_re")))
+    # A row counts as malformed only for the columns the scan parses, and a
+    # scan may not need the corrupt-record column alone: require every field.
+    data_cols = raw.columns[:raw.columns.index(CORRUPT)]
+    parsed = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in data_cols])) >= 0
+    return raw.where(F.col(CORRUPT).isNotNull() & (fields > F.col("_fields_expected")) & parsed)
 
 
 def check_columns(raw: DataFrame, mapping: ColumnMapping) -> ColumnMapping:
@@ -115,6 +144,9 @@ def load_schedule_csv(spark: SparkSession, path: str, mapping: ColumnMapping = C
     if validate:
         if raw.isEmpty():
             raise InvalidCsvError("the file has a header but no rows")
+        n_long = long_rows(raw).count()
+        if n_long:
+            raise InvalidCsvError(f"{n_long} rows have more fields than the header")
         if out.isEmpty():
             raise InvalidCsvError("no valid row left after cleaning")
     return out

@@ -118,3 +118,20 @@ def test_store_round_trip_and_inventory(spark, tmp_dir):
     sizes = {r.dataset_id: r.bytes for r in store.dataset_sizes(spark, root).collect()}
     assert set(sizes) == {"ds_a", "ds_b"} and all(v > 0 for v in sizes.values())
     assert sorted(r.dataset_id for r in store.list_datasets(spark, root).collect()) == ["ds_a", "ds_b"]
+
+
+def test_rows_longer_than_header_fail_the_upload(spark, tmp_dir):
+    text = "ID;Date;Start Time;End Time\n1;2025-01-15;08:30;17:00\n2;2025-01-15;08:30;17:00;x\n"
+    path = write(tmp_dir, "up.csv", text)
+    assert C.long_rows(C.read_raw_csv(spark, path)).count() == 1
+    with pytest.raises(C.InvalidCsvError, match="1 rows have more fields"):
+        C.load_schedule_csv(spark, path)
+    # Lazy use keeps the readable fields of every row.
+    assert len(rows(C.load_schedule_csv(spark, path, validate=False))) == 2
+
+
+def test_short_rows_are_padded(spark, tmp_dir):
+    text = "ID,Date,Start Time,End Time\n1,2025-01-15,08:30,17:00\n2,2025-01-15\n"
+    path = write(tmp_dir, "up.csv", text)
+    assert C.long_rows(C.read_raw_csv(spark, path)).count() == 0
+    assert rows(C.load_schedule_csv(spark, path)) == [("1", dt.date(2025, 1, 15), 510.0, 1020.0)]
