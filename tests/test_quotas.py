@@ -147,3 +147,42 @@ def test_training_logged_twice_counts_once(spark):
     assert kept == [2, 3, 4, 5]
     u = Q.usage_by_window(logs, "1 day").first()
     assert (u.requests, u.trainings, u.predictions) == (4, 3, 1)
+
+
+def test_hot_ip_with_skew_join_splitting(spark):
+    """One ip holds a third of the log; joins are forced to sort-merge and AQE
+    splits the skewed partitions.  Results still equal the simulation."""
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    events = []
+    for i in range(3000):
+        ip = "hot" if i % 3 == 0 else f"ip{rnd.randrange(40)}"
+        events.append({"id": i, "ip_address": ip,
+                       "event_type": rnd.choice(["prediction_made", "model_trained", "session_accessed"]),
+                       "created_at": base + dt.timedelta(seconds=rnd.randrange(0, 2 * 86400)),
+                       "session_id": None})
+    df = as_df(spark, events).repartition(6)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        limits = (Q.RateLimit("request", "1 hour", 20), Q.RateLimit("p", "1 hour", 5, ("prediction_made",)))
+        got = {r.id: r.action for r in Q.rate_rejects(df, limits).collect()}
+        _, _, _, _, rejects = simulate(events, limits, after=10**9, hours=24)
+        assert got == rejects and len(got) > 100
+        acc, vio, ref, ban, _ = simulate(events, limits, after=30, hours=3)
+        out = {r.ip_address: r for r in Q.bans(df, limits, after=30, hours=3).collect()}
+        assert out["hot"].is_banned
+        for ip, r in out.items():
+            assert (r.accepted, r.violations, r.refused_while_banned) == (acc[ip], vio[ip], ref[ip])
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
