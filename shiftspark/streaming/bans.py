@@ -2,8 +2,10 @@
 
 ``applyInPandasWithState`` keyed by ip keeps, per ip, the current window and
 count of every limit, the violation count and the ban.  Within a micro-batch
-an ip's events are taken in (created_at, id) order, so with in-order input
-the decisions equal the exact batch answer of ``operators.quotas.bans``.
+an ip's events are taken in (created_at, id) order and decided with array
+operations (window ranks by ``cumcount``, the ban point by a running sum),
+so with in-order input the decisions equal the exact batch answer of
+``operators.quotas.bans``.
 State per ip is a handful of numbers; the work per micro-batch is bounded by
 the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
 """
@@ -48,11 +50,38 @@ def _state_schema(n_limits: int) -> T.StructType:
     return T.StructType(fields)
 
 
+def _stages(ts, ids, etypes, live, win, cnt, sizes, caps, kinds):
+    """Vectorised limit checks for one ip's rows (in time order).
+
+    Returns the index of the limit refusing each row (-1 if none) and, per
+    limit, the rows it counted.  A row counts for limit k when it reaches k
+    (live, applicable, passed the earlier limits) and is under the cap; the
+    count carried from the state applies while the window is unchanged.
+    """
+    n = len(ts)
+    refused_by = np.full(n, -1)
+    passed = live.copy()
+    counted = []
+    for k in range(len(sizes)):
+        app = passed if kinds[k] is None else passed & np.isin(etypes, list(kinds[k]))
+        w = ts - ts % sizes[k]
+        before = np.zeros(n, dtype=np.int64)
+        if app.any():
+            wa = w[app]
+            before[app] = pd.Series(wa).groupby(wa).cumcount().to_numpy()
+            before[app] += np.where(wa == win[k], cnt[k], 0)
+        rej = app & (before >= caps[k])
+        refused_by[rej] = k
+        counted.append((app & ~rej, w))
+        passed = passed & ~rej
+    return refused_by, counted
+
+
 def _decider(limits: tuple[RateLimit, ...], after: int, hours: int):
     sizes = [duration_us(lim.window) for lim in limits]
     caps = [lim.limit for lim in limits]
     kinds = [None if lim.event_types is None else set(lim.event_types) for lim in limits]
-    names = [lim.action for lim in limits]
+    names = np.array([lim.action for lim in limits] + [None], dtype=object)
     ban_len = hours * _UNIT_US["hour"]
     n = len(limits)
 
@@ -61,44 +90,45 @@ def _decider(limits: tuple[RateLimit, ...], after: int, hours: int):
         if not frames:
             return
         batch = pd.concat(frames, ignore_index=True).sort_values(["created_at", "id"])
-        if state.exists:
-            st = list(state.get)
-        else:
-            st = [-1, 0] * n + [0, -1, -1, -1]
+        st = list(state.get) if state.exists else [-1, 0] * n + [0, -1, -1, -1]
         win, cnt = st[0:2 * n:2], st[1:2 * n:2]
         viol, ban_at, ban_id, ban_until = st[2 * n:]
         ts = batch["created_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        ids = batch["id"].to_numpy()
+        ids = batch["id"].to_numpy().astype(np.int64)
         etypes = batch["event_type"].to_numpy()
-        outcome, action, vno = [], [], []
-        for t, i, et in zip(ts, ids, etypes):
-            if ban_at >= 0 and t < ban_until and (t, i) > (ban_at, ban_id):
-                outcome.append("refused"); action.append(None); vno.append(viol)
-                continue
-            hit = None
-            for k in range(n):
-                if kinds[k] is not None and et not in kinds[k]:
-                    continue
-                ws = t - t % sizes[k]
-                if win[k] != ws:
-                    win[k], cnt[k] = ws, 0
-                if cnt[k] >= caps[k]:
-                    hit = k
-                    break
-                cnt[k] += 1
-            if hit is None:
-                outcome.append("accepted"); action.append(None); vno.append(viol)
-                continue
-            viol += 1
-            if viol >= after and ban_at < 0:
-                ban_at, ban_id, ban_until = int(t), int(i), int(t) + ban_len
-            outcome.append("rejected"); action.append(names[hit]); vno.append(viol)
-        flat = []
-        for k in range(n):
-            flat += [int(win[k]), int(cnt[k])]
-        state.update(tuple(flat + [int(viol), int(ban_at), int(ban_id), int(ban_until)]))
-        yield pd.DataFrame({"id": ids, "ip_address": key[0], "created_at": batch["created_at"].to_numpy(),
-                            "outcome": outcome, "action": action, "violation_no": vno})
+
+        def in_ban(b_at, b_id, b_until):
+            after_point = (ts > b_at) | ((ts == b_at) & (ids > b_id))
+            return (b_at >= 0) & after_point & (ts < b_until)
+
+        refused = in_ban(ban_at, ban_id, ban_until)
+        refused_by, counted = _stages(ts, ids, etypes, ~refused, win, cnt, sizes, caps, kinds)
+        if ban_at < 0:
+            # The ban point is where the running violation count reaches
+            # ``after``; rows after it inside the ban are refused and the
+            # limits are checked again without them (same prefix, same point).
+            total = viol + np.cumsum(refused_by >= 0)
+            hit = np.flatnonzero((refused_by >= 0) & (total >= after))
+            if hit.size:
+                j = hit[0]
+                ban_at, ban_id, ban_until = int(ts[j]), int(ids[j]), int(ts[j]) + ban_len
+                refused = in_ban(ban_at, ban_id, ban_until)
+                refused_by, counted = _stages(ts, ids, etypes, ~refused, win, cnt, sizes, caps, kinds)
+        rejected = refused_by >= 0
+        vno = viol + np.cumsum(rejected)
+        for k, (rows, w) in enumerate(counted):
+            if rows.any():
+                last_w = w[rows][-1]
+                carried = cnt[k] if last_w == win[k] else 0
+                win[k], cnt[k] = int(last_w), int(carried + np.count_nonzero(rows & (w == last_w)))
+        viol = int(vno[-1]) if len(vno) else viol
+        outcome = np.where(refused, "refused", np.where(rejected, "rejected", "accepted"))
+        flat = [int(x) for pair in zip(win, cnt) for x in pair]
+        state.update(tuple(flat + [viol, int(ban_at), int(ban_id), int(ban_until)]))
+        yield pd.DataFrame({"id": ids, "ip_address": key[0],
+                            "created_at": batch["created_at"].to_numpy(),
+                            "outcome": outcome, "action": names[refused_by],
+                            "violation_no": vno})
 
     return decide
 
