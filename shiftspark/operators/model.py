@@ -29,8 +29,9 @@ class ForestParams:
     max_bins: int = 366
     max_memory_mb: int = 1024
     # Fixed partitioning before the fit makes a seed reproduce the same forest.
-    # None = one partition per ``fit_rows_per_partition`` rows, at most the
-    # session's shuffle partitions: same data and settings, same layout.
+    # None = one partition per ``fit_rows_per_partition`` rows, at least the
+    # default parallelism (every core busy) and at most the session's shuffle
+    # partitions: same data and settings, same layout.
     fit_partitions: int | None = None
     fit_rows_per_partition: int = 500_000
     checkpoint_interval: int = 10
@@ -66,9 +67,11 @@ def prepare_training(train: DataFrame, p: ForestParams = ForestParams()) -> Data
 
 def fit_partition_count(train: DataFrame, p: ForestParams) -> int:
     """Partitions for the fit from the row count (one pass; the fit makes many)."""
-    cap = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = train.sparkSession
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = spark.sparkContext.defaultParallelism
     rows = train.count()
-    return max(1, min(cap, -(-rows // p.fit_rows_per_partition)))
+    return max(1, min(cap, max(floor, -(-rows // p.fit_rows_per_partition))))
 
 
 def fit_models(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
