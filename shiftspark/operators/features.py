@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from shiftspark import constants as K
 from shiftspark.functions import timeparts as T
 
-# monotonically_increasing_id() = partition index << 33 | row position.
+# monotonically_increasing_id() puts the partition index in the upper 31 bits
+# and the row position inside the partition in the lower 33 (its documented
+# layout), so both can be read back from the id.
 _POS_BITS = 33
 
 

@@ -28,7 +28,9 @@ DATASET = "dataset_id"
 def save_schedule(schedule: DataFrame, path: str, dataset_id: str | None = None) -> None:
     """Replace the stored schedule (of one data set when ``dataset_id`` is given)."""
     cols = [c for c in SCHEDULE_SCHEMA.fieldNames() if c in schedule.columns]
-    out = schedule.select(*cols)
+    # Sorted inside each file (no shuffle): Parquet row-group min/max on id
+    # then let entity lookups skip most of the data.
+    out = schedule.select(*cols).sortWithinPartitions(K.ID, K.DATE)
     if dataset_id is None:
         out.write.mode("overwrite").parquet(path)
         return

@@ -135,3 +135,9 @@ def test_short_rows_are_padded(spark, tmp_dir):
     path = write(tmp_dir, "up.csv", text)
     assert C.long_rows(C.read_raw_csv(spark, path)).count() == 0
     assert rows(C.load_schedule_csv(spark, path)) == [("1", dt.date(2025, 1, 15), 510.0, 1020.0)]
+
+
+def test_header_collision_after_cleaning(spark, tmp_dir):
+    path = write(tmp_dir, "up.csv", "ID,Date,Start Time,Start_Time,End Time\n1,2025-01-15,08:30,x,17:00\n")
+    with pytest.raises(C.InvalidCsvError, match="collide"):
+        C.load_schedule_csv(spark, path)
