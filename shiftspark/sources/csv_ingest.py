@@ -109,15 +109,23 @@ def check_columns(raw: DataFrame, mapping: ColumnMapping) -> ColumnMapping:
 
 
 def _choose_date(raw: DataFrame, text: Column) -> Column:
-    """Q2: one format for the whole input -- ISO if any row parses as ISO, else d/m/Y."""
+    """Q2: one format for the whole input -- ISO if any row parses as ISO, else d/m/Y.
+
+    "Any row" is an EXISTS subquery, which Spark runs with LIMIT 1: for an
+    ISO file it stops at the first ISO row instead of scanning the input
+    twice.  If neither format parses, every row is dropped; a validated load
+    then reports it.
+    """
     iso = T.parse_date(text, K.DATE_FORMATS[0])
     dmy = T.parse_date(text, K.DATE_FORMATS[1])
-    # One scalar subquery computes both flags in a single pass over the input.
-    flags = raw.select(F.struct(F.bool_or(iso.isNotNull()).alias("iso"),
-                                F.bool_or(dmy.isNotNull()).alias("dmy"))).scalar()
-    return (F.when(flags.getField("iso"), iso)
-            .when(flags.getField("dmy"), dmy)
-            .otherwise(F.raise_error(F.lit("dates match none of the supported formats"))))
+    return F.when(raw.where(iso.isNotNull()).exists(), iso).otherwise(dmy)
+
+
+def _any_date(raw: DataFrame, text: Column) -> bool:
+    """Does any row parse in either format (validation only, one limit-1 job)."""
+    parsed = T.parse_date(text, K.DATE_FORMATS[0]).isNotNull() | \
+        T.parse_date(text, K.DATE_FORMATS[1]).isNotNull()
+    return not raw.where(parsed).isEmpty()
 
 
 def clean_schedule(raw: DataFrame, mapping: ColumnMapping = ColumnMapping(),
@@ -148,5 +156,8 @@ def load_schedule_csv(spark: SparkSession, path: str, mapping: ColumnMapping = C
         if n_long:
             raise InvalidCsvError(f"{n_long} rows have more fields than the header")
         if out.isEmpty():
+            m = mapping.clean()
+            if not _any_date(raw, F.col(f"`{m.date}`")):
+                raise InvalidCsvError("dates match none of the supported formats")
             raise InvalidCsvError("no valid row left after cleaning")
     return out

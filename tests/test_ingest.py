@@ -73,8 +73,17 @@ def test_all_rows_invalid_is_an_error(spark, tmp_dir):
 
 def test_no_date_format_is_an_error(spark, tmp_dir):
     path = write(tmp_dir, "up.csv", "ID,Date,Start Time,End Time\n1,15-01-2025,08:00,17:00\n")
-    with pytest.raises(Exception, match="supported formats"):
-        C.load_schedule_csv(spark, path, validate=False).collect()
+    with pytest.raises(C.InvalidCsvError, match="supported formats"):
+        C.load_schedule_csv(spark, path)
+    # Lazily, such a file has no row with a date.
+    assert C.load_schedule_csv(spark, path, validate=False).count() == 0
+
+
+def test_date_format_check_stops_early(spark, tmp_dir):
+    raw = C.read_raw_csv(spark, write(tmp_dir, "up.csv", "ID,Date,Start Time,End Time\n"
+                                      "1,2025-01-15,08:00,17:00\n"))
+    plan = C.clean_schedule(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" in plan or "Limit" in plan
 
 
 def test_row_filters_and_ids(spark, tmp_dir):
