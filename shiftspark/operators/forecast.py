@@ -56,8 +56,13 @@ def forecast_frame(requests: DataFrame, history: DataFrame, index: DataFrame) ->
     """J1 + J2 + J3: calendar rows of known ids with their recorded times, if any."""
     days = calendar(requests)
     cal = days.join(index, K.ID, "inner")
+    # Every requested day lies in [first, last] of the calendar: one struct
+    # scalar subquery gives the range, and history outside it is dropped
+    # before any shuffle.
+    span = days.select(F.struct(F.min(K.DATE).alias("lo"), F.max(K.DATE).alias("hi"))).scalar()
+    in_span = F.col(K.DATE).between(span.getField("lo"), span.getField("hi"))
     # Keys straight from the calendar: unknown ids have no stored rows to keep.
-    hist = history.join(days.select(K.ID, K.DATE), [K.ID, K.DATE], "left_semi")
+    hist = history.where(in_span).join(days.select(K.ID, K.DATE), [K.ID, K.DATE], "left_semi")
     if "row_seq" in hist.columns:
         hist = last_record(hist.select(K.ID, K.DATE, K.START, K.END, "row_seq"))
     hist = hist.select(K.ID, K.DATE, F.col(K.START).alias(HIST_START), F.col(K.END).alias(HIST_END))
