@@ -93,3 +93,13 @@ def append_audit_events(events: DataFrame, path: str) -> None:
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Store a service table bucketed and sorted on its join key.
+
+    Tables bucketed on the same key with the same bucket count join without a
+    shuffle (sessions and the audit log on ``session_id``; quotas and
+    per-ip aggregates on ``ip_address``).
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

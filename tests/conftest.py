@@ -13,7 +13,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = build_session("local[*]", 8)
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    s = build_session("local[*]", 8, extra={"spark.sql.warehouse.dir": warehouse})
     # Tests set their own checkpoint folder; a cluster names one in its conf.
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))

@@ -150,3 +150,21 @@ def test_header_collision_after_cleaning(spark, tmp_dir):
     path = write(tmp_dir, "up.csv", "ID,Date,Start Time,Start_Time,End Time\n1,2025-01-15,08:30,x,17:00\n")
     with pytest.raises(C.InvalidCsvError, match="collide"):
         C.load_schedule_csv(spark, path)
+
+
+def test_bucketed_audit_tables_join_without_shuffle(spark):
+    from shiftspark.operators import quotas as Q
+    from shiftspark.sources.tables import Fixtures
+    from conftest import SF_SMALL
+    fx = Fixtures(spark, SF_SMALL)
+    store.save_bucketed(fx.sessions(), "sessions_b", "session_id", 8)
+    store.save_bucketed(fx.security_logs(), "logs_b", "session_id", 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = Q.ip_changes(spark.table("logs_b"), spark.table("sessions_b"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert out.count() == Q.ip_changes(fx.security_logs(), fx.sessions()).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
