@@ -276,6 +276,32 @@ def q_last_access_per_session(spark, sf):
     return audit.last_access_per_session(fx.security_logs(), fx.sessions())
 
 
+@register("suspicious_ip_sessions", W(f"""
+SELECT session_id, ip_address, created_at, last_accessed, expires_at, metadata,
+       {O.units(O.NOW, 'expires_at', O.DAY_US)} AS days_until_expiry,
+       {O.units('last_accessed', O.NOW, O.HOUR_US)} AS hours_since_last_access
+FROM sessions
+WHERE expires_at > {O.NOW}
+  AND ip_address IN (SELECT ip_address FROM ip_quotas WHERE violations_count > 0 OR is_banned)""",
+                                        "sessions", "ip_quotas"))
+def q_suspicious_ip_sessions(spark, sf):
+    """P18 + P11 + P7: active sessions of every suspicious ip (a semi join)."""
+    fx = Fixtures(spark, sf)
+    return audit.sessions_of_ip(fx.sessions(), audit.suspicious_ips(fx.ip_quotas(), fx.now()),
+                                fx.now())
+
+
+@register("sessions_with_warnings", W("""
+SELECT * FROM sessions
+WHERE session_id IN (SELECT session_id FROM security_logs WHERE severity = 'WARNING')""",
+                                        "sessions", "security_logs"))
+def q_sessions_with_warnings(spark, sf):
+    """Sessions looked up by the ids of WARNING events (a batch lookup)."""
+    fx = Fixtures(spark, sf)
+    logs = fx.security_logs()
+    return audit.lookup_sessions(fx.sessions(), logs.where(F.col("severity") == K.SEVERITY_WARNING))
+
+
 @register("orphan_datasets", W("""
 SELECT session_id, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes,
        sum(length) / 1048576.0 AS size_mb
