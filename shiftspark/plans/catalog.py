@@ -176,6 +176,16 @@ def q_unknown_entities(spark, sf):
     return forecast.request_rejects(fx.prediction_requests(), features.id_index(fx.schedule()))
 
 
+@register("requested_histories", W("""
+SELECT * FROM schedule_events WHERE id IN (SELECT id FROM prediction_requests)""",
+                                     "schedule_events", "prediction_requests"))
+def q_requested_histories(spark, sf):
+    """P5 for every requested entity: its stored rows (duplicates and order kept)."""
+    from shiftspark.sources.store import entities_history
+    fx = Fixtures(spark, sf)
+    return entities_history(fx.schedule_events(), fx.prediction_requests())
+
+
 @register("forecast_model", None)
 def q_forecast_model(spark, sf):
     return forecast_with_model(spark, sf)

@@ -53,6 +53,11 @@ def entity_history(schedule: DataFrame, entity_id: str) -> DataFrame:
     return schedule.where(F.col(K.ID) == entity_id)
 
 
+def entities_history(schedule: DataFrame, entities: DataFrame) -> DataFrame:
+    """P5 for a batch of entities: a semi join, any number of ids."""
+    return schedule.join(entities.select(K.ID), K.ID, "left_semi")
+
+
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` with its size; content is never read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
