@@ -50,7 +50,7 @@ ip_quotas AS (
          CASE WHEN min(user_id) % 8 = 0 THEN max(ts) + INTERVAL 24 HOUR END AS banned_until,
          CAST(count(*) * 0.5 AS DOUBLE) AS storage_used_mb,
          max(ts) AS last_reset, min(ts) AS created_at
-  FROM events WHERE user_id % 97 <> 3
+  FROM events
   GROUP BY concat('10.0.0.', CAST(user_id % 97 AS VARCHAR)))""",
     "security_logs": """
 security_logs AS (
