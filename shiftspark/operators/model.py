@@ -24,9 +24,11 @@ class ForestParams:
     num_trees: int = K.N_TREES
     max_depth: int = K.MAX_DEPTH
     seed: int = K.SEED
-    # Continuous features are split on at most this many thresholds; 366 keeps
-    # every day of the year apart.  Entity codes beyond it share bins.
-    max_bins: int = 366
+    # Continuous features are split on at most this many thresholds.  None =
+    # max(366, entities) capped at ``max_bins_cap``: every day of the year and,
+    # up to the cap, every entity code gets its own bin; beyond it codes share.
+    max_bins: int | None = None
+    max_bins_cap: int = 1024
     max_memory_mb: int = 1024
     # Fixed partitioning before the fit makes a seed reproduce the same forest.
     # None = one partition per ``fit_rows_per_partition`` rows, at least the
@@ -37,18 +39,34 @@ class ForestParams:
     checkpoint_interval: int = 10
 
 
-def _forest(label: str, prediction: str, p: ForestParams) -> RandomForestRegressor:
+def _forest(label: str, prediction: str, p: ForestParams, bins: int) -> RandomForestRegressor:
     # All features considered at every split and one bootstrap sample of the
     # full size per tree: the configuration of the forests being reproduced.
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol=prediction,
-        numTrees=p.num_trees, maxDepth=p.max_depth, seed=p.seed, maxBins=p.max_bins,
+        numTrees=p.num_trees, maxDepth=p.max_depth, seed=p.seed, maxBins=bins,
         featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
         maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True,
         checkpointInterval=p.checkpoint_interval)
 
 
-def prepare_training(train: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+def fit_layout(train: DataFrame, p: ForestParams) -> tuple[int, int]:
+    """(partitions, maxBins) for the fit, from one aggregate over the training rows.
+
+    Partitions: one per ``fit_rows_per_partition`` rows, at least the default
+    parallelism, at most the session's shuffle partitions.  Bins: see
+    ``ForestParams.max_bins``; entity codes are dense, so max + 1 entities.
+    """
+    spark = train.sparkSession
+    rows, top = train.agg(F.count("*"), F.max(K.ID_ENCODED)).first()
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = p.fit_partitions or max(1, min(cap, max(spark.sparkContext.defaultParallelism,
+                                                    -(-rows // p.fit_rows_per_partition))))
+    bins = p.max_bins or min(max(366, (top or 0) + 1), p.max_bins_cap)
+    return parts, bins
+
+
+def prepare_training(train: DataFrame, partitions: int) -> DataFrame:
     """Deterministic, balanced layout for the fit.
 
     Rows are hashed on everything that tells them apart (with the file-order
@@ -58,32 +76,23 @@ def prepare_training(train: DataFrame, p: ForestParams = ForestParams()) -> Data
     """
     cols = [*K.FEATURES, K.START, K.END]
     keys = [K.ID, K.DATE, K.START, K.END] + (["row_seq"] if "row_seq" in train.columns else [])
-    n = p.fit_partitions or fit_partition_count(train, p)
     return (train.select(*dict.fromkeys(keys + cols))
-            .repartition(n, *keys)
+            .repartition(partitions, *keys)
             .sortWithinPartitions(*keys)
             .select(*cols))
 
 
-def fit_partition_count(train: DataFrame, p: ForestParams) -> int:
-    """Partitions for the fit from the row count (one pass; the fit makes many)."""
-    spark = train.sparkSession
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor = spark.sparkContext.defaultParallelism
-    rows = train.count()
-    return max(1, min(cap, max(floor, -(-rows // p.fit_rows_per_partition))))
-
-
 def fit_models(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
     """M3 + M4: one pipeline = feature vector + start forest + end forest."""
     from shiftspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
+    partitions, bins = fit_layout(train, p)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=K.FEATURES, outputCol="features"),
-        _forest(K.START, "pred_start", p),
-        _forest(K.END, "pred_end", p),
+        _forest(K.START, "pred_start", p, bins),
+        _forest(K.END, "pred_end", p, bins),
     ])
-    data = prepare_training(train, p).persist()
+    data = prepare_training(train, partitions).persist()
     try:
         return pipe.fit(data)
     finally:
