@@ -42,9 +42,10 @@ def time_to_minutes(c: ColumnOrName) -> Column:
 def minutes_to_time(c: ColumnOrName) -> Column:
     """Minutes -> ``'HH:MM'``; <= 0 gives ``00:00``; half-even rounding; hours may pass 24."""
     c = _c(c)
-    total = F.bround(c, 0).cast("long")
+    # try_cast: NaN or a value beyond a long gives null rather than an error.
+    total = F.bround(c, 0).try_cast("long")
     text = F.format_string("%02d:%02d", F.floor(total / 60).cast("long"), total % 60)
-    return F.when(c <= 0, F.lit("00:00")).otherwise(text)
+    return F.when(c <= 0, F.lit("00:00")).when(total.isNotNull(), text)
 
 
 # --------------------------------------------------------------------------

@@ -28,9 +28,9 @@ def test_time_to_minutes(spark):
 
 
 def test_minutes_to_time(spark):
-    vals = [0.0, -5.0, 479.5, 480.5, 2.5, 6039.0, 510.0]
+    vals = [0.0, -5.0, 479.5, 480.5, 2.5, 6039.0, 510.0, float("nan"), 1e300, None]
     got = one_col(spark, vals, T.minutes_to_time, "double")
-    assert got == ["00:00", "00:00", "08:00", "08:00", "00:02", "100:39", "08:30"]
+    assert got == ["00:00", "00:00", "08:00", "08:00", "00:02", "100:39", "08:30", None, None, None]
 
 
 @settings(max_examples=1, deadline=None)
