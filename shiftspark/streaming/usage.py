@@ -81,6 +81,16 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataF
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def start_to_parquet(df: DataFrame, path: str, checkpoint_location: str,
+                     processing_time: str = "1 minute", output_mode: str = "append"):
+    """Deploy a streaming query for good: a Parquet sink, a checkpoint on
+    shared storage (restart resumes from it) and a processing-time trigger.
+    Returns the running ``StreamingQuery``."""
+    return (df.writeStream.format("parquet").outputMode(output_mode)
+            .option("path", path).option("checkpointLocation", checkpoint_location)
+            .trigger(processingTime=processing_time).start())
+
+
 STREAM_REQUEST_LIMIT = 5
 
 

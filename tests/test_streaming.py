@@ -81,3 +81,17 @@ def test_stream_bans_carry_state_across_micro_batches(spark, tmp_dir):
         assert (r.accepted, r.violations, r.refused_while_banned) == (acc[ip], vio[ip], ref[ip])
         assert r.banned_at == (ban[ip][0] if ip in ban else None)
     assert any(ip in ban for ip in got)
+
+
+def test_deployed_stream_resumes_from_its_checkpoint(spark, tmp_dir):
+    """A long-running deployment: stop it, start again on the same checkpoint,
+    nothing is counted twice."""
+    fx = Fixtures(spark, SF_SMALL)
+    out, ck = f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    for _ in range(2):
+        q = S.start_to_parquet(Q.ip_changes(S.log_stream(spark, SF_SMALL), fx.sessions()),
+                               out, ck, "1 second")
+        q.processAllAvailable()
+        q.stop()
+    got = spark.read.parquet(out)
+    assert got.count() == Q.ip_changes(fx.security_logs(), fx.sessions()).count()
