@@ -88,3 +88,20 @@ def test_retention_trigger(spark):
     assert QL.log_retention(logs, now(), keep_days=10, trigger_rows=n - 1).count() < n
     # Not over it: nothing is dropped.
     assert QL.log_retention(logs, now(), keep_days=10, trigger_rows=n).count() == n
+
+
+def test_cascade_removes_the_deletion_event_too(spark):
+    """Q19: with cascade, the session_deleted row written for a removed
+    session disappears with its other log rows; without cascade it stays."""
+    fx = Fixtures(spark, SF_SMALL)
+    s = fx.sessions()
+    t1 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    before, after = A.session_snapshot(s, t1), A.session_snapshot(s, now())
+    events = A.lifecycle_events(before, after, now()).withColumn("id", F.lit(None).cast("long"))
+    log = fx.security_logs().unionByName(events.select(*fx.security_logs().columns))
+    doomed = events.where(F.col("event_type") == "session_deleted").select("session_id")
+    assert doomed.count() > 0
+    _, kept = A.delete_sessions(before, log, doomed, cascade=True)
+    assert kept.where(F.col("event_type") == "session_deleted").count() == 0
+    _, kept_all = A.delete_sessions(before, log, doomed, cascade=False)
+    assert kept_all.where(F.col("event_type") == "session_deleted").count() == doomed.count()
