@@ -131,6 +131,22 @@ def q_schedule_clean(spark, sf):
     return csv_ingest.load_schedule_csv(spark, path, validate=False).drop("row_seq")
 
 
+@register("stored_schedule", W("""
+SELECT row_seq, id, date, start_time_by_minutes, end_time_by_minutes,
+       'w' || CAST(weekofyear(date) AS VARCHAR) AS dataset_id
+FROM schedule_events""", "schedule_events"))
+def q_stored_schedule(spark, sf):
+    """S5 + S6: one data set per ISO week written with dynamic partition
+    overwrite, then every data set read back."""
+    from shiftspark.functions.timeparts import iso_week
+    from shiftspark.sources import store
+    ev = Fixtures(spark, sf).schedule_events()
+    path = scratch_dir(spark, "schedule-store")
+    store.save_datasets(ev.withColumn("_ds", F.concat(F.lit("w"), iso_week(K.DATE).cast("string"))),
+                        path, "_ds")
+    return store.read_datasets(spark, path)
+
+
 # ---------------------------------------------------------------------------
 # Forecast
 # ---------------------------------------------------------------------------

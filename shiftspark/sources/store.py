@@ -48,6 +48,22 @@ def read_schedule(spark: SparkSession, path: str, dataset_id: str | None = None)
             .where(F.col(DATASET) == dataset_id).drop(DATASET))
 
 
+def save_datasets(schedule: DataFrame, path: str, dataset_col: str) -> None:
+    """S5 for many data sets at once: each value of ``dataset_col`` replaces
+    its own partition (dynamic overwrite), the others stay."""
+    cols = [c for c in SCHEDULE_SCHEMA.fieldNames() if c in schedule.columns]
+    (schedule.select(*cols, F.col(dataset_col).alias(DATASET))
+     .sortWithinPartitions(DATASET, K.ID, K.DATE)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(DATASET).parquet(path))
+
+
+def read_datasets(spark: SparkSession, path: str) -> DataFrame:
+    """S6 over every data set of the store, with its ``dataset_id``."""
+    schema = T.StructType(SCHEDULE_SCHEMA.fields + [T.StructField(DATASET, T.StringType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 def entity_history(schedule: DataFrame, entity_id: str) -> DataFrame:
     """P5: one entity's rows; the predicate reaches the Parquet scan."""
     return schedule.where(F.col(K.ID) == entity_id)
