@@ -138,13 +138,27 @@ FROM schedule_events""", "schedule_events"))
 def q_stored_schedule(spark, sf):
     """S5 + S6: one data set per ISO week written with dynamic partition
     overwrite, then every data set read back."""
+    from shiftspark.sources import store
+    return store.read_datasets(spark, _write_weekly_store(spark, sf))
+
+
+def _write_weekly_store(spark: SparkSession, sf: str) -> str:
+    """The derived schedule stored as one data set per ISO week; returns the path."""
     from shiftspark.functions.timeparts import iso_week
     from shiftspark.sources import store
     ev = Fixtures(spark, sf).schedule_events()
     path = scratch_dir(spark, "schedule-store")
     store.save_datasets(ev.withColumn("_ds", F.concat(F.lit("w"), iso_week(K.DATE).cast("string"))),
                         path, "_ds")
-    return store.read_datasets(spark, path)
+    return path
+
+
+@register("dataset_inventory", None)
+def q_dataset_inventory(spark, sf):
+    """S10 + S11: files and bytes per stored data set, from a ``binaryFile``
+    listing that never reads content (file sizes have no SQL oracle)."""
+    from shiftspark.sources import store
+    return store.dataset_sizes(spark, _write_weekly_store(spark, sf))
 
 
 # ---------------------------------------------------------------------------

@@ -34,7 +34,18 @@ def duck():
 
 
 def test_every_query_has_oracle_or_is_known_rows_only():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"forecast_model"}
+    assert set(E.queries()) - set(E.oracle_sql()) == {"forecast_model", "dataset_inventory"}
+
+
+def test_dataset_inventory_matches_the_store(spark):
+    """Rows-only query: one row per stored week, sizes positive and equal to the files."""
+    df = E.queries()["dataset_inventory"](spark, SF_SMALL)
+    rows = df.collect()
+    weeks = duckdb.sql(f"SELECT count(DISTINCT weekofyear(ts)) FROM "
+                       f"read_parquet('{SF_SMALL}/events.parquet') "
+                       f"WHERE hour(ts)*60 + minute(ts) > 0").fetchall()[0][0]
+    assert len(rows) == weeks
+    assert all(r.files >= 1 and r.bytes > 0 and r.size_mb == r.bytes / 1048576.0 for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
