@@ -157,24 +157,34 @@ def duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
     """Q17: the JSON row of each training whose text twin (same session and
     counts) follows within ``within_seconds``: ``(id, ip_address, created_at)``.
 
-    The twin is found by an equi-join on (session, counts, time bucket), the
-    JSON row probing its own bucket and the next one, so a join group only
-    holds the rows of one session in one short bucket.
+    No pairs are formed.  Text rows are first reduced to one row per
+    (session, counts, bucket) with their first and last time, buckets being a
+    sixth of the interval.  A JSON row at t probes the buckets covering
+    [t, t + interval]: an inner bucket holding any text row is a twin; in the
+    first bucket the last text time must be >= t, in the last bucket the first
+    text time <= t + interval.  Each probe meets at most one aggregate row.
     """
     t = training_counts(logs.select("id", "session_id", "ip_address", "event_type",
                                     "event_data", "created_at"))
     t = t.where(F.col("entities").isNotNull() & F.col("data_points").isNotNull())
-    secs = F.timestamp_diff("SECOND", T.ts_literal("1970-01-01 00:00:00"), F.col("created_at"))
-    bucket = F.floor(secs / within_seconds)
+    span_us = within_seconds * 1_000_000
+    size_us = max(1, span_us // 6)
+    us = F.timestamp_diff("MICROSECOND", T.ts_literal("1970-01-01 00:00:00"), F.col("created_at"))
     keys = ["session_id", "entities", "data_points", "_b"]
-    text = t.where("is_text").select("session_id", "entities", "data_points",
-                                     bucket.alias("_b"), F.col("created_at").alias("_twin_at"))
+    text = (t.where("is_text")
+            .groupBy("session_id", "entities", "data_points", F.floor(us / size_us).alias("_b"))
+            .agg(F.min(us).alias("_first_us"), F.max(us).alias("_last_us")))
+    first, last = F.floor(us / size_us), F.floor((us + span_us) / size_us)
     js = (t.where(~F.col("is_text"))
           .select("id", "ip_address", "session_id", "entities", "data_points", "created_at",
-                  F.explode(F.array(bucket, bucket + 1)).alias("_b")))
-    near = ((F.col("_twin_at") >= F.col("created_at"))
-            & (F.col("_twin_at") <= F.col("created_at") + F.make_dt_interval(secs=F.lit(within_seconds))))
-    return (js.join(text, keys, "inner").where(near)
+                  us.alias("_t"), first.alias("_lo"), last.alias("_hi"),
+                  F.explode(F.sequence(first, last)).alias("_b")))
+    twin = (((F.col("_b") > F.col("_lo")) & (F.col("_b") < F.col("_hi")))
+            | ((F.col("_b") == F.col("_lo")) & (F.col("_last_us") >= F.col("_t"))
+               & (F.col("_first_us") <= F.col("_t") + span_us))
+            | ((F.col("_b") == F.col("_hi")) & (F.col("_first_us") <= F.col("_t") + span_us)
+               & (F.col("_last_us") >= F.col("_t"))))
+    return (js.join(text, keys, "inner").where(twin)
             .select("id", "ip_address", "created_at").distinct())
 
 

@@ -186,3 +186,31 @@ def test_hot_ip_with_skew_join_splitting(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_duplicate_trainings_match_brute_force(spark, seed):
+    """Dense trainings with equal counts: the bucket probe equals a pairwise check."""
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = []
+    for i in range(400):
+        sess = f"s{rnd.randrange(3)}"
+        ent, pts = rnd.choice([(3, 40), (3, 41)])
+        t = base + dt.timedelta(microseconds=rnd.randrange(0, 300_000_000))
+        data = (f'{{"entity_count": {ent}, "data_row_count": {pts}}}' if rnd.random() < 0.5
+                else f"entities={ent}, data_points={pts}")
+        rows.append((i, sess, "ip", "model_trained", data, t))
+    logs = spark.createDataFrame(rows, "id long, session_id string, ip_address string, "
+                                       "event_type string, event_data string, created_at timestamp_ntz")
+
+    def counts(d):
+        return tuple(int(x) for x in __import__("re").findall(r"[0-9]+", d))
+
+    text = [(r[1], counts(r[4]), r[5]) for r in rows if r[4].startswith("entities=")]
+    expect = sorted(r[0] for r in rows if not r[4].startswith("entities=") and any(
+        s == r[1] and c == counts(r[4]) and r[5] <= tt <= r[5] + dt.timedelta(seconds=60)
+        for s, c, tt in text))
+    got = sorted(r.id for r in Q.duplicate_trainings(logs).collect())
+    n_json = sum(1 for r in rows if not r[4].startswith("entities="))
+    assert got == expect and 0 < len(got) < n_json
