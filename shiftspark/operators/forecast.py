@@ -63,8 +63,14 @@ def forecast_frame(requests: DataFrame, history: DataFrame, index: DataFrame) ->
     in_span = F.col(K.DATE).between(span.getField("lo"), span.getField("hi"))
     # Keys straight from the calendar: unknown ids have no stored rows to keep.
     hist = history.where(in_span).join(days.select(K.ID, K.DATE), [K.ID, K.DATE], "left_semi")
+    # One row per (id, date), so the left join below never multiplies rows:
+    # the last in file order (A13), or without an order the largest pair.
     if "row_seq" in hist.columns:
         hist = last_record(hist.select(K.ID, K.DATE, K.START, K.END, "row_seq"))
+    else:
+        hist = (hist.groupBy(K.ID, K.DATE).agg(F.max(F.struct(K.START, K.END)).alias("_p"))
+                .select(K.ID, K.DATE, F.col(f"_p.{K.START}").alias(K.START),
+                        F.col(f"_p.{K.END}").alias(K.END)))
     hist = hist.select(K.ID, K.DATE, F.col(K.START).alias(HIST_START), F.col(K.END).alias(HIST_END))
     return (cal.join(hist, [K.ID, K.DATE], "left")
             .withColumn("historical", F.col(HIST_START).isNotNull()))

@@ -116,3 +116,10 @@ def test_entity_history_pushdown(spark, tmp_dir):
     assert h.count() == sched.where(F.col("id") == one).count()
     plan = h._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), EqualTo(id," in plan
+
+
+def test_history_without_order_gives_one_row_per_day(spark, trained):
+    fx, sched, index, fitted = trained
+    doubled = sched.unionByName(sched.withColumn(K.END, F.col(K.END) + 1))
+    a = FC.forecast_history(fx.prediction_requests(), sched, index).count()
+    assert FC.forecast_history(fx.prediction_requests(), doubled, index).count() == a
