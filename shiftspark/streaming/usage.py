@@ -27,10 +27,13 @@ from shiftspark.session import scratch_dir
 from shiftspark.sources.tables import Fixtures, read_table, security_logs
 
 WATERMARK = "10 minutes"
+# Micro-batches read at most this many new files, which bounds the rows any
+# one state call (a hot ip's share of a batch) or window aggregation sees.
+FILES_PER_TRIGGER = 8
 
 
-def read_events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None
-                       ) -> DataFrame:
+def read_events_stream(spark: SparkSession, sf_dir: str,
+                       files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """The events table as a file stream (schema taken from the batch table)."""
     schema = read_table(spark, sf_dir, "events").schema
     reader = spark.readStream.schema(schema)
@@ -40,8 +43,9 @@ def read_events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
 
 
-def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return security_logs(read_events_stream(spark, sf_dir))
+def log_stream(spark: SparkSession, sf_dir: str,
+               files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    return security_logs(read_events_stream(spark, sf_dir, files_per_trigger))
 
 
 def usage_stream(logs: DataFrame, window: str = "1 hour", request_limit: int | None = None,
