@@ -35,6 +35,8 @@ def id_index(schedule: DataFrame, num_partitions: int | None = None,
     over the (few) partition counts gives each partition's offset, and a row's
     code is offset + position.  The table is checkpointed so the codes survive
     executor loss and later plans see its true size (for join planning).
+    Without the checkpoint the tagged ids are computed twice; positions still
+    agree because the ids are distinct and sorted inside each range.
     """
     spark = schedule.sparkSession
     ids = schedule.select(K.ID).where(F.col(K.ID).isNotNull()).distinct()

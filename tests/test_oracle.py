@@ -12,6 +12,10 @@ from shiftspark.sources.tables import TABLES
 from conftest import SF_SMALL
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
@@ -56,6 +60,10 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert got == canon(ocols, cur.fetchall())
+    rel = duck.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+    assert spark_types == duck_types
 
 
 def test_entry_runs(spark):
