@@ -123,3 +123,13 @@ def test_history_without_order_gives_one_row_per_day(spark, trained):
     doubled = sched.unionByName(sched.withColumn(K.END, F.col(K.END) + 1))
     a = FC.forecast_history(fx.prediction_requests(), sched, index).count()
     assert FC.forecast_history(fx.prediction_requests(), doubled, index).count() == a
+
+
+def test_prediction_mask(spark):
+    """Start < 0, end < 0 or end <= start -> both NA; otherwise clock text."""
+    df = spark.createDataFrame([(480.4, 1020.6), (-1.0, 500.0), (500.0, -3.0), (600.0, 600.0),
+                                (700.0, 650.0), (None, 500.0)], "s double, e double")
+    s, e = FC.mask_prediction(F.col("s"), F.col("e"))
+    got = [tuple(r) for r in df.select(s, e).collect()]
+    assert got == [("08:00", "17:01"), ("NA", "NA"), ("NA", "NA"), ("NA", "NA"), ("NA", "NA"),
+                   ("NA", "NA")]
