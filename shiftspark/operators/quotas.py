@@ -13,6 +13,7 @@ threshold are the rejects.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +64,37 @@ def nth_per_group(df: DataFrame, keys: list[str], n: int, prefix: str) -> DataFr
                     F.col("id").alias(f"{prefix}_id")))
 
 
+_GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+@contextmanager
+def group_limit_threshold(spark, n: int):
+    """Let Spark insert its map-side per-group limit for ``row_number() <= n``
+    (by default only up to 1000) while a plan is built and run; the session
+    value is restored afterwards."""
+    old = spark.conf.get(_GROUP_LIMIT_CONF, None)
+    if old is not None and (int(old) < 0 or int(old) >= n):
+        yield
+        return
+    spark.conf.set(_GROUP_LIMIT_CONF, str(n))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_GROUP_LIMIT_CONF)
+        else:
+            spark.conf.set(_GROUP_LIMIT_CONF, old)
+
+
+def _nth_materialized(df: DataFrame, keys: list[str], n: int, prefix: str,
+                      materialize: bool) -> DataFrame:
+    """``nth_per_group``; when materialised, computed with the map-side limit on."""
+    if not materialize:
+        return nth_per_group(df, keys, n, prefix)
+    with group_limit_threshold(df.sparkSession, n):
+        return _materialize(nth_per_group(df, keys, n, prefix), True)
+
+
 def _materialize(df: DataFrame, materialize: bool) -> DataFrame:
     """Cut lineage of a small intermediate table with a reliable checkpoint."""
     if not materialize:
@@ -102,8 +134,8 @@ def stage_thresholds(logs: DataFrame, limits=DEFAULT_LIMITS,
             cur = cur.join(thr, ["ip_address", f"_w{j}"], "left")
             passed = passed & ~_hit(j, limits[j])
         live = cur.where(passed & lim.applies())
-        thresholds.append(_materialize(
-            nth_per_group(live, ["ip_address", f"_w{i}"], lim.limit, f"_t{i}"), materialize))
+        thresholds.append(_nth_materialized(live, ["ip_address", f"_w{i}"], lim.limit, f"_t{i}",
+                                            materialize))
     return thresholds
 
 
@@ -231,9 +263,9 @@ def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
     checks the limits again.  No loop, two passes.
     """
     first = rate_rejects(logs, limits, materialize)
-    ban = _materialize(nth_per_group(first, ["ip_address"], after, "_b")
-                       .select("ip_address", F.col("_b_ts").alias("banned_at"), "_b_id",
-                               T.plus_hours("_b_ts", hours).alias("banned_until")), materialize)
+    ban = (_nth_materialized(first, ["ip_address"], after, "_b", materialize)
+           .select("ip_address", F.col("_b_ts").alias("banned_at"), "_b_id",
+                   T.plus_hours("_b_ts", hours).alias("banned_until")))
     marked = logs.join(ban, "ip_address", "left")
     refused = (F.col("banned_at").isNotNull() & _after("banned_at", "_b_id")
                & (F.col("created_at") < F.col("banned_until")))

@@ -214,3 +214,24 @@ def test_duplicate_trainings_match_brute_force(spark, seed):
     got = sorted(r.id for r in Q.duplicate_trainings(logs).collect())
     n_json = sum(1 for r in rows if not r[4].startswith("entities="))
     assert got == expect and 0 < len(got) < n_json
+
+
+def test_limits_above_the_default_group_limit_threshold(spark):
+    """A limit of 1100 (Spark's map-side limit stops at 1000 by default): the
+    threshold is still computed with it, and results equal the simulation."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key, None)
+    base = dt.datetime(2024, 1, 1)
+    events = [{"id": i, "ip_address": "hot", "event_type": "session_accessed",
+               "created_at": base + dt.timedelta(seconds=(i * 7919) % 80000), "session_id": None}
+              for i in range(2500)]
+    logs = as_df(spark, events).repartition(4)
+    lim = (Q.RateLimit("request", "1 day", 1100),)
+    with Q.group_limit_threshold(spark, 1100):
+        thr = Q.stage_thresholds(logs, lim, materialize=False)[0]
+        thr_plan = thr._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in thr_plan
+    assert spark.conf.get(key, None) == before
+    _, _, _, _, rejects = simulate(events, lim, after=10**9, hours=24)
+    got = {r.id: r.action for r in Q.rate_rejects(logs, lim).collect()}
+    assert got == rejects and len(got) == 1400
