@@ -123,7 +123,9 @@ def stage_thresholds(logs: DataFrame, limits=DEFAULT_LIMITS,
 
     Each table has one row per over-limit group.  Materialised, each stage is
     one scan of the narrow log joined to the earlier (small) tables, so the
-    whole check costs (stages + 1) scans, not a lineage that doubles per stage.
+    whole check costs (stages + 1) scans, not a lineage that doubles per stage,
+    and the map-side group limit is on whatever the limit.  ``materialize=False``
+    keeps everything lazy (one larger plan, the session's group-limit threshold).
     """
     base = _with_windows(logs.select("id", "ip_address", "event_type", "created_at"), limits)
     thresholds: list[DataFrame] = []
