@@ -152,9 +152,10 @@ def load_schedule_csv(spark: SparkSession, path: str, mapping: ColumnMapping = C
     if validate:
         if raw.isEmpty():
             raise InvalidCsvError("the file has a header but no rows")
-        n_long = long_rows(raw).count()
-        if n_long:
-            raise InvalidCsvError(f"{n_long} rows have more fields than the header")
+        # The first offending row is enough (limit 1): no full count.
+        bad = long_rows(raw).select(CORRUPT).limit(1).collect()
+        if bad:
+            raise InvalidCsvError(f"rows have more fields than the header, e.g. {bad[0][0]!r}")
         if out.isEmpty():
             m = mapping.clean()
             if not _any_date(raw, F.col(f"`{m.date}`")):
