@@ -146,7 +146,12 @@ def clean_schedule(raw: DataFrame, mapping: ColumnMapping = ColumnMapping(),
 
 def load_schedule_csv(spark: SparkSession, path: str, mapping: ColumnMapping = ColumnMapping(),
                       validate: bool = True) -> DataFrame:
-    """S1-S4 end to end.  ``validate`` runs two limit-1 jobs for the empty checks."""
+    """S1-S4 end to end.
+
+    ``validate`` runs limit-1 jobs: the file has rows, no row is longer than
+    the header, something is left after cleaning (and, if not, whether any
+    date parsed, for the error message).  Without it the load stays lazy.
+    """
     raw = read_raw_csv(spark, path)
     out = clean_schedule(raw, mapping)
     if validate:
