@@ -33,12 +33,12 @@ def id_index(schedule: DataFrame, num_partitions: int | None = None,
     Distributed rank without a single-partition window: the distinct ids are
     range partitioned and sorted, each partition counts its rows, a prefix sum
     over the (few) partition counts gives each partition's offset, and a row's
-    code is offset + position.  The table is checkpointed so the codes survive
-    executor loss and later plans see its true size (for join planning).
-    Without the checkpoint the tagged ids are computed twice; positions still
-    agree because the ids are distinct and sorted inside each range.
+    code is offset + position.  The tagged ids are written to the shared
+    folder, so the codes survive executor loss and later plans see the table's
+    true size (for join planning).  With ``checkpoint=False`` they are computed
+    twice; positions still agree because the ids are distinct and sorted
+    inside each range.
     """
-    spark = schedule.sparkSession
     ids = schedule.select(K.ID).where(F.col(K.ID).isNotNull()).distinct()
     # Without an explicit count AQE may merge adjacent ranges, which keeps order.
     ranged = ids.repartitionByRange(num_partitions, K.ID) if num_partitions else ids.repartitionByRange(K.ID)
@@ -49,9 +49,10 @@ def id_index(schedule: DataFrame, num_partitions: int | None = None,
                       (F.col("_mid") - F.shiftleft(F.shiftright("_mid", _POS_BITS), _POS_BITS))
                       .alias("_pos")))
     if checkpoint:
-        from shiftspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+        # Written to the shared folder and read back: lineage is cut and later
+        # joins are planned from the table's real size.
+        from shiftspark.session import write_and_read
+        tagged = write_and_read(tagged, "id-codes")
     # One row per partition: bounded by n, so the window and broadcast are safe.
     counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -96,12 +96,12 @@ def _nth_materialized(df: DataFrame, keys: list[str], n: int, prefix: str,
 
 
 def _materialize(df: DataFrame, materialize: bool) -> DataFrame:
-    """Cut lineage of a small intermediate table with a reliable checkpoint."""
+    """Cut lineage of a small intermediate table: written to the shared folder
+    and read back, so joins with it are planned from its measured size."""
     if not materialize:
         return df
-    from shiftspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from shiftspark.session import write_and_read
+    return write_and_read(df, "rate-check")
 
 
 def _with_windows(logs: DataFrame, limits) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package assumes.  Shuffle partitions are only a
 # default for local runs; on a cluster the caller sizes them to the data.
@@ -66,3 +66,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="shiftspark-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
+
+
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet under the shared scratch folder
+    and reading it back.  Unlike ``checkpoint()``, later plans then see the
+    table's real (file) size, so Spark's own size check can broadcast it when
+    it is small and shuffle it otherwise."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
