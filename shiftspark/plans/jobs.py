@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shiftspark import constants as K
 from shiftspark.functions import timeparts as T
-from shiftspark.operators import audit, features, forecast, model
+from shiftspark.operators import audit, features, forecast, model, quality
 from shiftspark.sources import csv_ingest, store
 
 
@@ -22,6 +22,16 @@ class TrainResult:
     summary: dict
     model_path: str
     schedule_path: str
+    profile: dict | None = None
+
+
+def upload_profile(spark: SparkSession, csv_path: str, schedule: DataFrame) -> DataFrame:
+    """Rows, entities and upload MB against the declared limits, one row.
+    The size comes from a ``binaryFile`` listing (no content read) as a scalar
+    subquery."""
+    mb = store.file_listing(spark, csv_path).select(
+        T.bytes_to_mb(F.coalesce(F.sum("length"), F.lit(0)))).scalar()
+    return quality.dataset_profile(schedule, mb)
 
 
 def train(spark: SparkSession, csv_path: str, dataset_id: str, schedule_root: str,
@@ -38,6 +48,7 @@ def train(spark: SparkSession, csv_path: str, dataset_id: str, schedule_root: st
     path = f"{model_root.rstrip('/')}/{dataset_id}"
     model.save_models(fitted, index, summary, path)
     info = model.model_info(spark.read.json(f"{path}/summary"))
+    profile = upload_profile(spark, csv_path, sched).first().asDict()
     if audit_path:
         event = summary.select(
             F.lit(None).cast("long").alias("id"), F.lit(dataset_id).alias("session_id"),
@@ -46,7 +57,7 @@ def train(spark: SparkSession, csv_path: str, dataset_id: str, schedule_root: st
                           entity_count=F.col("entity_count")).alias("event_data"),
             F.lit(K.SEVERITY_INFO).alias("severity"), now.cast("timestamp_ntz").alias("created_at"))
         store.append_audit_events(event, audit_path)
-    return TrainResult(info, path, schedule_root)
+    return TrainResult(info, path, schedule_root, profile)
 
 
 def serve(spark: SparkSession, requests: DataFrame, dataset_id: str, schedule_root: str,

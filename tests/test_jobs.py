@@ -24,6 +24,9 @@ def test_train_then_serve(spark, tmp_dir):
                      params=M.ForestParams(num_trees=3, max_depth=5),
                      audit_path=f"{tmp_dir}/audit", ip_address="10.0.0.1")
     assert res.summary["is_trained"] and res.summary["data_row_count"] > 0
+    prof = res.profile
+    assert prof["data_points"] == res.summary["data_row_count"]
+    assert 0 < prof["size_mb"] < 50 and prof["within_max_file_size"]
     out, rejects = jobs.serve(spark, fx.prediction_requests(), "ds1", f"{tmp_dir}/sched",
                               f"{tmp_dir}/models")
     assert out.count() > 0 and rejects.count() > 0
