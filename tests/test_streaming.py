@@ -95,3 +95,32 @@ def test_deployed_stream_resumes_from_its_checkpoint(spark, tmp_dir):
         q.stop()
     got = spark.read.parquet(out)
     assert got.count() == Q.ip_changes(fx.security_logs(), fx.sessions()).count()
+
+
+def test_events_behind_the_watermark_are_dropped(spark, tmp_dir):
+    """A row arriving after its window was closed and emitted is not counted.
+    (Spark filters late rows with the watermark of the previous micro-batch, so
+    the late row comes two batches after the one that moved the watermark.)"""
+    import os
+
+    import pandas as pd
+
+    src = os.path.join(tmp_dir, "logs")
+    os.makedirs(src)
+    t = dt.datetime(2024, 1, 1)
+    files = [[(1, "a", "model_trained", t + dt.timedelta(hours=9, minutes=5)),
+              (2, "a", "session_accessed", t + dt.timedelta(hours=12))],
+             [(3, "a", "session_accessed", t + dt.timedelta(hours=14))],
+             [(4, "a", "session_accessed", t + dt.timedelta(hours=9, minutes=30)),   # late
+              (5, "a", "session_accessed", t + dt.timedelta(hours=16))]]
+    for i, rows in enumerate(files):
+        df = pd.DataFrame(rows, columns=["id", "ip_address", "event_type", "created_at"])
+        path = os.path.join(src, f"part-{i}.parquet")
+        df.to_parquet(path, index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = "id long, ip_address string, event_type string, created_at timestamp_ntz"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = S.run_to_table(S.usage_stream(stream, "1 hour"), "t-late")
+    got = sorted((r.window_start.hour, r.requests, r.trainings) for r in out.collect())
+    # 09:00 keeps only its on-time row and is emitted once; 16:00 stays open.
+    assert got == [(9, 1, 1), (12, 1, 0), (14, 1, 0)]
