@@ -235,3 +235,16 @@ def test_limits_above_the_default_group_limit_threshold(spark):
     _, _, _, _, rejects = simulate(events, lim, after=10**9, hours=24)
     got = {r.id: r.action for r in Q.rate_rejects(logs, lim).collect()}
     assert got == rejects and len(got) == 1400
+
+
+def test_empty_inputs(spark):
+    """No over-limit group, or no log at all: empty written tables, empty answers."""
+    from shiftspark.operators import features as FE
+    logs = Fixtures(spark, SF_SMALL).security_logs()
+    none = (Q.RateLimit("r", "1 day", 10**6),)
+    assert Q.rate_rejects(logs, none).count() == 0
+    assert Q.bans(logs, none, 3, 24).where("is_banned").count() == 0
+    empty = logs.limit(0)
+    assert Q.rate_rejects(empty, (Q.RateLimit("r", "1 day", 2),)).count() == 0
+    assert Q.bans(empty, (Q.RateLimit("r", "1 day", 2),), 3, 24).count() == 0
+    assert FE.id_index(spark.createDataFrame([], "id string")).count() == 0
