@@ -95,13 +95,13 @@ def _nth_materialized(df: DataFrame, keys: list[str], n: int, prefix: str,
         return _materialize(nth_per_group(df, keys, n, prefix), True)
 
 
-def _materialize(df: DataFrame, materialize: bool) -> DataFrame:
+def _materialize(df: DataFrame, materialize: bool, name: str = "rate-check") -> DataFrame:
     """Cut lineage of a small intermediate table: written to the shared folder
     and read back, so joins with it are planned from its measured size."""
     if not materialize:
         return df
     from shiftspark.session import write_and_read
-    return write_and_read(df, "rate-check")
+    return write_and_read(df, name)
 
 
 def _with_windows(logs: DataFrame, limits) -> DataFrame:
@@ -187,7 +187,8 @@ def training_counts(logs: DataFrame) -> DataFrame:
                     ent.alias("entities"), pts.alias("data_points")))
 
 
-def duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
+def duplicate_trainings(logs: DataFrame, within_seconds: int = 60,
+                        materialize: bool = True) -> DataFrame:
     """Q17: the JSON row of each training whose text twin (same session and
     counts) follows within ``within_seconds``: ``(id, ip_address, created_at)``.
 
@@ -201,6 +202,9 @@ def duplicate_trainings(logs: DataFrame, within_seconds: int = 60) -> DataFrame:
     t = training_counts(logs.select("id", "session_id", "ip_address", "event_type",
                                     "event_data", "created_at"))
     t = t.where(F.col("entities").isNotNull() & F.col("data_points").isNotNull())
+    # Both sides below read the training rows; written once (a small slice of
+    # the log), the log is not scanned twice more.
+    t = _materialize(t, materialize, "trainings")
     span_us = within_seconds * 1_000_000
     size_us = max(1, span_us // 6)
     us = F.timestamp_diff("MICROSECOND", T.ts_literal("1970-01-01 00:00:00"), F.col("created_at"))
