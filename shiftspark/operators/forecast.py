@@ -59,7 +59,11 @@ def forecast_frame(requests: DataFrame, history: DataFrame, index: DataFrame) ->
     # Every requested day lies in [first, last] of the calendar: one struct
     # scalar subquery gives the range, and history outside it is dropped
     # before any shuffle.
-    span = days.select(F.struct(F.min(K.DATE).alias("lo"), F.max(K.DATE).alias("hi"))).scalar()
+    # The bounds come from the requests themselves (no calendar explode).
+    r = normalise_requests(requests).where(F.col("window_size") >= 0)
+    half = F.floor(F.col("window_size") / 2).cast("int")
+    span = r.select(F.struct(F.min(F.date_sub("target_date", half)).alias("lo"),
+                             F.max(F.date_add("target_date", half)).alias("hi"))).scalar()
     in_span = F.col(K.DATE).between(span.getField("lo"), span.getField("hi"))
     # Keys straight from the calendar: unknown ids have no stored rows to keep.
     hist = history.where(in_span).join(days.select(K.ID, K.DATE), [K.ID, K.DATE], "left_semi")
