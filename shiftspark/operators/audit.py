@@ -165,6 +165,31 @@ def session_snapshot(sessions: DataFrame, at: Column) -> DataFrame:
     return sessions.where((F.col("created_at") <= at) & (F.col("expires_at") > at))
 
 
+def _lifecycle_data(created: Column) -> Column:
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return F.when(created, T.json_object(session_id=F.col("session_id"),
+                                         expires_at=F.date_format("expires_at", fmt))).otherwise(
+        T.json_object(session_id=F.col("session_id"),
+                      created_at=F.date_format("created_at", fmt),
+                      last_accessed=F.date_format("last_accessed", fmt)))
+
+
+def lifecycle_events_between(sessions: DataFrame, t1: Column, t2: Column) -> DataFrame:
+    """R5 when both snapshots are one table seen at two times: one scan with two
+    membership flags, no join (events stamped ``t2``)."""
+    def alive(at: Column) -> Column:
+        return (F.col("created_at") <= at) & (F.col("expires_at") > at)
+    created = ~alive(t1) & alive(t2)
+    deleted = alive(t1) & ~alive(t2)
+    return sessions.where(created | deleted).select(
+        "session_id", "ip_address",
+        F.when(created, F.lit(K.EVENT_SESSION_CREATED))
+         .otherwise(F.lit(K.EVENT_SESSION_DELETED)).alias("event_type"),
+        _lifecycle_data(created).alias("event_data"),
+        F.lit(K.SEVERITY_INFO).alias("severity"),
+        t2.alias("created_at"))
+
+
 def lifecycle_events(before: DataFrame, after: DataFrame, at: Column) -> DataFrame:
     """Created / deleted events from two snapshots, by one full outer join
     on the session id (a session only in ``after`` was created, one only in

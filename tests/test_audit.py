@@ -105,3 +105,12 @@ def test_cascade_removes_the_deletion_event_too(spark):
     assert kept.where(F.col("event_type") == "session_deleted").count() == 0
     _, kept_all = A.delete_sessions(before, log, doomed, cascade=False)
     assert kept_all.where(F.col("event_type") == "session_deleted").count() == doomed.count()
+
+
+def test_lifecycle_single_scan_equals_snapshot_join(spark):
+    s = Fixtures(spark, SF_SMALL).sessions()
+    t1 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    a = A.lifecycle_events(A.session_snapshot(s, t1), A.session_snapshot(s, now()), now())
+    b = A.lifecycle_events_between(s, t1, now())
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert "Join" not in b._jdf.queryExecution().executedPlan().toString()
