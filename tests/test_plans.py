@@ -33,3 +33,15 @@ def test_system_statistics_has_no_join(spark):
 def test_log_retention_trigger_stops_early(spark):
     p = plan(spark, "log_retention")
     assert "CollectLimit" in p and "HashAggregate" not in p
+
+
+def test_small_threshold_tables_are_broadcast(spark):
+    """Written threshold tables carry their real size: when small, the log is
+    not shuffled to meet them."""
+    p = plan(spark, "rate_rejects")
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p
+
+
+def test_lifecycle_events_need_no_join(spark):
+    p = plan(spark, "session_lifecycle_events")
+    assert "Join" not in p and "Exchange" not in p
