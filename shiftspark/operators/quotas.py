@@ -256,6 +256,12 @@ def usage_by_window(logs: DataFrame, window: str = "1 hour",
                     (F.col("trainings") - d).alias("trainings"), "predictions"))
 
 
+def _per_ip(checked: DataFrame) -> DataFrame:
+    return checked.groupBy("ip_address").agg(
+        F.count_if(F.col("rejected_by").isNull()).alias("accepted"),
+        F.count_if(F.col("rejected_by").isNotNull()).alias("violations"))
+
+
 def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
          after: int = K.DEFAULT_QUOTAS["ban_after_violations"],
          hours: int = K.DEFAULT_QUOTAS["ban_duration_hours"],
@@ -264,30 +270,36 @@ def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
     and the ban (given once, at the ``after``-th violation, for ``hours``).
 
     Until an ip's first ban nothing differs from a plain limit check, so its
-    ``after``-th reject in pass one is the true ban point.  Pass two drops the
-    events refused during the ban (they are refused before any counting) and
-    checks the limits again.  No loop, two passes.
+    ``after``-th reject in pass one is the true ban point, and an ip never
+    banned keeps its pass-one counts.  Pass two touches only the banned ips:
+    their events refused during the ban (refused before any counting) are
+    dropped and the limits checked again.  No loop, two passes.
     """
-    first = rate_rejects(logs, limits, materialize)
-    ban = (_nth_materialized(first, ["ip_address"], after, "_b", materialize)
+    first = apply_limits(logs, limits, materialize)
+    ban = (_nth_materialized(first.where(F.col("rejected_by").isNotNull()), ["ip_address"],
+                             after, "_b", materialize)
            .select("ip_address", F.col("_b_ts").alias("banned_at"), "_b_id",
                    T.plus_hours("_b_ts", hours).alias("banned_until")))
-    marked = logs.join(ban, "ip_address", "left")
-    refused = (F.col("banned_at").isNotNull() & _after("banned_at", "_b_id")
-               & (F.col("created_at") < F.col("banned_until")))
+    zero = F.lit(0).cast("long")
+    never = (_per_ip(first).join(ban.select("ip_address"), "ip_address", "left_anti")
+             .select("ip_address", "accepted", "violations", zero.alias("refused_while_banned"),
+                     F.lit(False).alias("is_banned"),
+                     F.lit(None).cast("timestamp_ntz").alias("banned_at"),
+                     F.lit(None).cast("timestamp_ntz").alias("banned_until")))
+    # The ban table has one row per banned ip (small, written): an inner join
+    # keeps only their events for pass two.
+    marked = logs.join(ban, "ip_address", "inner")
+    refused = _after("banned_at", "_b_id") & (F.col("created_at") < F.col("banned_until"))
     kept = marked.where(~refused).drop("banned_at", "_b_id", "banned_until")
-    checked = apply_limits(kept, limits, materialize)
-    per_ip_kept = checked.groupBy("ip_address").agg(
-        F.count_if(F.col("rejected_by").isNull()).alias("accepted"),
-        F.count_if(F.col("rejected_by").isNotNull()).alias("violations"))
     per_ip_refused = (marked.where(refused).groupBy("ip_address")
                       .agg(F.count("*").alias("refused_while_banned")))
-    return (per_ip_kept.join(per_ip_refused, "ip_address", "left")
-            .join(ban.drop("_b_id"), "ip_address", "left")
-            .select("ip_address", "accepted", "violations",
-                    F.coalesce("refused_while_banned", F.lit(0)).alias("refused_while_banned"),
-                    F.col("banned_at").isNotNull().alias("is_banned"),
-                    "banned_at", "banned_until"))
+    banned = (_per_ip(apply_limits(kept, limits, materialize))
+              .join(per_ip_refused, "ip_address", "left")
+              .join(ban.drop("_b_id"), "ip_address", "inner")
+              .select("ip_address", "accepted", "violations",
+                      F.coalesce("refused_while_banned", zero).alias("refused_while_banned"),
+                      F.lit(True).alias("is_banned"), "banned_at", "banned_until"))
+    return never.unionByName(banned)
 
 
 def unban(quotas: DataFrame, ips: DataFrame) -> DataFrame:
