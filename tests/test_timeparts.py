@@ -95,3 +95,10 @@ def test_whole_units_truncate_toward_zero(spark):
 def test_json_validity_and_status(spark):
     got = one_col(spark, ['{"a":1}', "{'a': 1}", None, "[1,2]", "x"], T.is_valid_json)
     assert got == [True, False, True, True, False]
+
+
+def test_date_features_pair(spark):
+    """(weekday Monday=0, day of year) as one struct."""
+    df = spark.createDataFrame([(dt.date(2024, 12, 31),), (dt.date(2025, 1, 6),)], "d date")
+    got = [tuple(r[0]) for r in df.select(T.date_features("d")).collect()]
+    assert got == [(1, 366), (0, 6)]
