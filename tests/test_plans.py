@@ -45,3 +45,9 @@ def test_small_threshold_tables_are_broadcast(spark):
 def test_lifecycle_events_need_no_join(spark):
     p = plan(spark, "session_lifecycle_events")
     assert "Join" not in p and "Exchange" not in p
+
+
+def test_usage_scans_the_log_once(spark):
+    """Duplicate-training detection reads a written slice of training rows, not the log."""
+    p = plan(spark, "usage_by_window")
+    assert p.count("events.parquet") == 1
