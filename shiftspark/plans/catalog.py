@@ -190,10 +190,18 @@ FROM cal c JOIN known k ON c.id = k.id
 LEFT JOIN schedule s ON s.id = c.id AND s.date = c.date""", "prediction_requests", "schedule"))
 def q_forecast_history(spark, sf):
     fx = Fixtures(spark, sf)
-    sched = fx.schedule()
+    sched = stored_schedule_of(fx)
     return forecast.forecast_history(fx.prediction_requests(), sched, features.id_index(sched))
 
 
+def stored_schedule_of(fx: Fixtures) -> DataFrame:
+    """The derived schedule written once to the shared folder, as the service
+    stores an upload; its several readers (codes, fit, history) scan it
+    instead of re-aggregating the events."""
+    from shiftspark.session import write_and_read
+    return write_and_read(fx.schedule(), "schedule")
+
+
 @register("unknown_entities", W("""
 known AS (SELECT DISTINCT id FROM schedule)
 SELECT r.id, r.target_date, r.window_size,
@@ -224,7 +232,7 @@ def q_forecast_model(spark, sf):
 def forecast_with_model(spark: SparkSession, sf: str, params: model.ForestParams = FIXTURE_FOREST):
     """Train both forests on the derived schedule, then serve every request."""
     fx = Fixtures(spark, sf)
-    sched = fx.schedule()
+    sched = stored_schedule_of(fx)
     index = features.id_index(sched)
     fitted = model.fit_models(features.training_frame(sched, index), params)
     return forecast.forecast(fx.prediction_requests(), sched, fitted, index)
