@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftspark.llm import cuckoo, near_dup, toxicity
+from shiftspark.llm import cuckoo, decontaminate, mixing, near_dup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op5_mixing": mixing.op5_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_cuckoo_dedup": cuckoo.op10_cuckoo_dedup,

@@ -135,9 +135,10 @@ def shingles(texts: Sequence[str], n: int = SHINGLE_WORDS) -> tuple[np.ndarray,
     few = np.flatnonzero((count > 0) & (count < n))
     if len(few):
         first = np.searchsorted(doc, few)
-        extra = [mix64(np.array([(h[a:a + c] * _MULT[:c]).sum(dtype=np.uint64) + np.uint64(c)], np.uint64))[0]
-                 for a, c in zip(first, count[few], strict=True)]
-        s, owner = np.concatenate([s, np.array(extra, np.uint64)]), np.concatenate([owner, few])
+        extra = np.array([(h[a:a + c] * _MULT[:c]).sum(dtype=np.uint64) for a, c in zip(first, count[few], strict=True)],
+                         np.uint64)
+        extra = mix64(extra + count[few].astype(np.uint64))
+        s, owner = np.concatenate([s, extra]), np.concatenate([owner, few])
         order = np.argsort(owner, kind="stable")
         s, owner = s[order], owner[order]
     return s, owner
