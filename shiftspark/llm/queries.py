@@ -7,13 +7,14 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftspark.llm import cuckoo, decontaminate, language, mixing, near_dup, toxicity
+from shiftspark.llm import cuckoo, decontaminate, language, main_text, mixing, near_dup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": language.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_mixing": mixing.op5_mixing,
+    "op7_main_text": main_text.op7_main_text,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_cuckoo_dedup": cuckoo.op10_cuckoo_dedup,
