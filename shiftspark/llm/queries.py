@@ -7,12 +7,13 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftspark.llm import cuckoo, decontaminate, language, main_text, mixing, near_dup, toxicity, url_filter, warc
+from shiftspark.llm import cuckoo, decontaminate, language, main_text, mixing, near_dup, suffixes, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": language.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_suffix_repeats": suffixes.op3_suffix_repeats,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_warc_derivatives": warc.op6_warc_derivatives,
