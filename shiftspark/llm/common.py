@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from shiftspark.session import ship_package
 from shiftspark.sources.tables import read_table
 
-__all__ = ["map_batches", "read_table", "sample_rows"]
+__all__ = ["NO_ID", "keep_texts", "map_batches", "read_table", "sample_rows"]
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
@@ -28,12 +29,36 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
+
+
+def keep_texts(docs: DataFrame, digest_of: Callable[[pa.Array], pa.Array], listed: DataFrame, how: str,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` whose (id, digest of the text) is listed (``left_semi``) or not
+    (``left_anti``); of rows that repeat both, one.
+
+    ``listed``: id, digest.  Rows travel packed, so their columns may have any
+    names, and once: the same distribution serves the join and the choice.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield b.append_column("digest", digest_of(b.column("row").field(at)))
+
+    schema = StructType([packed.schema["row"], StructField("id", LongType()), StructField("digest", BinaryType())])
+    keys = listed.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "digest").distinct()
+    out = map_batches(packed, run, schema).join(keys, ["id", "digest"], how).dropDuplicates(["id", "digest"])
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 def sample_rows(spark: SparkSession, df: DataFrame, key: str, label: str, per_class: int, seed: int) -> DataFrame:
     """At most about ``per_class`` rows of each value of ``label``, chosen by a
     seeded hash of ``key``: each class is thinned by its own rate, from counts
     over all rows.  Classes are few (labels), so the counts fit a literal."""
-    from pyspark.sql import functions as F
-
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     # 53 bits of the hash as a number in [0, 1).
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))

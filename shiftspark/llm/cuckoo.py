@@ -28,9 +28,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from shiftspark.llm.common import map_batches, read_table
+from shiftspark.llm.common import keep_texts, map_batches, read_table
 from shiftspark.session import ship_package, write_and_read
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -291,14 +290,5 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts move once, dealt out by doc_id and digest, which serves both the join
     and the choice among repeated rows.
     """
-    names = docs.columns
-    no_id = F.lit(-(1 << 63))
-    gone = (dedup(docs).where(~F.col("kept"))
-            .select(F.coalesce("doc_id", no_id).alias("_key"), F.unhex("text_sha256").alias("_sha")).distinct())
-
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield b.append_column("_sha", _digest_column(b.column("text"))[0])
-
-    keyed = (map_batches(docs, run, StructType([*docs.schema.fields, StructField("_sha", BinaryType())]))
-             .withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), no_id)))
-    return (keyed.join(gone, ["_key", "_sha"], "left_anti").dropDuplicates(["_key", "_sha"]).select(*names))
+    gone = dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    return keep_texts(docs, lambda texts: _digest_column(texts)[0], gone, "left_anti")

@@ -152,7 +152,7 @@ def train(rows: list[np.ndarray], langs: list[str], weight: np.ndarray, p: Kerne
 def fit(docs: DataFrame, train_on: Column, params: KernelParams = KernelParams(), id_col: str = "doc_id",
         text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """Fit on rows that meet ``train_on`` with a language; None if there are none."""
-    rows = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = docs.where(train_on & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     chosen = sample_rows(docs.sparkSession, rows, "id", "lang", params.per_class, params.seed)
 
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shiftspark.llm import text as T
-from shiftspark.llm.common import map_batches, read_table
+from shiftspark.llm.common import NO_ID, map_batches, read_table
 from shiftspark.session import ship_package, write_and_read
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 8
-_NO_ID = -(1 << 63)
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,7 +81,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.md5(text).alias("digest"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.md5(text).alias("digest"), text.alias("text"))
 
 
 def _anchors(rows: DataFrame) -> DataFrame:
@@ -226,7 +225,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "id", F.lit(0).alias("first_word"), F.col("words").alias("end_word"), "begin", "end")
     part = known.where(~F.col("copied")).select("id", F.col("rep").alias("uid")).join(spans, "uid").select("id", *where)
     out = whole.unionByName(part).distinct()
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), *where)
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), *where)
 
 
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

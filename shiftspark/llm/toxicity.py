@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

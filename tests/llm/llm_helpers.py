@@ -1,0 +1,56 @@
+"""Small tables and brute-force versions shared by the tests of this folder."""
+
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+WORD = re.compile(r"[^\W_]+")
+#: Names that the operators use themselves.
+CLASHING = ["id", "uid", "key", "digest", "row", "score", "label", "h", "size", "kept", "taken", "rule", "words", "_t", "_y", "band"]
+
+
+def word_list(seed: int, n: int) -> list[str]:
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(n)]
+
+
+def sentence(seed: int, n: int) -> str:
+    return " ".join(word_list(seed, n))
+
+
+def documents(spark: SparkSession, rows: list[tuple], extra: bool = True) -> DataFrame:
+    """(doc_id, text, lang, source) rows as ``documents``, with clashing extra columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = [(i, t, g, s, None if t is None else len(t)) for i, t, g, s in rows]
+    if extra:
+        schema += "".join(f", {c} string" for c in CLASHING)
+        full = [(*r, *[f"{c}!" for c in CLASHING]) for r in full]
+    return spark.createDataFrame(full, schema)
+
+
+def edge_rows() -> list[tuple]:
+    """Nulls in any column, empty and very long texts, ties, repeated rows."""
+    long_ = sentence(1, 30_000)
+    return [(1, None, None, None), (2, "", "en", "a"), (None, "Some words stand here without an id at all", "en", None),
+            (3, "!!! ???", "en", "b"), (4, "One two", "de", "b"), (5, long_, "fr", "a"), (6, long_, None, "a"),
+            (7, "Same row twice in this table with eight words", "en", "a"), (7, "Same row twice in this table with eight words", "en", "a"),
+            (8, "SAME row twice in this table with eight words", "en", "c"), (9, "   \t\n ", "es", "c"), (9, "other text under nine", "es", "c"),
+            (None, None, None, None), (None, "Some words stand here without an id at all", "en", None)]
+
+
+def empty_documents(spark: SparkSession) -> DataFrame:
+    return documents(spark, [], extra=False)
+
+
+def shingle_set(text: str | None) -> set:
+    w = [x.lower() for x in WORD.findall(text or "")]
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def write_tables(tmp: str, spark: SparkSession, **tables: DataFrame) -> str:
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp}/{name}.parquet")
+    return tmp
