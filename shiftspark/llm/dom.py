@@ -17,7 +17,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option
-p pre script section select style summary table tbody td template textarea tfoot th thead title tr ul""".split())
+p pre section select summary table tbody td textarea tfoot th thead title tr ul""".split())
 ENDS_P = BLOCK - frozenset("body br head html noscript optgroup option script select style tbody td template textarea tfoot th thead title tr".split())
 #: An open element of these ends when one of its list begins, unless an element of the last list lies between.
 CLOSES = {
