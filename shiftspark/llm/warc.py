@@ -159,7 +159,10 @@ def parse(text: str) -> tuple | None:
     for line in head.split(EOL):
         name, _, value = line.partition(": ")
         h[name.lower()] = value
-    if len(block.encode("utf-8", "surrogatepass")) != int(h.get("content-length", -1)):
+    over = len(block.encode("utf-8", "surrogatepass")) - int(h.get("content-length", -1))
+    if over == len(END) and block.endswith(END):            # the last record of a file has its end
+        block = block.removesuffix(END)
+    elif over:
         return None
     key = h.get("x-row-key")
     got = {c: h.get(n.lower()) for c, n in _HEADERS} | {"key": int(key) if key else None, "block": block}
@@ -181,7 +184,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for t in b.column(0).to_pylist():
-            t = t.removesuffix(END)
             if t.strip():
                 got = parse(t)
                 if got is None:
