@@ -169,6 +169,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+OP2_SQL = r"""
+WITH t AS (
+  SELECT 'doc' AS kind, doc_id AS k, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'item', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark),
+words_at AS (SELECT kind, k, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0),
+shingle AS (SELECT DISTINCT kind, k, array_to_string(w[i:i + 4], ' ') AS s FROM words_at),
+item AS (SELECT k, s, count(*) OVER (PARTITION BY k) AS n FROM shingle WHERE kind = 'item')
+SELECT d.k AS doc_id, i.k AS item_id, count(*) / CAST(any_value(i.n) AS DOUBLE) AS containment
+FROM shingle d JOIN item i ON d.s = i.s WHERE d.kind = 'doc'
+GROUP BY d.k, i.k HAVING count(*) >= 0.8 * any_value(i.n)
+"""
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go.  Nothing is shuffled."""
     out = docs

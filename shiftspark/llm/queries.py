@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.OP2_SQL,
     "op10_cuckoo_dedup": cuckoo.OP10_SQL,
 }
