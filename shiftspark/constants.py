@@ -89,3 +89,6 @@ EVENT_BANNED = "banned"
 EVENT_UNBANNED = "unbanned"
 SEVERITY_INFO = "INFO"
 SEVERITY_WARNING = "WARNING"
+
+# Days of a forecast window when a request names none.
+DEFAULT_WINDOW_SIZE = 31

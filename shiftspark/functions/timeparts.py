@@ -174,8 +174,14 @@ def ip_status(is_banned: ColumnOrName, banned_until: ColumnOrName,
 
 
 def json_object(**fields: ColumnOrName) -> Column:
-    """a compact JSON object from named columns (key order kept)."""
-    return F.to_json(F.struct(*[_c(v).alias(k) for k, v in fields.items()]))
+    """a compact JSON object from named columns (key order kept, nulls as null)."""
+    return F.to_json(F.struct(*[_c(v).alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def json_text(c: ColumnOrName) -> Column:
+    """A text as a JSON string with its quotes and escapes; null as ``null``."""
+    whole = json_object(v=_c(c).cast("string"))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
 def is_valid_json(c: ColumnOrName) -> Column:

@@ -127,13 +127,18 @@ def live_sessions_per_ip(sessions: DataFrame) -> DataFrame:
 
 
 def last_access_per_session(logs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Latest logged access per session (partial max, then shuffle)."""
+    """Latest logged access per session (partial max, then shuffle).  With
+    ``sessions``, every session has a row; without a logged access its own
+    ``last_accessed`` stands."""
     last = (logs.where(F.col("session_id").isNotNull())
             .groupBy("session_id").agg(F.max("created_at").alias("last_accessed"),
                                        F.count("*").alias("accesses")))
     if sessions is None:
         return last
-    return sessions.select("session_id", "ip_address").join(last, "session_id", "inner")
+    own = sessions.select("session_id", "ip_address", F.col("last_accessed").alias("_own"))
+    return (own.join(last, "session_id", "left")
+            .select("session_id", "ip_address", F.coalesce("last_accessed", "_own").alias("last_accessed"),
+                    F.coalesce("accesses", F.lit(0)).cast("long").alias("accesses")))
 
 
 def orphan_datasets(inventory: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shiftspark import constants as K
 from shiftspark.functions import timeparts as T
 from shiftspark.operators.features import add_features, last_record
+from shiftspark.session import write_and_read
 
 HIST_START = "hist_start"
 HIST_END = "hist_end"
@@ -22,13 +23,14 @@ REQUEST_COLS = [K.ID, "target_date", "window_size"]
 
 
 def normalise_requests(requests: DataFrame) -> DataFrame:
-    """Accept text target dates (``d/M/yyyy``) as well as DATE columns."""
+    """Accept text target dates (``d/M/yyyy``) as well as DATE columns; a request
+    without a window size gets the default one."""
     dtype = dict(requests.dtypes)["target_date"]
     if dtype == "string":
         requests = requests.withColumn("target_date", T.parse_date("target_date", "d/M/yyyy"))
     if "window_size" not in requests.columns:
-        requests = requests.withColumn("window_size", F.lit(31))
-    return requests
+        return requests.withColumn("window_size", F.lit(K.DEFAULT_WINDOW_SIZE))
+    return requests.withColumn("window_size", F.coalesce("window_size", F.lit(K.DEFAULT_WINDOW_SIZE)))
 
 
 def calendar(requests: DataFrame) -> DataFrame:
@@ -109,15 +111,15 @@ def forecast(requests: DataFrame, history: DataFrame, model: PipelineModel,
              index: DataFrame) -> DataFrame:
     """Recorded days as stored, other days predicted by both forests.
 
-    Every row is scored (a map-side operation with the model shipped once per
-    executor); recorded rows then keep their stored times.
+    Only days without a record are scored (a map-side operation with the model
+    shipped once per executor).  The calendar is written once, as both halves read it.
     """
-    scored = model.transform(add_features(forecast_frame(requests, history, index)))
+    frame = write_and_read(forecast_frame(requests, history, index), "forecast")
+    scored = model.transform(add_features(frame.where(~F.col("historical"))))
     p_start, p_end = mask_prediction(F.col("pred_start"), F.col("pred_end"))
-    hist = F.col("historical")
-    return _output(scored,
-                   F.when(hist, T.minutes_to_time(HIST_START)).otherwise(p_start),
-                   F.when(hist, T.minutes_to_time(HIST_END)).otherwise(p_end))
+    known = frame.where("historical")
+    return (_output(known, T.minutes_to_time(HIST_START), T.minutes_to_time(HIST_END))
+            .unionByName(_output(scored, p_start, p_end)))
 
 
 def forecast_single_day(requests: DataFrame, history: DataFrame, model: PipelineModel,

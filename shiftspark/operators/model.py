@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark import constants as K
+from shiftspark.session import path_exists
+
+
+LEAST_BINS = 366
 
 
 @dataclass(frozen=True)
@@ -25,17 +29,16 @@ class ForestParams:
     max_depth: int = K.MAX_DEPTH
     seed: int = K.SEED
     # Continuous features are split on at most this many thresholds.  None =
-    # max(366, entities) capped at ``max_bins_cap``: every day of the year and,
-    # up to the cap, every entity code gets its own bin; beyond it codes share.
+    # max(366, entities): every day of the year and every entity code has a bin
+    # of its own, so any value can be a split.  Statistics of a node take
+    # 6 features x bins x 3 doubles; ``max_memory_mb`` says how many nodes a pass holds.
     max_bins: int | None = None
-    max_bins_cap: int = 1024
     max_memory_mb: int = 1024
-    # Fixed partitioning before the fit makes a seed reproduce the same forest.
-    # None = one partition per ``fit_rows_per_partition`` rows, at least the
-    # default parallelism (every core busy) and at most the session's shuffle
-    # partitions: same data and settings, same layout.
-    fit_partitions: int | None = None
+    # The layout before the fit depends on the rows alone, so the same data and
+    # seed give the same forest on any cluster: one partition per
+    # ``fit_rows_per_partition`` rows, at least ``fit_least_partitions``.
     fit_rows_per_partition: int = 500_000
+    fit_least_partitions: int = 8
     checkpoint_interval: int = 10
 
 
@@ -51,19 +54,11 @@ def _forest(label: str, prediction: str, p: ForestParams, bins: int) -> RandomFo
 
 
 def fit_layout(train: DataFrame, p: ForestParams) -> tuple[int, int]:
-    """(partitions, maxBins) for the fit, from one aggregate over the training rows.
-
-    Partitions: one per ``fit_rows_per_partition`` rows, at least the default
-    parallelism, at most the session's shuffle partitions.  Bins: see
-    ``ForestParams.max_bins``; entity codes are dense, so max + 1 entities.
-    """
-    spark = train.sparkSession
+    """(partitions, maxBins) for the fit, from one aggregate over the training rows;
+    see ``ForestParams``.  Entity codes are dense, so there are max + 1 entities."""
     rows, top = train.agg(F.count("*"), F.max(K.ID_ENCODED)).first()
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = p.fit_partitions or max(1, min(cap, max(spark.sparkContext.defaultParallelism,
-                                                    -(-rows // p.fit_rows_per_partition))))
-    bins = p.max_bins or min(max(366, (top or 0) + 1), p.max_bins_cap)
-    return parts, bins
+    parts = max(p.fit_least_partitions, -(-rows // p.fit_rows_per_partition))
+    return parts, p.max_bins or max(LEAST_BINS, (top or 0) + 1)
 
 
 def prepare_training(train: DataFrame, partitions: int) -> DataFrame:
@@ -112,7 +107,10 @@ def training_summary(train: DataFrame, trained_at: Column,
         F.lit("RandomForestRegressor").alias("model_type"),
         F.lit(p.num_trees).alias("n_estimators"),
         F.lit(p.max_depth).alias("max_depth"),
-        F.lit(p.seed).alias("random_state"))
+        F.lit(p.seed).alias("random_state"),
+        F.greatest(F.lit(p.fit_least_partitions), F.ceil(F.col("data_row_count") / p.fit_rows_per_partition))
+         .cast("int").alias("fit_partitions"),
+        (F.lit(p.max_bins) if p.max_bins else F.greatest(F.lit(LEAST_BINS), "entity_count")).cast("int").alias("max_bins"))
 
 
 def save_models(model: PipelineModel, index: DataFrame, summary: DataFrame, path: str) -> None:
@@ -124,12 +122,12 @@ def save_models(model: PipelineModel, index: DataFrame, summary: DataFrame, path
 
 
 def load_models(spark: SparkSession, path: str):
-    """``(model, index, summary)`` or ``None`` when nothing was saved."""
+    """``(model, index, summary)`` or ``None`` when nothing was saved; a
+    storage failure or a damaged model raises."""
     base = path.rstrip("/")
-    try:
-        model = PipelineModel.load(f"{base}/forests")
-    except Exception:  # noqa: BLE001 - absent model is a normal answer
+    if not path_exists(spark, f"{base}/forests"):
         return None
+    model = PipelineModel.load(f"{base}/forests")
     index = spark.read.parquet(f"{base}/ids")
     summary = spark.read.json(f"{base}/summary")
     return model, index, summary

@@ -104,6 +104,13 @@ def _materialize(df: DataFrame, materialize: bool, name: str = "rate-check") ->
     return write_and_read(df, name)
 
 
+def with_checked_ids(logs: DataFrame) -> DataFrame:
+    """The log, failing on a row without an id: events of one instant would have
+    no order, and limits no definite result.  ``append_audit_events`` gives ids."""
+    told = F.raise_error(F.lit("an audit row has no id")).cast("long")
+    return logs.withColumn("id", F.coalesce(F.col("id"), told))
+
+
 def _with_windows(logs: DataFrame, limits) -> DataFrame:
     # One window() per projection: Spark refuses several in one.
     for i, lim in enumerate(limits):
@@ -112,13 +119,16 @@ def _with_windows(logs: DataFrame, limits) -> DataFrame:
 
 
 def _hit(i: int, lim: RateLimit) -> Column:
-    """The event is at or past stage i's threshold (given the joined threshold)."""
+    """The event is at or past stage i's threshold (given the joined threshold);
+    a limit of 0 refuses every event it applies to."""
+    if lim.limit <= 0:
+        return lim.applies()
     return lim.applies() & F.col(f"_t{i}_ts").isNotNull() & _after(f"_t{i}_ts", f"_t{i}_id")
 
 
 def stage_thresholds(logs: DataFrame, limits=DEFAULT_LIMITS,
-                     materialize: bool = True) -> list[DataFrame]:
-    """Per limit, the ``limit``-th event of each over-limit (ip, window) group,
+                     materialize: bool = True) -> list[DataFrame | None]:
+    """Per limit (None for a limit of 0, which needs no threshold), the ``limit``-th event of each over-limit (ip, window) group,
     counted among the events the earlier limits let through.
 
     Each table has one row per over-limit group.  Materialised, each stage is
@@ -128,13 +138,17 @@ def stage_thresholds(logs: DataFrame, limits=DEFAULT_LIMITS,
     keeps everything lazy (one larger plan, the session's group-limit threshold).
     """
     base = _with_windows(logs.select("id", "ip_address", "event_type", "created_at"), limits)
-    thresholds: list[DataFrame] = []
+    thresholds: list[DataFrame | None] = []
     for i, lim in enumerate(limits):
         cur = base
         passed = F.lit(True)
         for j, thr in enumerate(thresholds):
-            cur = cur.join(thr, ["ip_address", f"_w{j}"], "left")
+            if thr is not None:
+                cur = cur.join(thr, ["ip_address", f"_w{j}"], "left")
             passed = passed & ~_hit(j, limits[j])
+        if lim.limit <= 0:
+            thresholds.append(None)
+            continue
         live = cur.where(passed & lim.applies())
         thresholds.append(_nth_materialized(live, ["ip_address", f"_w{i}"], lim.limit, f"_t{i}",
                                             materialize))
@@ -148,10 +162,12 @@ def apply_limits(logs: DataFrame, limits=DEFAULT_LIMITS, materialize: bool = Tru
     later ones (its request stopped there), but it did count for the earlier
     limits it passed.
     """
+    logs = with_checked_ids(logs)
     thresholds = stage_thresholds(logs, limits, materialize)
     out = _with_windows(logs, limits)
     for i, thr in enumerate(thresholds):
-        out = out.join(thr, ["ip_address", f"_w{i}"], "left")
+        if thr is not None:
+            out = out.join(thr, ["ip_address", f"_w{i}"], "left")
     hits = [_hit(i, lim) for i, lim in enumerate(limits)]
     rejected_by = F.coalesce(*[F.when(h, F.lit(lim.action)) for h, lim in zip(hits, limits)],
                              F.lit(None).cast("string"))
@@ -251,7 +267,8 @@ def usage_by_window(logs: DataFrame, window: str = "1 hour",
             .groupBy("ip_address", w.start.alias("window_start"), w.end.alias("window_end"))
             .agg(F.count("*").alias("_dup")))
     d = F.coalesce(F.col("_dup"), F.lit(0))
-    return (usage.join(dups, keys, "left")
+    # A window that held nothing but a duplicate has no request.
+    return (usage.join(dups, keys, "left").where(F.col("requests") > d)
             .select(*keys, (F.col("requests") - d).alias("requests"),
                     (F.col("trainings") - d).alias("trainings"), "predictions"))
 
@@ -275,7 +292,11 @@ def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
     their events refused during the ban (refused before any counting) are
     dropped and the limits checked again.  No loop, two passes.
     """
-    first = apply_limits(logs, limits, materialize)
+    after = max(1, after)       # a ban needs a violation
+    # The decisions are written once, narrow; ban points and counts both read them.
+    first = _materialize(apply_limits(logs.select("id", "ip_address", "event_type", "created_at"), limits, materialize)
+                         .select("id", "ip_address", "event_type", "created_at", "rejected_by"), materialize, "decisions")
+    logs = first.drop("rejected_by")
     ban = (_nth_materialized(first.where(F.col("rejected_by").isNotNull()), ["ip_address"],
                              after, "_b", materialize)
            .select("ip_address", F.col("_b_ts").alias("banned_at"), "_b_id",
@@ -288,7 +309,7 @@ def bans(logs: DataFrame, limits=DEFAULT_LIMITS,
                      F.lit(None).cast("timestamp_ntz").alias("banned_until")))
     # The ban table has one row per banned ip (small, written): an inner join
     # keeps only their events for pass two.
-    marked = logs.join(ban, "ip_address", "inner")
+    marked = _materialize(logs.join(ban, "ip_address", "inner"), materialize, "banned-events")
     refused = _after("banned_at", "_b_id") & (F.col("created_at") < F.col("banned_until"))
     kept = marked.where(~refused).drop("banned_at", "_b_id", "banned_until")
     per_ip_refused = (marked.where(refused).groupBy("ip_address")
@@ -320,6 +341,13 @@ def unban(quotas: DataFrame, ips: DataFrame) -> DataFrame:
     return q.select(*cols)
 
 
+def unban_ended(quotas: DataFrame, now: Column) -> DataFrame:
+    """R4 for every ban that has run out by ``now``: decided on the row itself."""
+    ended = F.coalesce(F.col("is_banned") & (F.col("banned_until") <= now), F.lit(False))
+    new = {"is_banned": F.lit(False), "banned_until": F.lit(None).cast("timestamp_ntz"), "violations_count": F.lit(0).cast("long")}
+    return quotas.select(*[F.when(ended, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in quotas.columns])
+
+
 def ended_bans(quotas: DataFrame, now: Column) -> DataFrame:
     """Ips whose ban has run out by ``now``."""
     return quotas.where(F.col("is_banned") & (F.col("banned_until") <= now)).select("ip_address")
@@ -373,7 +401,7 @@ def ip_changes(logs: DataFrame, sessions: DataFrame) -> DataFrame:
                         F.col("created_at").alias("_s_created"), F.col("expires_at").alias("_s_exp"))
     j = logs.join(s, "session_id", "inner")
     live = (F.col("created_at") >= F.col("_s_created")) & (F.col("created_at") <= F.col("_s_exp"))
-    data = F.format_string('{"old_ip": "%s", "new_ip": "%s"}', F.col("old_ip"), F.col("ip_address"))
+    data = F.concat(F.lit('{"old_ip": '), T.json_text("old_ip"), F.lit(', "new_ip": '), T.json_text("ip_address"), F.lit("}"))
     return (j.where(live & (F.col("ip_address") != F.col("old_ip")))
             .select(F.col("id").alias("access_id"), "session_id", "ip_address", "old_ip",
                     F.lit(K.EVENT_IP_CHANGED).alias("event_type"), data.alias("event_data"),

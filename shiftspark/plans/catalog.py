@@ -49,8 +49,10 @@ FIXTURE_LIMITS = (
 )
 FIXTURE_BAN_AFTER = 3
 FIXTURE_BAN_HOURS = 24
-# Trees for the registered forecast (the library default stays 100 x depth 10).
-FIXTURE_FOREST = model.ForestParams(num_trees=10)
+# The log spans 30 days, so the declared policy (30 days, beyond 10,000 rows)
+# never drops a row of it; this one does.
+FIXTURE_LOG_DAYS = 15
+FIXTURE_LOG_ROWS = 500
 
 
 # ---------------------------------------------------------------------------
@@ -97,7 +99,9 @@ SELECT TRUE AS is_trained, {O.NOW} AS trained_at, count(*) AS data_row_count,
        count(DISTINCT id) AS entity_count,
        'id_encoded,day_of_week,week_of_month,week_of_year,month,day_of_year' AS features,
        'RandomForestRegressor' AS model_type, 100 AS n_estimators, 10 AS max_depth,
-       42 AS random_state
+       42 AS random_state,
+       CAST(greatest(8, ceil(count(*) / 500000.0)) AS INTEGER) AS fit_partitions,
+       CAST(greatest(366, count(DISTINCT id)) AS INTEGER) AS max_bins
 FROM schedule""", "schedule"))
 def q_training_summary(spark, sf):
     fx = Fixtures(spark, sf)
@@ -128,7 +132,46 @@ def q_schedule_clean(spark, sf):
     fx = Fixtures(spark, sf)
     path = scratch_dir(spark, "upload-csv")
     raw_upload(fx.table("events")).write.option("header", True).option("sep", ";").csv(path)
-    return csv_ingest.load_schedule_csv(spark, path, validate=False).drop("row_seq")
+    return csv_ingest.load_schedule_csv(spark, path).drop("row_seq")
+
+
+def rough_upload(events: DataFrame) -> DataFrame:
+    """Upload lines as people send them, derived from events: commas, d/m/Y dates,
+    quoted ids, missing ids, impossible dates, unreadable and out-of-range clock
+    text, rows without their last field.  One text column, named by the header."""
+    n = F.col("event_id")
+    mins = F.hour("ts") * 60 + F.minute("ts")
+
+    def clock(m):
+        return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
+
+    user = F.col("user_id").cast("string")
+    ident = (F.when(n % 11 == 0, "").when(n % 11 == 1, "NA")
+             .when(n % 11 == 2, F.concat(F.lit('"'), user, F.lit(', x"')))
+             .when(n % 11 == 3, F.concat(F.lit('"say ""'), user, F.lit('"""'))).otherwise(user))
+    date = F.when(n % 13 == 0, "31/02/2024").otherwise(F.date_format("ts", "dd/MM/yyyy"))
+    start = F.when(n % 17 == 0, "00:99").when(n % 17 == 1, "8:3").otherwise(clock(mins))
+    short = F.concat_ws(",", ident, date, start)
+    return events.select(F.when(n % 19 == 0, short).otherwise(F.concat_ws(",", short, clock(mins + 30 + n % 400)))
+                         .alias("ID,Date,Start Time,End Time"))
+
+
+@register("schedule_clean_rough", """
+SELECT CASE WHEN n % 11 = 2 THEN u || ', x' WHEN n % 11 = 3 THEN 'say "' || u || '"' ELSE u END AS id,
+       CAST(ts AS DATE) AS date,
+       CAST(CASE WHEN n % 17 = 0 THEN 99 ELSE m END AS DOUBLE) AS start_time_by_minutes,
+       CAST(m + 30 + n % 400 AS DOUBLE) AS end_time_by_minutes
+FROM (SELECT *, event_id AS n, CAST(user_id AS VARCHAR) AS u, hour(ts)*60 + minute(ts) AS m FROM events)
+WHERE n % 11 > 1 AND n % 13 <> 0 AND n % 17 <> 1 AND n % 19 <> 0
+  AND CASE WHEN n % 17 = 0 THEN 99 ELSE m END > 0
+  AND m + 30 + n % 400 > CASE WHEN n % 17 = 0 THEN 99 ELSE m END""")
+def q_schedule_clean_rough(spark, sf):
+    fx = Fixtures(spark, sf)
+    path = scratch_dir(spark, "upload-csv")
+    # One text column, written as it is: neither separator nor quote occurs in it.
+    (rough_upload(fx.table("events")).write.option("header", True).option("sep", "\u0001")
+     .option("quote", "\u0002").csv(path))
+    return csv_ingest.load_schedule_csv(spark, path).drop("row_seq")
 
 
 @register("stored_schedule", W("""
@@ -161,6 +204,15 @@ def q_dataset_inventory(spark, sf):
     return store.dataset_sizes(spark, _write_weekly_store(spark, sf))
 
 
+@register("stored_datasets", W("""
+SELECT 'w' || CAST(weekofyear(date) AS VARCHAR) AS dataset_id, count(*) AS rows
+FROM schedule_events GROUP BY 1""", "schedule_events"))
+def q_stored_datasets(spark, sf):
+    """The data sets of the store and their rows."""
+    from shiftspark.sources import store
+    return store.dataset_rows(spark, _write_weekly_store(spark, sf))
+
+
 # ---------------------------------------------------------------------------
 # Forecast
 # ---------------------------------------------------------------------------
@@ -229,7 +281,75 @@ def q_forecast_model(spark, sf):
     return forecast_with_model(spark, sf)
 
 
-def forecast_with_model(spark: SparkSession, sf: str, params: model.ForestParams = FIXTURE_FOREST):
+_SERVED_SQL = """
+SELECT '{kind}' AS kind, c.id, c.target_date, c.window_size, c.date AS day,
+       strftime(c.date, '%d/%m/%Y') AS date, {weekday} AS weekday,
+       CASE WHEN s.id IS NOT NULL THEN {start} END AS start_time,
+       CASE WHEN s.id IS NOT NULL THEN {end} END AS end_time,
+       s.id IS NOT NULL AS historical, TRUE AS usable
+FROM {calendar} c JOIN known k ON c.id = k.id
+LEFT JOIN schedule s ON s.id = c.id AND s.date = c.date"""
+
+
+def _served_sql() -> str:
+    parts = {"weekday": O.WEEKDAY_SQL.format(d="c.date"), "start": O.minutes_to_time_sql("s.start_time_by_minutes"),
+             "end": O.minutes_to_time_sql("s.end_time_by_minutes")}
+    single = """,
+single AS (SELECT id, target_date, 1 AS window_size, target_date AS date FROM prediction_requests WHERE target_date IS NOT NULL),
+known AS (SELECT DISTINCT id FROM schedule)"""
+    return (_CALENDAR_SQL + single + _SERVED_SQL.format(kind="window", calendar="cal", **parts)
+            + "\nUNION ALL" + _SERVED_SQL.format(kind="single_day", calendar="single", **parts))
+
+
+@register("forecast_served", W(_served_sql(), "prediction_requests", "schedule"))
+def q_forecast_served(spark, sf):
+    """Train, save, load, then serve every request's window (M6, M10) and its single
+    day (M7).  Recorded days with their times; a predicted day's pair is reduced to
+    whether it is usable: two clock times in order, or NA for both."""
+    served = _served(spark, sf)
+    window, single = forecast.forecast(*served), forecast.forecast_single_day(*served)
+    return _usable(window.withColumn("kind", F.lit("window")).unionByName(single.withColumn("kind", F.lit("single_day"))))
+
+
+def _served(spark: SparkSession, sf: str) -> tuple:
+    """(requests, schedule, model, codes): the model goes through its store."""
+    fx = Fixtures(spark, sf)
+    sched = stored_schedule_of(fx)
+    index = features.id_index(sched)
+    fitted = model.fit_models(features.training_frame(sched, index))
+    path = scratch_dir(spark, "model")
+    model.save_models(fitted, index, model.training_summary(sched, fx.now()), path)
+    loaded, codes, _ = model.load_models(spark, path)
+    return fx.prediction_requests(), sched, loaded, codes
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    clock = r"^[0-9]{2,}:[0-9]{2}$"
+    start, end, hist = F.col("start_time"), F.col("end_time"), F.col("historical")
+    pair = start.rlike(clock) & end.rlike(clock) & (F.lpad(end, 8, "0") >= F.lpad(start, 8, "0"))
+    na = (start == K.NA_VALUE) & (end == K.NA_VALUE)
+    return rows.withColumns({"usable": F.coalesce(hist | pair | na, F.lit(False)),
+                             "start_time": F.when(hist, start), "end_time": F.when(hist, end)})
+
+
+@register("session_information", W(f"""
+SELECT s.session_id, s.ip_address, s.created_at, s.last_accessed, s.expires_at,
+       s.expires_at <= {O.NOW} AS is_expired, l.id IS NOT NULL AS is_trained,
+       coalesce(CAST(json_extract(l.event_data, '$.data_row_count') AS BIGINT), 0) AS data_row_count,
+       coalesce(CAST(json_extract(l.event_data, '$.entity_count') AS BIGINT), 0) AS entity_count
+FROM sessions s LEFT JOIN (SELECT * FROM security_logs WHERE event_type = 'model_trained' AND event_data LIKE '{{%') l
+  ON l.session_id = s.session_id""", "sessions", "security_logs"))
+def q_session_information(spark, sf):
+    """Every session with its training's counts, 0 where it has none."""
+    from shiftspark.plans import jobs
+    fx = Fixtures(spark, sf)
+    t = quotas.training_counts(fx.security_logs()).where(~F.col("is_text"))
+    summaries = t.select(F.col("session_id").alias("dataset_id"), F.lit(True).alias("is_trained"),
+                         F.col("data_points").alias("data_row_count"), F.col("entities").alias("entity_count"))
+    return jobs.session_info(fx.sessions(), summaries, fx.now())
+
+
+def forecast_with_model(spark: SparkSession, sf: str, params: model.ForestParams = model.ForestParams()):
     """Train both forests on the derived schedule, then serve every request."""
     fx = Fixtures(spark, sf)
     sched = stored_schedule_of(fx)
@@ -315,8 +435,9 @@ def q_live_sessions_per_ip(spark, sf):
 
 
 @register("last_access_per_session", W("""
-SELECT s.session_id, s.ip_address, l.last_accessed, l.accesses
-FROM sessions s JOIN (SELECT session_id, max(created_at) AS last_accessed, count(*) AS accesses
+SELECT s.session_id, s.ip_address, coalesce(l.last_accessed, s.last_accessed) AS last_accessed,
+       coalesce(l.accesses, 0) AS accesses
+FROM sessions s LEFT JOIN (SELECT session_id, max(created_at) AS last_accessed, count(*) AS accesses
                       FROM security_logs WHERE session_id IS NOT NULL GROUP BY session_id) l
   ON s.session_id = l.session_id""", "sessions", "security_logs"))
 def q_last_access_per_session(spark, sf):
@@ -413,11 +534,11 @@ def q_session_rejects(spark, sf):
 
 @register("log_retention", W(f"""
 SELECT * FROM security_logs
-WHERE (SELECT count(*) FROM security_logs) <= 10000
-   OR created_at >= {O.NOW} - INTERVAL 30 DAY""", "security_logs"))
+WHERE (SELECT count(*) FROM security_logs) <= {FIXTURE_LOG_ROWS}
+   OR created_at >= {O.NOW} - INTERVAL {FIXTURE_LOG_DAYS} DAY""", "security_logs"))
 def q_log_retention(spark, sf):
     fx = Fixtures(spark, sf)
-    return quality.log_retention(fx.security_logs(), fx.now())
+    return quality.log_retention(fx.security_logs(), fx.now(), FIXTURE_LOG_DAYS, FIXTURE_LOG_ROWS)
 
 
 @register("dataset_profile", W("""
@@ -537,8 +658,7 @@ SELECT ip_address, requests_count, train_count, predictions_count,
 FROM ip_quotas""", "ip_quotas"))
 def q_unban_expired(spark, sf):
     fx = Fixtures(spark, sf)
-    q = fx.ip_quotas()
-    return quotas.unban(q, quotas.ended_bans(q, fx.now()))
+    return quotas.unban_ended(fx.ip_quotas(), fx.now())
 
 
 @register("default_quotas", W(f"""

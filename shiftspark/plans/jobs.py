@@ -50,7 +50,7 @@ def train(spark: SparkSession, csv_path: str, dataset_id: str, schedule_root: st
     info = model.model_info(spark.read.json(f"{path}/summary"))
     profile = upload_profile(spark, csv_path, sched).first().asDict()
     if audit_path:
-        event = summary.select(
+        event = summary.select(         # the store gives the row its id
             F.lit(None).cast("long").alias("id"), F.lit(dataset_id).alias("session_id"),
             F.lit(ip_address).alias("ip_address"), F.lit(K.EVENT_MODEL_TRAINED).alias("event_type"),
             T.json_object(data_row_count=F.col("data_row_count"),
@@ -87,9 +87,11 @@ def cleanup(sessions: DataFrame, logs: DataFrame, now: Column, cascade: bool = T
 
 
 def session_info(sessions: DataFrame, summaries: DataFrame, now: Column) -> DataFrame:
-    """Sessions with their model summary (left join on the data-set id)."""
+    """Sessions with their model summary (left join on the data-set id); the
+    counts of a session without a model are 0."""
     s = sessions.select(*audit.SESSION_COLS,
                         (F.col("expires_at") <= now).alias("is_expired"))
     m = summaries.withColumnRenamed("dataset_id", "session_id")
-    return s.join(m, "session_id", "left").withColumn(
-        "is_trained", F.coalesce(F.col("is_trained"), F.lit(False)))
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("data_row_count", "entity_count") if c in m.columns}
+    return s.join(m, "session_id", "left").withColumns(
+        {"is_trained": F.coalesce(F.col("is_trained"), F.lit(False))} | counts)

@@ -27,21 +27,25 @@ schedule AS (
      AND max(hour(ts)*60 + minute(ts)) > min(hour(ts)*60 + minute(ts)))""",
     "prediction_requests": """
 prediction_requests AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS id, DATE '2024-01-25' AS target_date,
-         CAST(c_custkey % 33 - 1 AS INTEGER) AS window_size FROM customer)""",
+  SELECT CAST(c_custkey AS VARCHAR) AS id,
+         CASE WHEN c_custkey % 41 <> 5 THEN DATE '2024-01-25' END AS target_date,
+         CASE WHEN c_custkey % 37 <> 1 THEN CAST(c_custkey % 33 - 1 AS INTEGER) ELSE 31 END AS window_size
+  FROM customer)""",
     "sessions": """
 sessions AS (
-  SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS session_id,
+  SELECT CASE WHEN o_orderkey % 53 = 7 THEN substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 63)
+              ELSE sha256(CAST(o_orderkey AS VARCHAR)) END AS session_id,
          concat('10.0.0.', CAST(o_custkey % 97 AS VARCHAR)) AS ip_address,
-         o_orderdate + INTERVAL 25 YEAR AS created_at,
-         o_orderdate + INTERVAL 25 YEAR + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS last_accessed,
-         o_orderdate + INTERVAL 25 YEAR + INTERVAL 365 DAY AS expires_at,
+         o_orderdate + INTERVAL 8217 DAY AS created_at,
+         o_orderdate + INTERVAL 8217 DAY + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS last_accessed,
+         CASE WHEN o_orderkey % 59 = 3 THEN o_orderdate + INTERVAL 8216 DAY
+              ELSE o_orderdate + INTERVAL 8582 DAY END AS expires_at,
          CASE WHEN o_orderkey % 10 = 0 THEN concat('{', chr(39), 'a', chr(39), ': 1}')
               ELSE '{"a":1}' END AS metadata
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-31 00:00:00')""",
+  FROM orders)""",
     "ip_quotas": """
 ip_quotas AS (
-  SELECT concat('10.0.0.', CAST(user_id % 97 AS VARCHAR)) AS ip_address,
+  SELECT concat('10.0.0.', CAST(user_id % 89 AS VARCHAR)) AS ip_address,
          count(*) AS requests_count,
          count(CASE WHEN event_type = 'purchase' THEN 1 END) AS train_count,
          count(CASE WHEN event_type = 'view' THEN 1 END) AS predictions_count,
@@ -51,20 +55,28 @@ ip_quotas AS (
          CAST(count(*) * 0.5 AS DOUBLE) AS storage_used_mb,
          max(ts) AS last_reset, min(ts) AS created_at
   FROM events
-  GROUP BY concat('10.0.0.', CAST(user_id % 97 AS VARCHAR)))""",
+  GROUP BY concat('10.0.0.', CAST(user_id % 89 AS VARCHAR)))""",
     "security_logs": """
+log_rows AS (
+  SELECT *, event_id AS row_id, ts AS logged_at,
+         CASE WHEN event_type = 'purchase' THEN printf('{"entity_count":%d,"data_row_count":%d}', event_id % 50 + 1, event_id % 900 + 10)
+              ELSE props END AS data FROM events
+  UNION ALL
+  SELECT *, -event_id - 1 AS row_id, ts + to_seconds(event_id % 120) AS logged_at,
+         printf('entities=%d, data_points=%d', event_id % 50 + 1, event_id % 900 + 10) AS data
+  FROM events WHERE event_type = 'purchase'),
 security_logs AS (
-  SELECT event_id AS id, sha256(CAST(event_id AS VARCHAR)) AS session_id,
+  SELECT row_id AS id, sha256(CAST(event_id AS VARCHAR)) AS session_id,
          concat('10.0.0.', CAST(user_id % 97 AS VARCHAR)) AS ip_address,
          CASE event_type WHEN 'view' THEN 'prediction_made' WHEN 'click' THEN 'session_accessed'
               WHEN 'signup' THEN 'session_created' WHEN 'purchase' THEN 'model_trained'
               ELSE 'rate_limit_hit' END AS event_type,
-         props AS event_data,
+         data AS event_data,
          CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS severity,
-         ts AS created_at FROM events)""",
+         logged_at AS created_at FROM log_rows)""",
     "file_inventory": """
 file_inventory AS (
-  SELECT sha256(CAST(doc_id * 20 AS VARCHAR)) AS session_id,
+  SELECT sha256(CAST((doc_id - doc_id % 3) * 30 AS VARCHAR)) AS session_id,
          concat('f', CAST(doc_id AS VARCHAR)) AS file_name, n_chars AS length FROM documents)""",
 }
 

@@ -38,6 +38,35 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def _local_base(spark: SparkSession) -> str:
+    """A temporary folder, only where driver and executors are one process."""
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shiftspark-")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def remove_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that ``scratch_dir`` named, once nothing reads it any more;
+    other paths are left alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base or not path.startswith(base.rstrip("/") + "/"):
+        return False
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
@@ -49,7 +78,7 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="shiftspark-")
+        base = _local_base(spark)
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -65,7 +94,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shiftspark-")
+        base = _local_base(spark)
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 

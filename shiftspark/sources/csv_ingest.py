@@ -57,9 +57,14 @@ def pick_separator(header: str, min_columns: int = len(K.SCHEDULE_COLUMNS)) -> s
 CORRUPT = "_corrupt_record"
 
 
-def read_raw_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
     """All-text scan with cleaned header names and a file-order sequence.
 
+    Quotes are doubled inside quoted fields.  ``multi_line`` (the default, as an
+    upload has at most 50 MB) reads line ends inside quotes and one task a file;
+    without it, large files are split and a quoted line end breaks its row.
+    Every file must have the header of the first one.
+
     The schema is the header's own fields (all text) plus ``_corrupt_record``,
     so rows whose field count differs from the header are kept and marked
     rather than cut silently.
@@ -73,11 +78,12 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str | None = None) -> Data
     dup = {c for c in cleaned if cleaned.count(c) > 1}
     if dup:
         raise InvalidCsvError(f"header names collide after cleaning: {sorted(dup)}")
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(cleaned))]
+    schema = StructType([StructField(c, StringType()) for c in names]
                         + [StructField(CORRUPT, StringType())])
     raw = (spark.read.schema(schema).option("sep", sep).option("header", True)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .csv(path))
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+           .option("enforceSchema", False).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     # Rows of one file keep file order in the id; it orders "last record wins".
     return (raw.toDF(*cleaned, CORRUPT)
             .withColumn("row_seq", F.monotonically_increasing_id())
@@ -145,14 +151,14 @@ def clean_schedule(raw: DataFrame, mapping: ColumnMapping = ColumnMapping(),
 
 
 def load_schedule_csv(spark: SparkSession, path: str, mapping: ColumnMapping = ColumnMapping(),
-                      validate: bool = True) -> DataFrame:
+                      validate: bool = True, multi_line: bool = True) -> DataFrame:
     """S1-S4 end to end.
 
     ``validate`` runs limit-1 jobs: the file has rows, no row is longer than
     the header, something is left after cleaning (and, if not, whether any
     date parsed, for the error message).  Without it the load stays lazy.
     """
-    raw = read_raw_csv(spark, path)
+    raw = read_raw_csv(spark, path, multi_line=multi_line)
     out = clean_schedule(raw, mapping)
     if validate:
         if raw.isEmpty():

@@ -52,7 +52,9 @@ def save_datasets(schedule: DataFrame, path: str, dataset_col: str) -> None:
     """S5 for many data sets at once: each value of ``dataset_col`` replaces
     its own partition (dynamic overwrite), the others stay."""
     cols = [c for c in SCHEDULE_SCHEMA.fieldNames() if c in schedule.columns]
+    # Rebalanced by data set: a file or few each, and a large one is split by size.
     (schedule.select(*cols, F.col(dataset_col).alias(DATASET))
+     .hint("rebalance", DATASET)
      .sortWithinPartitions(DATASET, K.ID, K.DATE)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(DATASET).parquet(path))
@@ -90,6 +92,11 @@ def dataset_sizes(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("size_mb", bytes_to_mb("bytes")))
 
 
+def dataset_rows(spark: SparkSession, root: str) -> DataFrame:
+    """S11 with the rows of each data set: counted from file footers' columns only."""
+    return read_datasets(spark, root).groupBy(DATASET).agg(F.count("*").alias("rows"))
+
+
 def list_datasets(spark: SparkSession, root: str) -> DataFrame:
     """The data-set ids present in the store."""
     return dataset_sizes(spark, root).select(DATASET)
@@ -107,9 +114,11 @@ AUDIT_SCHEMA = T.StructType([
 
 
 def append_audit_events(events: DataFrame, path: str) -> None:
-    """Append a batch of audit rows (any number) to the log table."""
+    """Append a batch of audit rows (any number) to the log table.  A row
+    without an id gets a random one, so that rows of one instant have an order."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields]
-    events.select(*cols).write.mode("append").parquet(path)
+    given = events.select(*cols)
+    given.withColumn("id", F.coalesce("id", F.xxhash64(F.expr("uuid()")))).write.mode("append").parquet(path)
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark import constants as K
+from shiftspark.functions.timeparts import expiry_from_creation
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -18,6 +19,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Fixed clock for every audit operator run on the derived tables.
 FIXTURE_NOW = "2024-01-31 00:00:00"
+# The last order day becomes the day before the fixed clock.
+ORDER_SHIFT_DAYS = 8217
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,38 +54,43 @@ def schedule(events: DataFrame) -> DataFrame:
 
 
 def prediction_requests(customer: DataFrame) -> DataFrame:
-    """Known and unknown ids, window sizes -1..31, all customers."""
-    return customer.select(F.col("c_custkey").cast("string").alias(K.ID),
-                           F.lit("2024-01-25").cast("date").alias("target_date"),
-                           (F.col("c_custkey") % 33 - 1).cast("int").alias("window_size"))
+    """Known and unknown ids, window sizes -1..31 or none, some without a valid
+    date, all customers."""
+    key = F.col("c_custkey")
+    return customer.select(
+        key.cast("string").alias(K.ID),
+        F.when(key % 41 != 5, F.lit("2024-01-25").cast("date")).alias("target_date"),
+        F.when(key % 37 != 1, (key % 33 - 1).cast("int")).alias("window_size"))
 
 
 def sessions(orders: DataFrame) -> DataFrame:
-    """Sessions: active, expired, and some with non-JSON metadata."""
-    created = F.col("o_orderdate") + F.expr("INTERVAL 25 YEARS")
+    """One session per order, moved so that the last ones begin shortly before the
+    fixed clock: active and expired ones, some with non-JSON metadata, a malformed
+    token, or an expiry before their creation."""
+    created = F.col("o_orderdate") + F.make_dt_interval(days=F.lit(ORDER_SHIFT_DAYS))
+    token = F.sha2(F.col("o_orderkey").cast("string"), 256)
     bad_meta = F.concat(F.lit("{"), F.lit("'a'"), F.lit(": 1}"))
-    return (orders.where(F.col("o_orderdate") < F.lit("1999-01-31 00:00:00").cast("timestamp_ntz"))
-            .select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("session_id"),
-                    F.concat(F.lit("10.0.0."), (F.col("o_custkey") % 97).cast("string")).alias("ip_address"),
-                    created.alias("created_at"),
-                    (created + F.make_dt_interval(hours=F.lit(9), mins=F.lit(30))).alias("last_accessed"),
-                    (created + F.make_dt_interval(days=F.lit(365))).alias("expires_at"),
-                    F.when(F.col("o_orderkey") % 10 == 0, bad_meta)
-                     .otherwise(F.lit('{"a":1}')).alias("metadata")))
+    return orders.select(
+        F.when(F.col("o_orderkey") % 53 == 7, F.substring(token, 1, 63)).otherwise(token).alias("session_id"),
+        F.concat(F.lit("10.0.0."), (F.col("o_custkey") % 97).cast("string")).alias("ip_address"),
+        created.alias("created_at"),
+        (created + F.make_dt_interval(hours=F.lit(9), mins=F.lit(30))).alias("last_accessed"),
+        F.when(F.col("o_orderkey") % 59 == 3, created - F.make_dt_interval(days=F.lit(1)))
+         .otherwise(expiry_from_creation(created)).alias("expires_at"),
+        F.when(F.col("o_orderkey") % 10 == 0, bad_meta).otherwise(F.lit('{"a":1}')).alias("metadata"))
 
 
-def _ip_of_user() -> Column:
-    return F.concat(F.lit("10.0.0."), (F.col("user_id") % 97).cast("string"))
+def _ip_of_user(ips: int = 97) -> Column:
+    return F.concat(F.lit("10.0.0."), (F.col("user_id") % ips).cast("string"))
 
 
 def ip_quotas(events: DataFrame) -> DataFrame:
     """One quota row per ip seen in the events (every event counts).
 
-    Session ips come from orders, quota ips from events: where the events
-    cover fewer ips (small scale factors), session ips without a quota row
-    exercise J7."""
+    Users share 89 ips here and sessions have 97, so some session ips have no
+    quota row (J7)."""
     return (events
-            .groupBy(_ip_of_user().alias("ip_address"))
+            .groupBy(_ip_of_user(89).alias("ip_address"))
             .agg(F.count("*").alias("requests_count"),
                  F.count_if(F.col("event_type") == "purchase").alias("train_count"),
                  F.count_if(F.col("event_type") == "view").alias("predictions_count"),
@@ -96,10 +104,21 @@ def ip_quotas(events: DataFrame) -> DataFrame:
 
 
 def security_logs(events: DataFrame) -> DataFrame:
-    """The audit log: one row per event."""
+    """The audit log: one row per event, and a second one for every training,
+    which the service logs as JSON and again, up to two minutes later, as text.
+    One projection with an explode, so it works on a stream as well."""
     et = F.col("event_type")
+    n = F.col("event_id")
+    counts = [(n % 50 + 1).cast("string"), (n % 900 + 10).cast("string")]
+    trained = F.array(
+        F.struct(n.alias("id"), F.concat(F.lit('{"entity_count":'), counts[0], F.lit(',"data_row_count":'), counts[1], F.lit("}")).alias("data"),
+                 F.col("ts").alias("at")),
+        F.struct((-n - 1).alias("id"), F.concat(F.lit("entities="), counts[0], F.lit(", data_points="), counts[1]).alias("data"),
+                 (F.col("ts") + F.make_dt_interval(secs=(n % 120).cast("decimal(18,6)"))).alias("at")))
+    other = F.array(F.struct(n.alias("id"), F.col("props").alias("data"), F.col("ts").alias("at")))
+    events = events.withColumn("_row", F.explode(F.when(et == "purchase", trained).otherwise(other)))
     return events.select(
-        F.col("event_id").alias("id"),
+        F.col("_row.id").alias("id"),
         F.sha2(F.col("event_id").cast("string"), 256).alias("session_id"),
         _ip_of_user().alias("ip_address"),
         F.when(et == "view", K.EVENT_PREDICTION_MADE)
@@ -107,15 +126,15 @@ def security_logs(events: DataFrame) -> DataFrame:
          .when(et == "signup", K.EVENT_SESSION_CREATED)
          .when(et == "purchase", K.EVENT_MODEL_TRAINED)
          .otherwise(K.EVENT_RATE_LIMIT_HIT).alias("event_type"),
-        F.col("props").alias("event_data"),
+        F.col("_row.data").alias("event_data"),
         F.when(et == "error", K.SEVERITY_WARNING).otherwise(K.SEVERITY_INFO).alias("severity"),
-        F.col("ts").alias("created_at"))
+        F.col("_row.at").alias("created_at"))
 
 
 def file_inventory(documents: DataFrame) -> DataFrame:
-    """Files per data set; some data sets have no session."""
+    """Three files per data set; some data sets have no session."""
     return documents.select(
-        F.sha2((F.col("doc_id") * 20).cast("string"), 256).alias("session_id"),
+        F.sha2(((F.col("doc_id") - F.col("doc_id") % 3) * 30).cast("string"), 256).alias("session_id"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_name"),
         F.col("n_chars").alias("length"))
 

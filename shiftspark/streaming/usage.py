@@ -23,7 +23,7 @@ from shiftspark.functions.timeparts import instant_to_wall_clock, wall_clock_to_
 from shiftspark.operators import quotas
 from shiftspark.plans.catalog import register
 from shiftspark.plans.oracle import with_fixtures as W
-from shiftspark.session import scratch_dir
+from shiftspark.session import is_folder, scratch_dir, ship_package
 from shiftspark.sources.tables import Fixtures, read_table, security_logs
 
 WATERMARK = "10 minutes"
@@ -34,12 +34,18 @@ FILES_PER_TRIGGER = 8
 
 def read_events_stream(spark: SparkSession, sf_dir: str,
                        files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
-    """The events table as a file stream (schema taken from the batch table)."""
-    schema = read_table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema)
+    """The events table as a file stream (schema taken from the batch table): a
+    folder of part files, or a single file.  A table without any file raises."""
+    table = read_table(spark, sf_dir, "events")
+    if not table.inputFiles():
+        raise FileNotFoundError(f"no events under {sf_dir}")
+    reader = spark.readStream.schema(table.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    # A file source watches a folder; the glob keeps it to the events table.
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    # A file source watches a folder; the glob keeps it to the one file.
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
 
 
@@ -145,6 +151,7 @@ def q_stream_bans(spark, sf):
     """Stateful per-ip decisions on the stream; summarised like batch ``bans``."""
     from shiftspark.plans.catalog import FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS, FIXTURE_LIMITS
     from shiftspark.streaming import bans as SB
+    ship_package(spark)
     decisions = run_to_table(SB.ban_decisions(log_stream(spark, sf), FIXTURE_LIMITS,
                                               FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS), "bans")
     return SB.bans_from_decisions(decisions, FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from shiftspark.plans import catalog
 from shiftspark.sources.tables import TABLES
 
 from conftest import SF_SMALL
@@ -37,8 +38,12 @@ def duck():
     return con
 
 
+def test_entry_registers_the_catalog():
+    assert set(catalog.queries()) <= set(E.queries())
+
+
 def test_every_query_has_oracle_or_is_known_rows_only():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"forecast_model", "dataset_inventory"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"forecast_model", "dataset_inventory"}
 
 
 def test_dataset_inventory_matches_the_store(spark):
@@ -52,7 +57,7 @@ def test_dataset_inventory_matches_the_store(spark):
     assert all(r.files >= 1 and r.bytes > 0 and r.size_mb == r.bytes / 1048576.0 for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = canon(df.columns, [tuple(r) for r in df.collect()])

@@ -1,0 +1,188 @@
+"""Cases named by the last review: CSV text, null and zero limits, folders as streams, store layout."""
+
+import datetime as dt
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from shiftspark import session as S
+from shiftspark.functions import timeparts as T
+from shiftspark.operators import audit, forecast, quality, quotas
+from shiftspark.plans import catalog, jobs
+from shiftspark.sources import csv_ingest, store
+from shiftspark.sources.tables import Fixtures
+from shiftspark.streaming import usage
+from conftest import SF_SMALL
+
+LOG = "id long, session_id string, ip_address string, event_type string, event_data string, severity string, created_at timestamp_ntz"
+NOON = dt.datetime(2024, 1, 5, 12)
+
+
+def log(spark, rows):
+    return spark.createDataFrame([(i, "s", ip, kind, None, "INFO", at) for i, ip, kind, at in rows], LOG)
+
+
+# --- CSV ----------------------------------------------------------------------
+
+def test_quotes_line_ends_and_backslashes_as_pandas(spark, tmp_dir):
+    text = ('ID,Date,Start Time,End Time\n"a ""b"" c",2025-01-15,08:00,17:00\n"x\ny",2025-01-15,08:00,17:00\n'
+            'end\\,2025-01-15,08:00,17:00\n"com,ma",2025-01-15,08:00,17:00\n')
+    (open(f"{tmp_dir}/u.csv", "w")).write(text)
+    got = csv_ingest.load_schedule_csv(spark, f"{tmp_dir}/u.csv")
+    assert {r["id"] for r in got.collect()} == set(pd.read_csv(f"{tmp_dir}/u.csv")["ID"])
+
+
+def test_every_file_must_have_the_first_header(spark, tmp_dir):
+    (open(f"{tmp_dir}/a.csv", "w")).write("ID,Date,Start Time,End Time\n1,2025-01-15,08:00,17:00\n")
+    (open(f"{tmp_dir}/b.csv", "w")).write("ID,Date,End Time,Start Time\n2,2025-01-15,17:00,08:00\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_ingest.load_schedule_csv(spark, tmp_dir, validate=False).collect()
+
+
+def test_without_multi_line_a_file_can_be_split(spark, tmp_dir):
+    (open(f"{tmp_dir}/a.csv", "w")).write("ID;Date;Start Time;End Time\n1;2025-01-15;08:00;17:00\n")
+    assert csv_ingest.load_schedule_csv(spark, tmp_dir, multi_line=False).count() == 1
+
+
+# --- limits and bans ------------------------------------------------------------
+
+def test_a_row_without_id_is_told(spark):
+    rows = log(spark, [(None, "i", "prediction_made", NOON)] * 6)
+    with pytest.raises(Exception, match="no id"):
+        quotas.rate_rejects(rows, (quotas.RateLimit("request", "1 day", 2),)).collect()
+
+
+def test_appended_rows_get_ids_that_order_them(spark, tmp_dir):
+    rows = log(spark, [(None, "i", "prediction_made", NOON)] * 6)
+    store.append_audit_events(rows, f"{tmp_dir}/log")
+    back = store.read_audit_log(spark, f"{tmp_dir}/log")
+    assert back.select("id").distinct().count() == 6
+    got = quotas.bans(back, (quotas.RateLimit("request", "1 day", 2),), 2, 24).first()
+    assert (got["accepted"], got["violations"], got["refused_while_banned"], got["is_banned"]) == (2, 2, 2, True)
+
+
+def test_limit_of_zero_refuses_everything(spark):
+    rows = log(spark, [(i, "i", "prediction_made" if i % 2 else "model_trained", NOON) for i in range(6)])
+    assert quotas.rate_rejects(rows, (quotas.RateLimit("request", "1 day", 0),)).count() == 6
+    two = (quotas.RateLimit("predict", "1 day", 0, ("prediction_made",)), quotas.RateLimit("request", "1 day", 2))
+    assert {r["action"]: r["count"] for r in quotas.rate_rejects(rows, two).groupBy("action").count().collect()} == {"predict": 3, "request": 1}
+
+
+def test_ban_after_zero_needs_a_violation(spark):
+    rows = log(spark, [(i, "i", "prediction_made", NOON) for i in range(4)])
+    got = quotas.bans(rows, (quotas.RateLimit("request", "1 day", 1),), 0, 24).first()
+    assert (got["accepted"], got["violations"], got["refused_while_banned"]) == (1, 1, 2)
+
+
+def test_window_with_nothing_but_a_duplicate_has_no_request(spark):
+    rows = [(1, "s", "i", "model_trained", '{"entity_count":3,"data_row_count":9}', "INFO", dt.datetime(2024, 1, 5, 12, 59, 50)),
+            (2, "s", "i", "model_trained", "entities=3, data_points=9", "INFO", dt.datetime(2024, 1, 5, 13, 0, 5))]
+    got = quotas.usage_by_window(spark.createDataFrame(rows, LOG)).collect()
+    assert [(r["window_start"].hour, r["requests"], r["trainings"]) for r in got] == [(13, 1, 1)]
+
+
+def test_json_keeps_nulls_and_escapes(spark):
+    df = spark.createDataFrame([(None, 'a"b\\')], "x string, y string")
+    r = df.select(T.json_object(x=F.col("x"), y=F.col("y")).alias("o"), T.json_text("y").alias("t"), T.json_text("x").alias("n")).first()
+    assert r["o"] == '{"x":null,"y":"a\\"b\\\\"}' and r["t"] == '"a\\"b\\\\"' and r["n"] == "null"
+
+
+def test_ended_bans_are_lifted_on_the_row(spark):
+    rows = [("a", 3, True, NOON), ("b", 3, True, None), ("c", 3, False, None), ("d", 3, None, NOON), ("e", 3, True, NOON + dt.timedelta(days=9))]
+    q = spark.createDataFrame(rows, "ip_address string, violations_count long, is_banned boolean, banned_until timestamp_ntz")
+    now = F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
+    a = quotas.unban_ended(q, now)
+    assert sorted(map(str, a.collect())) == sorted(map(str, quotas.unban(q, quotas.ended_bans(q, now)).collect()))
+    assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+# --- sessions and requests ------------------------------------------------------
+
+def test_every_session_has_a_last_access(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    got = audit.last_access_per_session(fx.security_logs(), fx.sessions())
+    assert got.count() == fx.sessions().count() == fx.table("orders").count()
+    assert got.where("last_accessed IS NULL").count() == 0 and got.where("accesses = 0").count() > 0
+
+
+def test_untrained_sessions_have_zero_counts(spark):
+    got = catalog.REGISTRY["session_information"].fn(spark, SF_SMALL)
+    assert got.where("data_row_count IS NULL OR entity_count IS NULL").count() == 0
+    assert got.where("NOT is_trained AND data_row_count = 0").count() > 0 and got.where("is_trained").count() > 0
+    assert jobs.session_info.__doc__
+
+
+def test_request_without_window_size_gets_the_default(spark):
+    r = spark.createDataFrame([("1", dt.date(2024, 1, 25), None)], "id string, target_date date, window_size int")
+    assert forecast.calendar(r).count() == 31
+
+
+def test_fixtures_reach_every_reject_reason(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    reasons = {r["reason"] for r in quality.session_rejects(fx.sessions()).select("reason").distinct().collect()}
+    assert reasons == {"bad_token", "expiry_not_in_future", "invalid_metadata_json"}
+    got = catalog.REGISTRY["unknown_entities"].fn(spark, SF_SMALL)
+    assert {r["reason"] for r in got.select("reason").distinct().collect()} == {"invalid_date", "unknown_id"}
+    kept = catalog.REGISTRY["log_retention"].fn(spark, SF_SMALL).count()
+    assert 0 < kept < fx.security_logs().count()
+    assert quotas.duplicate_trainings(fx.security_logs()).count() > 0
+
+
+# --- streams over a folder --------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """sf0.001 with the events in 20 files in time order."""
+    base = str(tmp_path_factory.mktemp("sf"))
+    for t in ("orders", "events", "customer", "documents"):
+        df = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        if t == "events":
+            df = df.repartitionByRange(20, "ts").sortWithinPartitions("ts")
+        df.write.parquet(f"{base}/{t}.parquet")
+    return base
+
+
+@pytest.mark.parametrize("name", ["stream_usage_by_window", "stream_ip_changes", "stream_bans"])
+def test_streams_read_a_folder_like_a_file(spark, folder, name):
+    a, b = (sorted(map(str, catalog.queries()[name](spark, d).collect())) for d in (folder, SF_SMALL))
+    assert a and a == b
+
+
+def test_a_stream_without_files_is_told(spark, tmp_dir):
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(0).write.parquet(f"{tmp_dir}/x")
+    import os
+    os.makedirs(f"{tmp_dir}/events.parquet")
+    with pytest.raises(Exception):
+        usage.read_events_stream(spark, tmp_dir)
+
+
+# --- store and scratch --------------------------------------------------------------
+
+def test_a_data_set_has_few_files(spark, tmp_dir):
+    ev = Fixtures(spark, SF_SMALL).schedule_events().repartition(40).withColumn("ds", F.concat(F.lit("w"), F.weekofyear("date")))
+    store.save_datasets(ev, f"{tmp_dir}/store", "ds")
+    sizes = store.dataset_sizes(spark, f"{tmp_dir}/store")
+    n = sizes.count()
+    assert n > 1 and sizes.agg(F.sum("files")).first()[0] <= 2 * n
+    assert store.read_datasets(spark, f"{tmp_dir}/store").count() == ev.count()
+    assert store.dataset_rows(spark, f"{tmp_dir}/store").agg(F.sum("rows")).first()[0] == ev.count()
+
+
+def test_temporary_scratch_only_on_a_local_master():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S._local_base(Session())
+
+
+def test_scratch_is_removed_and_nothing_else(spark, tmp_dir):
+    path = S.scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert S.path_exists(spark, path) and S.remove_scratch(spark, path) and not S.path_exists(spark, path)
+    spark.range(3).write.parquet(f"{tmp_dir}/kept")
+    assert not S.remove_scratch(spark, f"{tmp_dir}/kept") and S.path_exists(spark, f"{tmp_dir}/kept")
