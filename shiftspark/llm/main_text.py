@@ -68,8 +68,17 @@ def features(page: Page) -> list[list[str]]:
         linked[p] += linked[i]
         ends[p] += ends[i]
     out = []
+    named: list[frozenset] = []          # words of the class, id, role ... of each element
     for i in range(n):
         tag, p = page.tag[i], page.parent[i]
+        hidden, own_words = False, set()
+        if page.attrs[i]:
+            a = attributes(page.attrs[i])
+            for k in ("class", "id", "role", "aria-label", "itemprop"):
+                if k in a:
+                    own_words.update(_WORD.findall(_CAMEL.sub(" ", a[k]).lower()))
+            hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
+        named.append(frozenset(own_words))
         f = ["any", f"tag={tag}", f"own={_bin(direct[i], (1, 20, 60, 200))}", f"len={_bin(total[i], (1, 30, 100, 300, 1000))}",
              f"link={_bin(linked[i] / max(1, total[i]), (0.01, 0.3, 0.7))}", f"stops={_bin(ends[i], (1, 3, 10))}",
              f"kids={_bin(kids[i], (1, 3, 10))}"]
@@ -79,13 +88,14 @@ def features(page: Page) -> list[list[str]]:
             f.append("copyright")
         if tag in ("h1", "p", "article", "main", "section", "div", "td"):
             f.append(f"{tag}len={_bin(total[i], (1, 30, 100, 300))}")
-        if page.attrs[i]:
-            a = attributes(page.attrs[i])
-            for k in ("class", "id", "role", "aria-label", "itemprop"):
-                if k in a:
-                    f += ["w=" + w for w in set(_WORD.findall(_CAMEL.sub(" ", a[k]).lower()))]
-            if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-                f.append("hidden")
+        f += ["w=" + w for w in own_words]
+        if hidden:
+            f.append("hidden")
+        if p >= 0:
+            f += ["upw=" + w for w in named[p]]
+            if page.parent[p] >= 0:
+                f.append("upup=" + page.tag[page.parent[p]])
+                f += ["upupw=" + w for w in named[page.parent[p]]]
         out.append(f)
     return out
 
@@ -150,7 +160,7 @@ _ROLES = {
     "footer": ("footer copyright bottom legal colophon foot credits", ("footer", "div", "footer")),
     "aside": ("sidebar side aside widget related popular trending recommended rail more tags toplist archive", ("aside", "div", "section", "aside")),
     "notice": ("cookie cookies consent notice gdpr alert popup modal newsletter subscribe privacy warning message overlay paywall announcement disclaimer", ("div", "section", "aside", "p")),
-    "ad": ("ad ads advert advertisement sponsored sponsor promo promoted adsense adbox commercial banner partner", ("div", "aside", "section", "p", "ins", "span")),
+    "ad": ("ad ads advert advertisement sponsored sponsor promo promoted adsense adsbygoogle adbox commercial banner partner", ("div", "aside", "section", "p", "ins", "span")),
     "form": ("search login signup subscribe form contact newsletter register poll", ("form", "form", "div")),
     "comments": ("comments comment commentlist replies reply discussion respond disqus responses thread reader readers feedback reviews", ("section", "div", "ol", "div", "ul", "aside")),
     "share": ("share social sharing follow buttons tools print", ("div", "ul", "p")),
@@ -201,17 +211,21 @@ class _Writer:
         names, tags = _ROLES[role]
         tag = r.choice(tags)
         sure = tag in ("div", "section", "p", "ul", "ol", "span", "ins")
-        para = lambda a, b: self.el("p", 0, self.inline(self.words(r.randint(a, b)), 0))
+        # What stands around an article can be as long as its paragraphs.
+        n_words = lambda a, b: r.randint(20, 120) if r.random() < 0.3 else r.randint(a, b)
+        para = lambda a, b: self.el("p", 0, self.inline(self.words(n_words(a, b)), 0))
         if role == "nav":
-            items = [f'<a data-y="0" href="/x">{self.words(r.randint(1, 3))}</a>' for _ in range(r.randint(2, 9))]
+            plain = r.random() < 0.15
+            items = [self.words(n_words(1, 5)) if plain else f'<a data-y="0" href="/x">{self.words(r.randint(1, 3))}</a>' for _ in range(r.randint(1, 9))]
             inner = "".join(self.el("li", 0, x) for x in items) if tag == "ul" else self.links(0, r.randint(2, 9))
         elif role == "header":
             inner = r.choice((self.el("h1", 0, self.words(r.randint(1, 6))), self.el("p", 0, self.words(r.randint(1, 12))), self.words(r.randint(1, 8)),
                               self.el("span", 0, self.words(3)), self.role("nav"), self.el("h2", 0, self.words(4)) + self.links(0, 3)))
         elif role == "footer":
-            inner = r.choice((f"&copy; {self.words(r.randint(1, 25))}", para(2, 25), self.links(0, 4) + self.words(4), f"{self.words(5)} &middot; {self.words(12)}"))
+            inner = r.choice((f"&copy; {self.words(r.randint(1, 25))}", para(2, 25), self.words(n_words(2, 30)), self.links(0, 4) + self.words(4), f"{self.words(5)} &middot; {self.words(12)}"))
         elif role == "aside":
-            inner = r.choice((self.el("h3", 0, self.words(2)) + self.links(0, r.randint(1, 6)), para(3, 40), self.words(r.randint(2, 25)), para(5, 30) + para(5, 30)))
+            inner = r.choice((self.el("h3", 0, self.words(2)) + self.links(0, r.randint(1, 6)), para(3, 40), self.words(n_words(2, 25)), para(5, 30) + para(5, 30),
+                              self.el("ul", 0, self.el("li", 0, self.words(n_words(2, 20))) + self.el("li", 0, self.words(n_words(2, 20))))))
         elif role == "form":
             inner = f'<label data-y="0">{self.words(2)}</label><input data-y="0" name="q"><button data-y="0">{self.words(1)}</button>' + (para(2, 15) if r.random() < 0.4 else "")
         elif role == "comments":
@@ -221,13 +235,14 @@ class _Writer:
         elif role == "share":
             inner = self.links(0, r.randint(1, 5))
         else:
-            inner = r.choice((self.words(r.randint(1, 30)), para(2, 40), para(3, 20) + f'<button data-y="0">{self.words(1)}</button>', f'<a data-y="0" href="/x">{self.words(5)}</a>'))
+            inner = r.choice((self.words(n_words(1, 30)), para(2, 40), para(2, 40) + para(2, 40), para(3, 20) + f'<button data-y="0">{self.words(1)}</button>', f'<a data-y="0" href="/x">{self.words(5)}</a>'))
         return self.el(tag, 0, inner, names, 1.0 if sure or tag == "aside" and role != "aside" else 0.4)
 
     def article(self) -> str:
         r, parts = self.r, []
         if r.random() < 0.7:
-            parts.append(self.el(r.choice(("h1", "h1", "h2")), 1, self.words(r.randint(1, 10)), "title headline entry", 0.3))
+            title = self.el(r.choice(("h1", "h1", "h2")), 1, self.words(r.randint(1, 10)), "title headline entry", 0.3)
+            parts.append(self.el("header", 1, title) if r.random() < 0.12 else title)
         for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))):
             k = r.random()
             if k < 0.72:
@@ -235,7 +250,10 @@ class _Writer:
             elif k < 0.80:
                 parts.append(self.el(r.choice(("h2", "h3", "h4")), 1, self.words(r.randint(1, 7))))
             elif k < 0.87:
-                parts.append(self.el(r.choice(("ul", "ol")), 1, "".join(self.el("li", 1, self.inline(self.words(r.randint(1, 20)), 1)) for _ in range(r.randint(1, 6)))))
+                linked = 0.9 if r.random() < 0.35 else 0.1      # a reading list, or a list that may hold a link
+                parts.append(self.el(r.choice(("ul", "ol")), 1, "".join(
+                    self.el("li", 1, f'<a data-y="1" href="/x">{self.words(r.randint(1, 6))}</a>' if r.random() < linked
+                            else self.inline(self.words(r.randint(1, 20)), 1)) for _ in range(r.randint(1, 6)))))
             elif k < 0.91:
                 parts.append(self.el("blockquote", 1, r.choice((self.el("p", 1, self.words(20)), self.words(20)))))
             elif k < 0.94:
@@ -245,8 +263,10 @@ class _Writer:
                 parts.append(self.el("figure", 1, '<img data-y="1" src="x">' + self.el("figcaption", 1, self.words(8))))
             else:
                 parts.append(self.el(r.choice(("pre", "div", "section")), 1, self.words(25)))
-            if r.random() < 0.08:
-                parts.append(self.role(r.choice(("ad", "aside", "share", "notice", "form", "ad"))))
+            if r.random() < 0.12:
+                parts.append(self.role(r.choice(("ad", "aside", "share", "notice", "form", "ad", "comments"))))
+        if r.random() < 0.08:
+            parts.append(self.role("footer"))
         return "".join(parts)
 
     def page(self) -> str:
@@ -287,7 +307,7 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[Page, np.ndarray]]:
         yield page, np.array(state)
 
 
-def train(pages: int = 1200, epochs: int = 150, l2: float = 1e-4, seed: int = 11) -> TreeModel:
+def train(pages: int = 1500, epochs: int = 250, l2: float = 1e-4, seed: int = 11) -> TreeModel:
     """Element factors by logistic regression, pair factors from counts."""
     names: dict[str, int] = {}
     ids, count, states, pair = [], [], [], np.ones((3, 3))
