@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from shiftspark.session import ship_package
 from shiftspark.sources.tables import read_table
 
-__all__ = ["NO_ID", "keep_texts", "map_batches", "read_table", "sample_rows"]
+__all__ = ["NO_ID", "keep_texts", "lists_of", "map_batches", "read_table", "sample_rows"]
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
@@ -55,6 +56,15 @@ def keep_texts(docs: DataFrame, digest_of: Callable[[pa.Array], pa.Array], liste
     return out.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
+def lists_of(table: pa.Table, column: str) -> list[np.ndarray]:
+    """The lists of an int32 list column as arrays over one buffer, no Python numbers made."""
+    out = []
+    for chunk in table.column(column).chunks:
+        edge, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [values[a:z] for a, z in zip(edge, edge[1:], strict=False)]
+    return out
+
+
 def sample_rows(spark: SparkSession, df: DataFrame, key: str, label: str, per_class: int, seed: int) -> DataFrame:
     """At most about ``per_class`` rows of each value of ``label``, chosen by a
     seeded hash of ``key``: each class is thinned by its own rate, from counts

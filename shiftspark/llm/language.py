@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark.llm import text as T
-from shiftspark.llm.common import map_batches, read_table, sample_rows
+from shiftspark.llm.common import lists_of, map_batches, read_table, sample_rows
 
 UNDETERMINED = "und"
 
@@ -168,9 +168,9 @@ def fit(docs: DataFrame, train_on: Column, params: KernelParams = KernelParams()
                     [b.column("id").slice(start, len(part)), b.column("lang").slice(start, len(part)),
                      pa.array(got, pa.list_(pa.int32()))], names=["id", "lang", "grams"])
 
-    got = sorted(((r["lang"], r["id"], np.asarray(r["grams"], np.int32)) for r in
-                  map_batches(chosen, run, "id string, lang string, grams array<int>").collect() if r["grams"]),
-                 key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+    table = map_batches(chosen, run, "id string, lang string, grams array<int>").toArrow()
+    got = sorted((r for r in zip(table.column("lang").to_pylist(), table.column("id").to_pylist(), lists_of(table, "grams"), strict=True)
+                  if len(r[2])), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
     if not got:
         return None
     langs = [r[0] for r in got]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark.llm import text as T
-from shiftspark.llm.common import map_batches, read_table, sample_rows
+from shiftspark.llm.common import lists_of, map_batches, read_table, sample_rows
 
 PREFIX = 4
 
@@ -167,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, params: FMParams =
                  pa.array(out, pa.list_(pa.int32()))], names=["id", "y", "terms"])
 
     # Sorted by content, so that the fit does not depend on partitioning.
-    got = sorted(((r["id"], r["y"], np.asarray(r["terms"], np.int64))
-                  for r in map_batches(rows, terms_of, "id string, y int, terms array<int>").collect()),
+    table = map_batches(rows, terms_of, "id string, y int, terms array<int>").toArrow()
+    got = sorted(zip(table.column("id").to_pylist(), table.column("y").to_pylist(), lists_of(table, "terms"), strict=True),
                  key=lambda r: (r[0], r[1], len(r[2])))
     y = np.array([r[1] for r in got], float)
     n = {c: max(1, int((y == c).sum())) for c in (0, 1)}
