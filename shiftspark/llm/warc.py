@@ -68,15 +68,20 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Response records of a table of pages."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for key, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            block, body = http_response(html), (html or "").encode()
-            rows.append((key, "response", record_id("response", str(key), url or ""), None, _one_line(url), NO_DATE,
-                         "application/http; msgtype=response", block, digest(block.encode()), digest(body)))
-        yield _batch(rows)
+        yield _batch([response(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)])
+
+    return map_batches(_source(pages, id_col, url_col, html_col), run, RECORD)
+
+
+def _source(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+
 
-    src = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    return map_batches(src, run, RECORD)
+def response(key: int | None, url: str | None, html: str | None) -> tuple:
+    """The response record of one page."""
+    block, body = http_response(html), (html or "").encode("utf-8", "surrogatepass")
+    return (key, "response", record_id("response", str(key), url or ""), None, _one_line(url), NO_DATE,
+            "application/http; msgtype=response", block, digest(block.encode("utf-8", "surrogatepass")), digest(body))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -133,6 +138,18 @@ def derivatives(records: DataFrame) -> DataFrame:
     return map_batches(records.select(*_NAMES), run, RECORD)
 
 
+def page_derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``derivatives(responses(pages))`` in one step: the responses, which hold the
+    whole pages, do not travel between two Python stages."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start in range(0, b.num_rows, 512):
+            rows = zip(*(c.to_pylist() for c in b.slice(start, 512).columns), strict=True)
+            yield _batch([d for r in rows for d in derive(dict(zip(_NAMES, response(*r), strict=True)))])
+
+    return map_batches(_source(pages, id_col, url_col, html_col), run, RECORD)
+
+
 # --- files ------------------------------------------------------------------
 
 _HEADERS = [("type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"), ("target_uri", "WARC-Target-URI"),
@@ -197,5 +214,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and the columns of the two derived records of every page."""
-    made = derivatives(responses(read_table(spark, sf_dir, "pages")))
+    made = page_derivatives(read_table(spark, sf_dir, "pages"))
     return made.withColumnRenamed("key", "page_id")
