@@ -144,6 +144,7 @@ def test_derivatives_link_back_and_digests_fit(spark):
     text = {(m["key"], m["block"]) for m in made if m["type"] == "conversion"}
     assert (1, "Café & bar") in text and (2, "") in text and (1, "other") in text
     assert warc.derivatives(warc.responses(pages(spark).limit(0))).count() == 0
+    assert sorted(map(str, warc.page_derivatives(pages(spark)).collect())) == sorted(map(str, made))
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
