@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shiftspark.llm import cuckoo, decontaminate, near_dup, suffixes
 from shiftspark.llm import text as T
@@ -213,6 +214,17 @@ def test_hot_bucket_of_unlike_texts_loses_no_pair(spark, monkeypatch):
     assert classes_of(df) == brute_classes(rows)
 
 
+def test_pairs_on_both_sides_of_a_round_of_hubs_meet(spark, monkeypatch):
+    """The most common class of a part changes between rounds; the pair (3, 39) needs the first one."""
+    real = near_dup.sketch
+    one = F.array(F.lit(1).cast("long"))
+    monkeypatch.setattr(near_dup, "sketch", lambda *a: real(*a).withColumns({"bands": one, "fine": one}))
+    rows = [(i, sentence(4000 + {39: 3, 7: 5}.get(i, i), 100) + (" and more" if i in (39, 7) else ""), "en", "s") for i in range(40)]
+    assert len(rows) > near_dup.FIRST_HUBS
+    got = near_dup.near_duplicates(documents(spark, rows).coalesce(1))
+    assert classes_of(got) == brute_classes(rows)
+
+
 def test_one_row_of_each_class_stays(spark):
     base = word_list(3, 100)
     rows = [(5, " ".join(base), "en", "s"), (4, " ".join(changed(base, 1, 1)), "en", "s"), (4, " ".join(changed(base, 1, 1)), "en", "s"),
