@@ -225,6 +225,16 @@ def test_pairs_on_both_sides_of_a_round_of_hubs_meet(spark, monkeypatch):
     assert classes_of(got) == brute_classes(rows)
 
 
+def test_copies_that_repeat_a_passage_are_found(spark):
+    rows = []
+    for g in range(12):
+        base = word_list(6000 + g, 104)
+        rows += [(2 * g, " ".join(base), "en", "s"), (2 * g + 1, " ".join(base[:40] + base[20:40] * 999 + base[40:]), "en", "s")]
+    want = brute_classes(rows)
+    assert len(want) == 12
+    assert classes_of(near_dup.near_duplicates(documents(spark, rows))) == want
+
+
 def test_one_row_of_each_class_stays(spark):
     base = word_list(3, 100)
     rows = [(5, " ".join(base), "en", "s"), (4, " ".join(changed(base, 1, 1)), "en", "s"), (4, " ".join(changed(base, 1, 1)), "en", "s"),
