@@ -7,12 +7,15 @@ a context hands the mass of its distinct followers down to the shorter one, and
 a context never seen hands down all).  A url's score is the log-likelihood of the
 accepted model minus that of the rejected one, divided by its length.
 
-Counts are gathered by Spark over all rows and hashed into ``2**BITS`` cells an
-order, so a model's size (two classes, orders, 4 bytes a cell: some tens of MB)
-has a bound whatever the corpus; that is what is sent to the tasks.  The
-threshold is calibrated out of sample: urls are split in two by a hash of the
-url, each half is scored by the model of the other, and the threshold with the
-best mean of both classes' accuracies is taken, from a histogram of ``BINS`` bins.
+Counts are exact and stay a Spark table that grows with the corpus: an n-gram (its
+context and symbol, ``ORDER + 1`` bytes) is a 64-bit number, and shorter ones are its
+low bytes, so their counts are sums over it.  The table also lists the n-grams of
+urls without a rule, with count 0, and gets the probability of each under each
+model, order by order.  Urls then meet it by ``CHUNK`` of them: one row for each
+distinct n-gram of a chunk.  The threshold is calibrated out of sample: urls are
+split in two by a hash of the url, each half is scored by the model of the other,
+and the threshold with the best mean of both classes' accuracies is taken, from a
+histogram of ``BINS`` bins.
 
 With no accepted or no rejected url the two models can't be compared, and urls
 without a rule get the verdict of the class that there is, or allow.
@@ -31,14 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from shiftspark.llm import text as T
 from shiftspark.llm.common import map_batches, read_table
-from shiftspark.session import write_and_read
+from shiftspark.session import ship_package, write_and_read
 
 ORDER = 5
-BITS = 17
 BINS = 2000
+#: Urls that look up their n-grams together; divides the 2**33 row numbers of a partition.
+CHUNK = 256
 #: Scores are clipped to this many nats a character for the histogram.
 WIDEST = 8.0
 ALPHABET = 256
@@ -76,153 +80,158 @@ def verdict_of(rule: Column, rules: dict[str, str]) -> Column:
 
 
 def _contexts(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of every character and end of the urls: symbol, context hash for each order, url."""
+    """Of every character and end of the urls: symbol, context of each order (its
+    bytes, the nearest lowest), url."""
     data = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
-    flat = np.frombuffer(b"".join(b"\x01" * ORDER + d + b"\x02" for d in data), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(b"\x01" * ORDER + d + b"\x02" for d in data), np.uint8).astype(np.int64)
     size = np.fromiter((len(d) + ORDER + 1 for d in data), np.int64, len(data))
     owner = np.repeat(np.arange(len(data)), size)
     begin = np.cumsum(size) - size
     at = np.flatnonzero(np.arange(len(flat)) - begin[owner] >= ORDER)
-    code = np.zeros(len(at), np.uint64)
-    hashes = [T.mix64(code + np.uint64(1))]
+    contexts = [np.zeros(len(at), np.int64)]
     for n in range(1, ORDER + 1):
-        code = code * np.uint64(0x100000001B3) + flat[at - n] + np.uint64(1)
-        hashes.append(T.mix64(code + np.uint64(n + 1)))
-    return flat[at], hashes, owner[at]
+        contexts.append(contexts[-1] | flat[at - n] << 8 * (n - 1))
+    return flat[at], contexts, owner[at]
 
 
 def _cells(symbol: np.ndarray, contexts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the cells of the context and of context and symbol."""
-    drop = np.uint64(64 - BITS)
-    return [((c >> drop).astype(np.int64), (T.mix64(c ^ (symbol + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)) >> drop).astype(np.int64))
-            for c in contexts]
+    """For each order the keys of the context and of context and symbol."""
+    return [(c, c << 8 | symbol) for c in contexts]
 
 
-@dataclass
-class CharModel:
-    """Counts by order: of contexts, of contexts with their next symbol, and of
-    the distinct symbols seen after a context."""
-    context: np.ndarray
-    pair: np.ndarray
-    kinds: np.ndarray
-
-    def logs(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        p = np.full(len(cells[0][0]), 1.0 / ALPHABET)
-        for n, (c, s) in enumerate(cells):
-            total, seen, kinds = self.context[n, c], self.pair[n, s], self.kinds[n, c]
-            # Shared cells may show more pairs than contexts; a probability stays below one.
-            seen = np.minimum(seen, total)
-            p = np.where(total > 0, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.log(np.minimum(p, 1.0))
+def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The longest n-gram that ends at every character and end of the urls, and its url."""
+    symbol, contexts, owner = _contexts(urls)
+    return _cells(symbol, contexts)[ORDER][1], owner
 
 
-@dataclass
-class UrlModel:
-    accepted: CharModel
-    rejected: CharModel
-    threshold: float = 0.0
-
-    def scores(self, urls: list[str | None]) -> np.ndarray:
-        """Mean over a url's characters of the log-likelihood difference."""
-        symbol, contexts, owner = _contexts(urls)
-        cells = _cells(symbol, contexts)
-        diff = self.accepted.logs(cells) - self.rejected.logs(cells)
-        n = np.bincount(owner, minlength=len(urls))
-        return np.bincount(owner, diff, len(urls)) / np.maximum(n, 1)
+#: Halves (2: both) and classes of the models.
+_MODELS = [(half, kept) for half in (0, 1, 2) for kept in (0, 1)]
+_COUNTED = ["n00", "n01", "n10", "n11"]
 
 
-_COUNTS = "half int, kept int, kind int, cell long, n long"
+def _seen(half: int, kept: int) -> Column:
+    return F.col(f"n{half}{kept}") if half < 2 else F.col(f"n0{kept}") + F.col(f"n1{kept}")
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
-    """Cells and their counts over all ``rows`` (url, half, kept 0 or 1).
+    """gram and its counts by half and class (n00 ... n11) over all ``rows`` (url,
+    half, kept 0 or 1); n-grams of rows with null kept are listed and not counted.
 
-    kind is the order for pairs and ``ORDER + 1 +`` the order for contexts.  Each
-    batch adds up its own cells first; the sums per cell are at most the model.
+    Each batch adds up its own n-grams first.
     """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        group = b.column("half").to_numpy().astype(np.int64) * 2 + b.column("kept").to_numpy()
-        symbol, contexts, owner = _contexts(b.column("url").to_pylist())
-        g = group[owner]
-        for n, (c, s) in enumerate(_cells(symbol, contexts)):
-            # Pairs carry their context's cell, for the number of distinct followers.
-            for kind, cell in ((n, (c << BITS) | s), (ORDER + 1 + n, c)):
-                value, count = np.unique(g << (2 * BITS) | cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((value >> (2 * BITS + 1)).astype(np.int32)), pa.array((value >> (2 * BITS) & 1).astype(np.int32)),
-                     pa.array(np.full(len(value), kind, np.int32)), pa.array(value & ((1 << 2 * BITS) - 1)), pa.array(count)],
-                    names=["half", "kept", "kind", "cell", "n"])
-
-    got = map_batches(rows, run, _COUNTS)
-    return got.groupBy("half", "kept", "kind", "cell").agg(F.sum("n").alias("n"))
+        kept = b.column("kept").fill_null(-1).to_numpy()
+        group = np.where(kept < 0, 4, b.column("half").to_numpy() * 2 + kept)
+        gram, owner = _grams(b.column("url").to_pylist())
+        value, at = np.unique(gram, return_inverse=True)
+        n = np.bincount(at * 5 + group[owner], minlength=5 * len(value)).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([pa.array(value), *(pa.array(n[:, j].copy()) for j in range(4))], names=["gram", *_COUNTED])
 
+    got = map_batches(rows.select("url", "half", "kept"), run, "gram long, " + ", ".join(f"{c} long" for c in _COUNTED))
+    return got.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTED))
 
-def _models(counts: DataFrame) -> dict[tuple[int, int], CharModel]:
-    """The model of each half (2: both) and class: dense arrays, filled from one row a cell.
 
-    Pairs are first summed over contexts (their cells) and counted by context
-    (their kinds), so at most 3 * (ORDER + 1) * 2**BITS rows arrive at a time.
+def probabilities(counts: DataFrame) -> DataFrame:
+    """gram and its probability under each model (p00 ... p21) for all n-grams of ``counts``.
+
+    A context has at most one row for each byte that follows it, and so has an
+    n-gram for each byte before it: no key of these joins is hot.
     """
-    both = counts.groupBy("kept", "kind", "cell").agg(F.sum("n").alias("n")).withColumn("half", F.lit(2))
-    counts = write_and_read(counts.unionByName(both), "url-ngrams")
-    pairs, last = counts.where(F.col("kind") <= ORDER), F.lit((1 << BITS) - 1)
-    by = ["half", "kept", "kind"]
-    parts = (pairs.groupBy(*by, F.col("cell").bitwiseAND(last).alias("cell")).agg(F.sum("n").alias("n")).withColumn("what", F.lit(0))
-             .unionByName(pairs.groupBy(*by, F.shiftright("cell", BITS).alias("cell")).agg(F.count("*").alias("n")).withColumn("what", F.lit(1)))
-             .unionByName(counts.where(F.col("kind") > ORDER).select("half", "kept", (F.col("kind") - ORDER - 1).alias("kind"), "cell", "n", F.lit(2).alias("what"))))
-    cells = write_and_read(parts.select(*by, "what", F.col("cell").cast("int").alias("cell"), "n"), "url-cells")
-    out = {}
-    for half in (0, 1, 2):
-        for kept in (0, 1):
-            m = out[half, kept] = CharModel(*(np.zeros((ORDER + 1, 1 << BITS), np.float32) for _ in range(3)))
-            got = cells.where((F.col("half") == half) & (F.col("kept") == kept)).select("what", "kind", "cell", "n").toArrow()
-            what, kind, cell, n = (c.to_numpy() for c in got.columns)
-            for j, a in enumerate((m.pair, m.kinds, m.context)):
-                at = what == j
-                a[kind[at], cell[at]] = n[at]
+    levels = [write_and_read(counts, "url-ngrams")]
+    for n in reversed(range(ORDER)):
+        low = F.col("gram").bitwiseAND(F.lit((1 << 8 * (n + 1)) - 1).cast("long"))
+        levels.append(write_and_read(levels[-1].groupBy(low.alias("gram")).agg(*(F.sum(c).alias(c) for c in _COUNTED)), "url-ngrams"))
+    out = None
+    for n, level in enumerate(reversed(levels)):
+        # Order 0 has one context, the empty one, and one row a byte.
+        same = Window.partitionBy(F.shiftright("gram", 8))
+        told = level.select("gram", *(c for h, k in _MODELS for c in (
+            _seen(h, k).alias(f"s{h}{k}"), F.sum(_seen(h, k)).over(same).alias(f"t{h}{k}"),
+            F.sum((_seen(h, k) > 0).cast("long")).over(same).alias(f"k{h}{k}"))))
+        if out is None:
+            below = {m: F.lit(1.0 / ALPHABET) for m in _MODELS}
+        else:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
+            told = told.withColumn("shorter", shorter).join(
+                out.select(F.col("gram").alias("shorter"), *(F.col(f"p{h}{k}").alias(f"q{h}{k}") for h, k in _MODELS)), "shorter")
+            below = {(h, k): F.col(f"q{h}{k}") for h, k in _MODELS}
+        out = write_and_read(told.select("gram", *(
+            F.when(F.col(f"t{h}{k}") > 0, (F.col(f"s{h}{k}") + F.col(f"k{h}{k}") * below[h, k]) / (F.col(f"t{h}{k}") + F.col(f"k{h}{k}")))
+            .otherwise(below[h, k]).alias(f"p{h}{k}") for h, k in _MODELS)), "url-probabilities")
     return out
 
 
-def _scored(rows: DataFrame, models: dict[int, UrlModel], *carry: str) -> DataFrame:
-    """``rows`` (url, half, ...) with score: half h by ``models[h]``."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(models)
-    names = list(carry)
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", score double"
+@dataclass
+class CharModel:
+    """The model of one half (2: both) and class over the n-gram table ``counts``."""
+    counts: DataFrame
+    half: int
+    kept: int
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        urls, half = b.column("url").to_pylist(), b.column("half").to_numpy()
-        score = np.zeros(b.num_rows)
-        for h, m in shared.value.items():
-            at = np.flatnonzero(half == h)
-            if len(at):
-                score[at] = m.scores([urls[i] for i in at])
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score)], names=[*names, "score"])
-
-    return map_batches(rows.select("url", "half", *names), run, schema)
-
-
-def fit(ruled: DataFrame) -> UrlModel | str:
-    """Model and threshold from ``ruled`` (url, kept 0 or 1); without one of the
-    classes the verdict of the other one, or allow."""
-    rows = ruled.where(F.col("url").isNotNull()).withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int"))
-    there = {r[0] for r in rows.select("kept").distinct().collect()}
-    if there != {0, 1}:
-        return "block" if there == {0} else "allow"
-    of = _models(ngram_counts(rows))
-    cross = {h: UrlModel(of[1 - h, 1], of[1 - h, 0]) for h in (0, 1)}
+    def logs(self, cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log probabilities of a few n-grams, seen or not."""
+        gram = cells[ORDER][1]
+        spark = self.counts.sparkSession
+        asked = spark.createDataFrame([(int(g),) for g in np.unique(gram)], "gram long")
+        listed = (self.counts.unionByName(asked.select("gram", *(F.lit(0).cast("long").alias(c) for c in _COUNTED)))
+                  .groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTED)))
+        p = dict(map(tuple, probabilities(listed).join(asked, "gram", "left_semi").select("gram", f"p{self.half}{self.kept}").collect()))
+        return np.log([p[g] for g in gram.tolist()])
+
+
+def _models(counts: DataFrame) -> dict[tuple[int, int], CharModel]:
+    """The model of each half (2: both) and class."""
+    return {(h, k): CharModel(counts, h, k) for h, k in _MODELS}
+
+
+def _scored(rows: DataFrame, *carry: str) -> DataFrame:
+    """``rows`` (url, half, kept) with score, by the models of both halves, and cross,
+    by those of the other half: means over a url's characters of the log-likelihood
+    difference."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    rows = write_and_read(rows.select("url", "half", "kept", *carry).withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK.bit_length() - 1)), "url-rows")
+    p = probabilities(ngram_counts(rows))
+    ratio = p.select("gram", *((F.log(f"p{h}1") - F.log(f"p{h}0")).alias(f"d{h}") for h in (0, 1, 2)))
+
+    def grams(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        chunk = b.column("chunk").to_numpy()
+        edge = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1, append=chunk[-1] + 1))
+        for i, j in zip(edge, edge[1:], strict=False):
+            value = np.unique(_grams(b.column("url").slice(i, j - i).to_pylist())[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), chunk[i])), pa.array(value)], names=["chunk", "gram"])
+
+    def score(own: pa.Table, table: pa.Table) -> pa.Table:
+        urls = own.column("url").to_pylist()
+        gram, owner = _grams(urls)
+        known = table.column("gram").to_numpy()
+        order = np.argsort(known)
+        at = order[np.searchsorted(known, gram, sorter=order)]
+        n = np.bincount(owner, minlength=len(urls))
+        by = [np.bincount(owner, table.column(f"d{h}").to_numpy()[at], len(urls)) / n for h in (0, 1, 2)]
+        half = own.column("half").to_numpy()
+        return own.select(["kept", *carry]).append_column("cross", pa.array(np.where(half == 0, by[1], by[0]))).append_column("score", pa.array(by[2]))
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("kept", *carry)) + ", cross double, score double"
+    looked = map_batches(rows.select("chunk", "url"), grams, "chunk long, gram long").join(ratio, "gram")
+    return write_and_read(rows.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema), "url-scores")
+
+
+def threshold(scored: DataFrame) -> float:
+    """The cut of ``cross`` with the best mean of both classes' accuracies."""
     half = BINS / 2
-    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("score") / WIDEST * half + half))).cast("int")
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("cross") / WIDEST * half + half))).cast("int")
     hist = np.zeros((2, BINS))
-    for r in _scored(rows, cross, "kept").groupBy("kept", bin_.alias("bin")).count().collect():
+    for r in scored.where("kept IS NOT NULL").groupBy("kept", bin_.alias("bin")).count().collect():
         hist[r["kept"], r["bin"]] += r["count"]
     share = hist / np.maximum(hist.sum(axis=1, keepdims=True), 1)
     # Threshold at each bin's lower edge: accepted from it on, rejected below it.
     right = share[1][::-1].cumsum()[::-1] + np.concatenate([[0], share[0].cumsum()[:-1]])
     best = np.flatnonzero(right >= right.max() - 1e-12)
     cut = int(best[len(best) // 2])
-    return UrlModel(of[2, 1], of[2, 0], (cut - half) / half * WIDEST)
+    return (cut - half) / half * WIDEST
 
 
 def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -231,13 +240,14 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     rows = (pages.select(F.col(id_col).alias("id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"))
             .withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
             .withColumn("by_rule", verdict_of(F.col("rule"), rules)))
-    ruled = rows.where("rule IS NOT NULL").select("url", (F.col("by_rule") == "allow").cast("int").alias("kept"))
-    model = fit(ruled)
-    if isinstance(model, str):
-        scored, rest = rows.withColumn("score", F.lit(0.0)), F.lit(model)
+    rows = (rows.withColumn("kept", (F.col("by_rule") == "allow").cast("int"))
+            .withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")))
+    there = {r[0] for r in rows.where("kept IS NOT NULL").select("kept").distinct().collect()}
+    if there != {0, 1}:
+        scored, rest = rows.withColumn("score", F.lit(0.0)), F.lit("block" if there == {0} else "allow")
     else:
-        scored = _scored(rows.withColumn("half", F.lit(0)), {0: model}, "id", "host", "path", "rule", "by_rule")
-        rest = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
+        scored = _scored(rows, "id", "host", "path", "rule", "by_rule")
+        rest = F.when(F.col("score") >= threshold(scored), "allow").otherwise("block")
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule",
                          F.coalesce("by_rule", rest).alias("verdict"), "score")
 

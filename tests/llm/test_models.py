@@ -1,5 +1,6 @@
 """Language, toxicity, urls, main text: learned operators against held-out cases and brute force."""
 
+import collections
 import math
 import random
 import re
@@ -214,6 +215,36 @@ def test_counts_cover_all_rows_and_probabilities_match_brute_force(spark):
     assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_many_contexts_keep_their_own_counts(spark):
+    """More contexts of five characters than 2**17; none may share counts with another."""
+    r = random.Random(8)
+    urls = ["".join(r.choice("0123456789abcdef") for _ in range(14)) for _ in range(20_000)]
+    n, after = collections.Counter(), collections.defaultdict(set)
+    for u in urls:
+        t = "\x01" * url_filter.ORDER + u + "\x02"
+        for i in range(url_filter.ORDER, len(t)):
+            for k in range(url_filter.ORDER + 1):
+                n[t[i - k:i + 1]] += 1
+                after[t[i - k:i]].add(t[i])
+    total = {c: sum(n[c + x] for x in a) for c, a in after.items()}
+    assert sum(len(c) == url_filter.ORDER for c in after) > 2**17
+    rows = spark.createDataFrame([(u, 0, 1) for u in urls], "url string, half int, kept int").repartition(5)
+    asked = [*urls[:4], "00000fffff", "xyz"]
+    symbol, contexts, _ = url_filter._contexts(asked)
+    got = np.exp(url_filter._models(url_filter.ngram_counts(rows))[0, 1].logs(url_filter._cells(symbol, contexts)))
+    want = []
+    for u in asked:
+        t = "\x01" * url_filter.ORDER + u + "\x02"
+        for i in range(url_filter.ORDER, len(t)):
+            p = 1 / url_filter.ALPHABET
+            for k in range(url_filter.ORDER + 1):
+                c = t[i - k:i]
+                if c in after:
+                    p = (n[c + t[i]] + len(after[c]) * p) / (total[c] + len(after[c]))
+            want.append(p)
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_one_sided_and_empty_url_tables(spark):
     only = url_filter.judge(pages_of(spark, ["http://b.com/de/1", "http://x.net/"]), url_filter.RULES)
     assert {r["verdict"] for r in only.collect()} == {"block"}
