@@ -33,8 +33,8 @@ from shiftspark.llm.common import map_batches, read_table
 from shiftspark.llm.dom import Page, attributes, joined, parse
 
 BOILERPLATE, CONTENT, MIXED = 0, 1, 2
-#: Never content, whatever the model says: what no reader sees, and form controls.
-NEVER = frozenset("script style noscript template head title iframe xmp noembed noframes textarea select option button svg input label form nav".split())
+#: Never content, whatever the model says: what no reader sees, and form controls (a form itself may hold the whole page).
+NEVER = frozenset("script style noscript template head title iframe xmp noembed noframes textarea select option button svg input label nav".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -86,7 +86,7 @@ def features(page: Page) -> list[list[str]]:
             f += [f"up={page.tag[p]}", f"in={page.tag[p]}>{tag}"]
         if copy[i]:
             f.append("copyright")
-        if tag in ("h1", "p", "article", "main", "section", "div", "td"):
+        if tag in ("h1", "p", "article", "main", "section", "div", "td", "form"):
             f.append(f"{tag}len={_bin(total[i], (1, 30, 100, 300))}")
         f += ["w=" + w for w in own_words]
         if hidden:
@@ -290,6 +290,11 @@ class _Writer:
         body = "".join(before) + main + "".join(after)
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             body = self.el("div", 2, body, _WRAP, 0.8)
+        if r.random() < 0.12:                    # one form around the whole page, as some servers write it
+            state = '<input data-y="0" type="hidden" name="state" value="x">' * r.randint(0, 3)
+            body = self.el("form", 2, state + body, "aspnetForm form1 mainform form Form pageform adminForm", 0.8)
+            if r.random() < 0.3:
+                body = self.el("div", 2, body, _WRAP, 0.8)
         if r.random() < 0.3:                     # markup as careless people write it
             body = re.sub(r"</(p|li)>", lambda m: m[0] if r.random() < 0.5 else "", body)
         return (f'<!DOCTYPE html><html data-y="2"><head data-y="0"><title data-y="0">{self.words(4)}</title>'

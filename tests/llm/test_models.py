@@ -291,6 +291,19 @@ def test_main_text_of_layouts(model, html, text):
     assert main_text.extract([html], model) == [text]
 
 
+_ARTICLE = "<p>Some words of the story, and more of them, so that it is worth reading.</p><p>The second part of it, which is about as long as the first.</p>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><form id='aspnetForm' method=post action=/x><input type=hidden name=s value=1><nav><a href=/>Home</a></nav><div class=content><h1>Big news</h1>{_ARTICLE}</div><div class=footer>&copy; site</div></form>",
+    f"<body><form id=form1><div class=wrapper><div id=header><a href=/>My site</a></div><article><h1>Big news</h1>{_ARTICLE}</article></div></form>",
+    f"<body><form><main><h1>Big news</h1>{_ARTICLE}</main><select><option>One</option></select><button>Go</button></form>",
+    f"<body><article><h1>Big news</h1>{_ARTICLE}</article><form class=search action=/s>Search this site <input name=q><button>Go</button></form>",
+    f"<body><form action=/login class=login><p>Log in to comment</p><input><button>Go</button></form><article><h1>Big news</h1>{_ARTICLE}</article>"])
+def test_a_form_around_the_page_is_no_boilerplate(model, html):
+    assert main_text.extract([html], model) == ["Big news " + re.sub("<[^>]+>", " ", _ARTICLE.replace("</p><p>", " ")).strip()]
+
+
 def test_marginals_on_held_out_layouts(model):
     right = total = 0
     for page, y in main_text.labelled_pages(150, seed=77):
