@@ -6,8 +6,9 @@ an ip's events are taken in (created_at, id) order and decided with array
 operations (window ranks by ``cumcount``, the ban point by a running sum),
 so with in-order input the decisions equal the exact batch answer of
 ``operators.quotas.bans``.
-State per ip is a handful of numbers; the work per micro-batch is bounded by
-the source's ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
+State per ip is a handful of numbers.  Of an ip's rows in a micro-batch only
+time, id and the limits that apply are held (24 bytes a row), to sort them; they
+are decided and returned ``CHUNK`` at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from shiftspark import constants as K
 from shiftspark.functions.timeparts import plus_hours
 from shiftspark.operators.quotas import RateLimit
 
+#: Rows of one ip that are decided together.
+CHUNK = 100_000
+
 _UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000,
             "day": 86_400_000_000}
 
@@ -50,7 +54,7 @@ def _state_schema(n_limits: int) -> T.StructType:
     return T.StructType(fields)
 
 
-def _stages(ts, ids, etypes, live, win, cnt, sizes, caps, kinds):
+def _stages(ts, applies, live, win, cnt, sizes, caps):
     """Vectorised limit checks for one ip's rows (in time order).
 
     Returns the index of the limit refusing each row (-1 if none) and, per
@@ -63,7 +67,7 @@ def _stages(ts, ids, etypes, live, win, cnt, sizes, caps, kinds):
     passed = live.copy()
     counted = []
     for k in range(len(sizes)):
-        app = passed if kinds[k] is None else passed & np.isin(etypes, list(kinds[k]))
+        app = passed & (applies >> k & 1 == 1)
         w = ts - ts % sizes[k]
         before = np.zeros(n, dtype=np.int64)
         if app.any():
@@ -86,23 +90,37 @@ def _decider(limits: tuple[RateLimit, ...], after: int, hours: int):
     n = len(limits)
 
     def decide(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
+        parts = [compact(p) for p in pdfs if len(p)]
+        if not parts:
             return
-        batch = pd.concat(frames, ignore_index=True).sort_values(["created_at", "id"])
+        ts, ids, applies = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.lexsort((ids, ts, ts == np.iinfo(np.int64).min))      # null times last
         st = list(state.get) if state.exists else [-1, 0] * n + [0, -1, -1, -1]
+        for start in range(0, len(order), CHUNK):
+            at = order[start:start + CHUNK]
+            st, out = decide_chunk(ts[at], ids[at], applies[at], st)
+            yield out.assign(ip_address=key[0])[DECISIONS.names]
+        state.update(tuple(st))
+
+    def compact(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Time, id and, as bits, the limits that apply to each row."""
+        bits = np.zeros(len(p), np.int64)
+        for k, kind in enumerate(kinds):
+            bits |= (np.ones(len(p), bool) if kind is None else p["event_type"].isin(kind).to_numpy()).astype(np.int64) << k
+        return p["created_at"].to_numpy().astype("datetime64[us]").astype(np.int64), p["id"].to_numpy().astype(np.int64), bits
+
+    def decide_chunk(ts, ids, applies, st: list) -> tuple[list, pd.DataFrame]:
+        """State after, and outcomes of, rows in time order."""
         win, cnt = st[0:2 * n:2], st[1:2 * n:2]
         viol, ban_at, ban_id, ban_until = st[2 * n:]
-        ts = batch["created_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        ids = batch["id"].to_numpy().astype(np.int64)
-        etypes = batch["event_type"].to_numpy()
 
         def in_ban(b_at, b_id, b_until):
             after_point = (ts > b_at) | ((ts == b_at) & (ids > b_id))
             return (b_at >= 0) & after_point & (ts < b_until)
 
         refused = in_ban(ban_at, ban_id, ban_until)
-        refused_by, counted = _stages(ts, ids, etypes, ~refused, win, cnt, sizes, caps, kinds)
+        refused_by, counted = _stages(ts, applies, ~refused, win, cnt, sizes, caps)
         if ban_at < 0:
             # The ban point is where the running violation count reaches
             # ``after``; rows after it inside the ban are refused and the
@@ -113,7 +131,7 @@ def _decider(limits: tuple[RateLimit, ...], after: int, hours: int):
                 j = hit[0]
                 ban_at, ban_id, ban_until = int(ts[j]), int(ids[j]), int(ts[j]) + ban_len
                 refused = in_ban(ban_at, ban_id, ban_until)
-                refused_by, counted = _stages(ts, ids, etypes, ~refused, win, cnt, sizes, caps, kinds)
+                refused_by, counted = _stages(ts, applies, ~refused, win, cnt, sizes, caps)
         rejected = refused_by >= 0
         vno = viol + np.cumsum(rejected)
         for k, (rows, w) in enumerate(counted):
@@ -124,11 +142,9 @@ def _decider(limits: tuple[RateLimit, ...], after: int, hours: int):
         viol = int(vno[-1]) if len(vno) else viol
         outcome = np.where(refused, "refused", np.where(rejected, "rejected", "accepted"))
         flat = [int(x) for pair in zip(win, cnt) for x in pair]
-        state.update(tuple(flat + [viol, int(ban_at), int(ban_id), int(ban_until)]))
-        yield pd.DataFrame({"id": ids, "ip_address": key[0],
-                            "created_at": batch["created_at"].to_numpy(),
-                            "outcome": outcome, "action": names[refused_by],
-                            "violation_no": vno})
+        return flat + [viol, int(ban_at), int(ban_id), int(ban_until)], pd.DataFrame(
+            {"id": ids, "created_at": ts.astype("datetime64[us]"), "outcome": outcome,
+             "action": names[refused_by], "violation_no": vno})
 
     return decide
 

@@ -27,8 +27,10 @@ from shiftspark.session import is_folder, scratch_dir, ship_package
 from shiftspark.sources.tables import Fixtures, read_table, security_logs
 
 WATERMARK = "10 minutes"
-# Micro-batches read at most this many new files, which bounds the rows any
-# one state call (a hot ip's share of a batch) or window aggregation sees.
+# Micro-batches of a deployed stream read at most this many new files, which
+# bounds the rows a window aggregation sees; its files must come in time order.
+# Registered queries read a bounded table in one micro-batch (None), so neither
+# the watermark nor an ip's order depends on how rows lie in its files.
 FILES_PER_TRIGGER = 8
 
 
@@ -115,7 +117,7 @@ FROM security_logs GROUP BY ip_address, date_trunc('hour', created_at)
 HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR
        <= (SELECT max(created_at) FROM security_logs) - INTERVAL 10 MINUTE""", "security_logs"))
 def q_stream_usage_by_window(spark, sf):
-    return run_to_table(usage_stream(log_stream(spark, sf), "1 hour", STREAM_REQUEST_LIMIT),
+    return run_to_table(usage_stream(log_stream(spark, sf, None), "1 hour", STREAM_REQUEST_LIMIT),
                         "usage")
 
 
@@ -152,6 +154,6 @@ def q_stream_bans(spark, sf):
     from shiftspark.plans.catalog import FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS, FIXTURE_LIMITS
     from shiftspark.streaming import bans as SB
     ship_package(spark)
-    decisions = run_to_table(SB.ban_decisions(log_stream(spark, sf), FIXTURE_LIMITS,
+    decisions = run_to_table(SB.ban_decisions(log_stream(spark, sf, None), FIXTURE_LIMITS,
                                               FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS), "bans")
     return SB.bans_from_decisions(decisions, FIXTURE_BAN_AFTER, FIXTURE_BAN_HOURS)

@@ -125,3 +125,48 @@ def test_events_behind_the_watermark_are_dropped(spark, tmp_dir):
     got = sorted((r.window_start.hour, r.requests, r.trainings) for r in out.collect())
     # 09:00 keeps only its on-time row and is emitted once; 16:00 stays open.
     assert got == [(9, 1, 1), (12, 1, 0), (14, 1, 0)]
+
+
+def test_registered_streams_do_not_depend_on_the_order_of_files(spark, tmp_dir):
+    """20 part files not in time order: windows and bans are those of the single file."""
+    from shiftspark.plans.catalog import REGISTRY
+    from shiftspark.sources.tables import read_table
+
+    read_table(spark, SF_SMALL, "events").repartition(20, F.rand(3)).write.parquet(f"{tmp_dir}/events.parquet")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    usage = rows(S.q_stream_usage_by_window(spark, tmp_dir))
+    assert usage and usage == rows(S.q_stream_usage_by_window(spark, SF_SMALL))
+    bans = rows(S.q_stream_bans(spark, tmp_dir))
+    assert bans and bans == rows(S.q_stream_bans(spark, SF_SMALL))
+
+
+def test_an_ip_is_decided_in_chunks_as_in_one_piece():
+    import random
+
+    import pandas as pd
+
+    from shiftspark.streaming import bans as SB
+
+    class State:
+        exists = False
+
+        def update(self, x):
+            self.get = x
+
+    r = random.Random(5)
+    rows = pd.DataFrame([(i, r.choice(["prediction_made", "model_trained"]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.randrange(90_000)))
+                         for i in range(1000)], columns=["id", "event_type", "created_at"])
+    limits = (Q.RateLimit("request", "1 hour", 30), Q.RateLimit("p", "1 hour", 12, ("prediction_made",)))
+    got, states = [], []
+    old = SB.CHUNK
+    try:
+        for SB.CHUNK in (10_000, 7):
+            state = State()
+            frames = list(SB._decider(limits, 40, 5)(("ip",), iter([rows[:600], rows[600:]]), state))
+            assert max(map(len, frames)) <= SB.CHUNK
+            got.append(pd.concat(frames, ignore_index=True))
+            states.append(state.get)
+    finally:
+        SB.CHUNK = old
+    pd.testing.assert_frame_equal(*got)
+    assert states[0] == states[1] and set(got[0]["outcome"]) == {"accepted", "rejected", "refused"}
