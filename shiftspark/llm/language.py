@@ -4,7 +4,8 @@ The kernel is the blended spectrum presence kernel: two texts are compared by
 the character n-grams of length 1 to 3 that both have, k(x, y) =
 |G(x) & G(y)| / sqrt(|G(x)| |G(y)|).  n-grams are taken of the text with letters
 lower-cased, all else one blank, and hashed into ``2**hash_bits`` buckets; those
-that occur in two training texts at least, the most frequent ``max_grams``, count.
+that occur in two training texts at least, the most frequent ``max_grams`` (first
+an equal share of each language's own, then those of all), count.
 
 ``landmarks`` training texts give a Nystroem map, K(x, L) K(L, L)^-1/2, and on
 it a kernel ridge regression of +1 / -1 is solved for each language against the
@@ -124,7 +125,15 @@ def train(rows: list[np.ndarray], langs: list[str], weight: np.ndarray, p: Kerne
     for r in rows:
         df[r] += 1
     seen = np.flatnonzero(df >= 2)
-    chosen = np.sort(seen[np.lexsort((seen, -df[seen]))][:p.max_grams])
+    # Each language's most frequent n-grams, an equal share of them; then those of all.
+    share, parts = max(1, p.max_grams // len(names)), []
+    for name in names:
+        own = np.bincount(np.concatenate([r for r, g in zip(rows, langs, strict=True) if g == name]), minlength=1 << p.hash_bits)[seen]
+        parts.append(seen[np.lexsort((seen, -own))][:min(share, np.count_nonzero(own))])
+    chosen = np.unique(np.concatenate(parts))
+    rest = np.setdiff1d(seen, chosen)
+    fill = rest[np.lexsort((rest, -df[rest]))][:max(0, p.max_grams - len(chosen))]
+    chosen = np.sort(np.concatenate([chosen, fill]))
     index = np.full(1 << p.hash_bits, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), max(1, len(chosen))), np.float32)

@@ -39,6 +39,17 @@ def test_grams_are_those_of_the_blank_normalised_text():
     assert alone == [set(b[owner == i].tolist()) for i in range(len(texts))]
 
 
+def test_languages_of_few_texts_keep_their_grams():
+    """The other languages' n-grams alone would fill ``max_grams``."""
+    p = language.KernelParams(max_grams=60)
+    texts = [(g, made(g, s, 40)) for g in SYLLABLES for s in range(30)] + [("el", "το σπίτι είναι μεγάλο"), ("el", "το βιβλίο είναι μικρό"),
+        ("ru", "большой дом стоит на горе"), ("ru", "на столе стоит большой стакан")]
+    sets = [np.unique(language.grams([t], p)[0]) for _, t in texts]
+    m = language.train(sets, [g for g, _ in texts], np.ones(len(sets)), p)
+    assert m.landmarks.shape[0] <= p.max_grams
+    assert m.predict(["το μικρό σπίτι", "είναι το βιβλίο", "большой стакан на горе", made("fr", 99, 20)])[0] == ["el", "el", "ru", "fr"]
+
+
 def test_kernel_is_the_normalised_number_of_shared_grams():
     p = language.KernelParams()
     texts = [made(g, s, 12) for g in SYLLABLES for s in range(8)]
