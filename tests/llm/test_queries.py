@@ -15,19 +15,20 @@ COLUMNS = {
     "op5": ["doc_id", "size", "source_size", "target", "taken"], "op7": ["page_id", "url", "text", "n_chars"],
     "op8": ["doc_id", "held_out", "score", "predicted"], "op9": ["doc_id", "class_id", "class_size", "kept"],
     "op10": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
 
 def test_entry_registers_one_query_for_each_operator():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 12))
     assert "pipeline" in E.queries() and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF_SMALL)
     rel = con.sql(queries.ORACLE_SQL[name])
