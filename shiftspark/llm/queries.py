@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftspark.llm import cuckoo, decontaminate, grid_codes, language, main_text, mixing, near_dup, suffixes, toxicity, url_filter, warc
+from shiftspark.llm import (
+    cuckoo, decontaminate, divergence, grid_codes, language, main_text, mixing, near_dup, suffixes, toxicity, url_filter, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -22,10 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_cuckoo_dedup": cuckoo.op10_cuckoo_dedup,
     "op11_vector_codes": grid_codes.op11_vector_codes,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op10_cuckoo_dedup": cuckoo.OP10_SQL,
     "op11_vector_codes": grid_codes.OP11_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }

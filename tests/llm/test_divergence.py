@@ -1,0 +1,132 @@
+"""Divergence of sources against a brute-force version."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from llm_helpers import documents, edge_rows, empty_documents, word_list
+from shiftspark.llm import divergence as D
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def found(text):
+    return [t.translate(UPPER) for t in TERM.findall(text or "")]
+
+
+def brute_force(rows, min_docs, top=50):
+    docs = [(t or "", g or "", s or "") for _, t, g, s in rows]
+    held, count = defaultdict(Counter), defaultdict(Counter)
+    for t, g, s in docs:
+        words = found(t)
+        held[g].update(set(words))
+        count[g, s].update(words)
+    out = []
+    for g in {g for _, g, _ in docs}:
+        kept = [w for w, n in held[g].items() if n >= min_docs]
+        sources = sorted({s for _, h, s in docs if h == g})
+        v = len(kept)
+        everywhere = Counter()
+        for s in sources:
+            everywhere.update({w: count[g, s][w] for w in kept})
+
+        def shares(c):
+            n = sum(c[w] for w in kept)
+            return {w: 1 + 10**9 * (c[w] + 5) // (n + 5 * v) for w in kept}
+
+        p, q = {s: shares(count[g, s]) for s in sources}, shares(everywhere)
+        for s in sources:
+            pairs = sorted(((-sum(abs(p[s][w] - p[o][w]) for w in kept), o.encode()) for o in sources if o != s))
+            out += [(g, s, "pair", o.decode(), -f, i) for i, (f, o) in enumerate(pairs, 1)]
+            terms = sorted((q[w] - p[s][w], w.encode()) for w in kept if count[g, s][w] and p[s][w] > q[w])
+            out += [(g, s, "term", w.decode(), -f, i) for i, (f, w) in enumerate(terms[:top], 1)]
+    return sorted(out)
+
+
+def check(spark, rows, min_docs, **how):
+    got = D.divergence(documents(spark, rows).repartition(4), min_docs, **how)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"] and dict(got.dtypes)["rank"] == "int"
+    assert sorted(map(tuple, got.collect())) == brute_force(rows, min_docs, how.get("top", 50))
+
+
+def random_rows(n, seed, sources=6):
+    r = random.Random(seed)
+    words = word_list(seed, 120) + ["été", "ÉTÉ", "Straße", "naïve", "日本語の文章", "x" * 70, "x" * 70 + "y", "ab", "abc", "abcd", "ABCDE", "don't"]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    return [(i, " ".join(r.choices(words, weights, k=r.randint(0, 60))), r.choice(["en", "de", None]), f"s{r.choice([0, 0, 0, *range(sources)])}")
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("levels", [(2, 4, 8), (1, 2, 3, 5), (3,), ()])
+def test_against_brute_force_at_any_levels(spark, levels):
+    check(spark, random_rows(150, 3), 8, levels=levels)
+
+
+def test_edge_rows_ties_and_long_texts(spark):
+    rows = edge_rows() + [(50 + i, "Alpha beta GAMMA alpha\x00beta delta" + " zed" * (i % 3), "en", s) for i, s in enumerate("aabbccdd")]
+    check(spark, rows, 3)
+    check(spark, rows, 1, top=2)
+    check(spark, rows, 1000)                # nothing is kept: all pairs with 0
+
+
+def test_empty_table(spark):
+    assert D.divergence(empty_documents(spark)).collect() == []
+
+
+def test_colliding_prefixes_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "place", lambda prefix, lang: 0)
+    monkeypatch.setattr(D, "live_terms", lambda words, lang, length, bits: np.ones(len(words), bool))
+    check(spark, random_rows(60, 4), 5)
+
+
+def test_blocks_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_TERMS", 7)
+    check(spark, random_rows(200, 5, sources=23), 4)
+
+
+def test_pair_sums_of_two_tiles(monkeypatch):
+    monkeypatch.setattr(D, "TILE", 2)
+    words = [b"a", b"b", b"c"]
+    shares = {0: {b"a": 9, b"b": 5}, 1: {b"a": 2}, 2: {b"b": 7, b"c": 4}, 3: {}}
+    absent = {0: 1, 1: 2, 2: 3, 3: 4}
+    kept = 5                                # two kept terms occur in none of them
+    got = {}
+    for ta, tb in ((0, 0), (0, 1), (1, 1)):
+        idx = [i for i in shares if i // 2 in (ta, tb)]
+        rows = [(i, f"s{i}", None, absent[i]) for i in idx] + [(i, None, w, p) for i in idx for w, p in shares[i].items()]
+        table = pa.table({"idx": pa.array([r[0] for r in rows], pa.int32()), "source": pa.array([r[1] for r in rows], pa.string()),
+                          "term": pa.array([r[2] for r in rows], pa.binary()), "p": pa.array([r[3] for r in rows], pa.int64()),
+                          "kept": pa.array([kept] * len(rows), pa.int64())})
+        out = D._pair_sums((pa.scalar("en"), pa.scalar(0), pa.scalar(ta), pa.scalar(tb)), table).to_pylist()
+        got |= {(r["source"], r["item"]): r["value"] for r in out}
+    for i in shares:
+        for j in shares:
+            if i != j:
+                want = sum(abs(shares[i].get(w, absent[i]) - shares[j].get(w, absent[j])) for w in words) + 2 * abs(absent[i] - absent[j])
+                assert got[f"s{i}", f"s{j}"] == want
+
+
+def test_terms_of_an_arrow_slice():
+    texts = pa.array(["skip me", "Ab9cD", "", "é x", "end"]).cast(pa.binary()).slice(1, 3)
+    words, code, doc = D.terms(texts)
+    assert [(words[int(c)].as_py().decode(), int(d)) for c, d in zip(code, doc)] == [("ab", 0), ("cd", 0), ("é", 2), ("x", 2)]
+    assert list(D.byte_chunks(texts)) == [(0, 3)]
+    assert D.terms(pa.array([], pa.binary()))[0].to_pylist() == []
+
+
+def test_bitmap_marks_the_places(spark):
+    places = [0, 1, 7, 8, 32767, 32768, 40000, D.BITS - 1]
+    bits = D.bitmap(spark.createDataFrame([(p,) for p in places], "place long"))
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places
+
+
+def test_shares_are_exact_for_large_counts(spark):
+    rows = [(10**17 + 3, 3 * 10**17 + 1, 10**6), (0, 0, 1), (5, 0, 0)]
+    df = spark.createDataFrame(rows, "n long, total long, kept long").select(D.share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
+    assert [r.p for r in df.collect()] == [1 + 10**9 * (10**17 + 8) // (3 * 10**17 + 1 + 5 * 10**6), 1 + 10**9, None]
