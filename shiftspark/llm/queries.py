@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from shiftspark.llm import (
-    cuckoo, decontaminate, divergence, grid_codes, language, main_text, mixing, near_dup, suffixes, toxicity, url_filter, warc,
+    cuckoo, decontaminate, divergence, grid_codes, language, main_text, mixing, near_dup, private_data, suffixes, toxicity, url_filter, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_cuckoo_dedup": cuckoo.op10_cuckoo_dedup,
     "op11_vector_codes": grid_codes.op11_vector_codes,
+    "op12_private_data": private_data.op12_private_data,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 

@@ -15,6 +15,7 @@ COLUMNS = {
     "op5": ["doc_id", "size", "source_size", "target", "taken"], "op7": ["page_id", "url", "text", "n_chars"],
     "op8": ["doc_id", "held_out", "score", "predicted"], "op9": ["doc_id", "class_id", "class_size", "kept"],
     "op10": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op12": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
     "op13": ["lang", "source", "part", "item", "value", "rank"],
     "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
@@ -22,7 +23,7 @@ COLUMNS = {
 
 def test_entry_registers_one_query_for_each_operator():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == [*range(1, 12), 13]
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
 
 
