@@ -52,7 +52,7 @@ SMOOTH = 5
 TOP_TERMS = 50
 UNIT = 1_000_000_000
 #: Prefix lengths in bytes, level by level; complete terms follow.
-LEVELS = (2, 4, 8)
+LEVELS = (4, 8)
 BITS = 1 << 24
 #: Bits of one of Spark's bitmaps.
 BITMAP = 1 << 15
@@ -93,29 +93,31 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     data = np.frombuffer(held, np.uint8)[edge[0]:edge[-1]] if held is not None else np.empty(0, np.uint8)
     edge = edge - edge[0]
     low = _BYTES[data]
-    inside = low > 0
-    before = np.zeros(len(low), bool)
-    before[1:] = inside[:-1]
-    before[edge[:-1][edge[:-1] < len(low)]] = False         # terms end with their text
-    begin = np.flatnonzero(inside & ~before)
-    letters = low[inside]
-    at = np.append(np.cumsum(inside)[begin] - 1, len(letters)).astype(np.int32)
-    doc = np.searchsorted(edge, begin, side="right") - 1
-    found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    inside = np.zeros(len(low) + 2, bool)
+    np.greater(low, 0, out=inside[1:-1])
+    bounds = np.flatnonzero(inside[1:] != inside[:-1])
+    # Terms end with their text: where letters meet over its end, one term ends and another begins.
+    meet = edge[1:-1][inside[edge[1:-1]] & inside[edge[1:-1] + 1]]
+    if len(meet):
+        bounds = np.sort(np.concatenate([bounds, np.repeat(np.unique(meet), 2)]))
+    begin, end = bounds[::2], bounds[1::2]
+    at = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    doc = np.repeat(np.arange(n), np.diff(np.searchsorted(begin, edge)))
+    found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(low[low > 0])]).dictionary_encode()
     return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), doc
 
 
-def place(prefix: bytes, lang: bytes) -> int:
-    """Bit of a language's prefix."""
-    return zlib.crc32(prefix, zlib.crc32(lang + b"\0")) % BITS
+def places(prefixes: list[bytes], lang: bytes) -> np.ndarray:
+    """Bit of each prefix of a language."""
+    seed = zlib.crc32(lang + b"\0")
+    return np.fromiter((zlib.crc32(p, seed) for p in prefixes), np.int64, len(prefixes)) % BITS
 
 
 def live_terms(words: list[bytes], lang: bytes, length: int, bits: np.ndarray | None) -> np.ndarray:
     """Whether each term's prefix of ``length`` bytes stayed in the level before."""
     if bits is None:
         return np.ones(len(words), bool)
-    seed = zlib.crc32(lang + b"\0")
-    at = np.fromiter((zlib.crc32(w[:length], seed) for w in words), np.int64, len(words)) % BITS
+    at = places([w[:length] for w in words], lang)
     return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
@@ -174,7 +176,7 @@ def prefix_counts(docs: DataFrame, length: int, before: int, bits) -> DataFrame:
                 p = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name.decode("utf-8", "surrogatepass")] * len(p), pa.string()), prefix.dictionary.take(pa.array(p)),
-                     pa.array([place(prefixes[i], name) for i in p], pa.int64()), pa.array(n[p], pa.int64())],
+                     pa.array(places([prefixes[i] for i in p], name), pa.int64()), pa.array(n[p], pa.int64())],
                     names=["lang", "prefix", "place", "docs"])
 
     counts = map_batches(docs, run, "lang string, prefix binary, place long, docs long")

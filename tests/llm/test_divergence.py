@@ -63,7 +63,7 @@ def random_rows(n, seed, sources=6):
             for i in range(n)]
 
 
-@pytest.mark.parametrize("levels", [(2, 4, 8), (1, 2, 3, 5), (3,), ()])
+@pytest.mark.parametrize("levels", [D.LEVELS, (1, 2, 3, 5), ()])
 def test_against_brute_force_at_any_levels(spark, levels):
     check(spark, random_rows(150, 3), 8, levels=levels)
 
@@ -80,7 +80,7 @@ def test_empty_table(spark):
 
 
 def test_colliding_prefixes_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(D, "place", lambda prefix, lang: 0)
+    monkeypatch.setattr(D, "places", lambda prefixes, lang: np.zeros(len(prefixes), np.int64))
     monkeypatch.setattr(D, "live_terms", lambda words, lang, length, bits: np.ones(len(words), bool))
     check(spark, random_rows(60, 4), 5)
 
@@ -113,6 +113,9 @@ def test_pair_sums_of_two_tiles(monkeypatch):
 
 
 def test_terms_of_an_arrow_slice():
+    joined = pa.array(["", "ab", "", "ab", "c d", "d", ""]).cast(pa.binary())
+    words, code, doc = D.terms(joined)
+    assert [(words[int(c)].as_py().decode(), int(d)) for c, d in zip(code, doc)] == [("ab", 1), ("ab", 3), ("c", 4), ("d", 4), ("d", 5)]
     texts = pa.array(["skip me", "Ab9cD", "", "é x", "end"]).cast(pa.binary()).slice(1, 3)
     words, code, doc = D.terms(texts)
     assert [(words[int(c)].as_py().decode(), int(d)) for c, d in zip(code, doc)] == [("ab", 0), ("cd", 0), ("é", 2), ("x", 2)]
