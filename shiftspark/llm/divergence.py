@@ -52,7 +52,7 @@ SMOOTH = 5
 TOP_TERMS = 50
 UNIT = 1_000_000_000
 #: Prefix lengths in bytes, level by level; complete terms follow.
-LEVELS = (4, 8)
+LEVELS = (4, 10)
 BITS = 1 << 24
 #: Bits of one of Spark's bitmaps.
 BITMAP = 1 << 15
@@ -113,6 +113,11 @@ def places(prefixes: list[bytes], lang: bytes) -> np.ndarray:
     return np.fromiter((zlib.crc32(p, seed) for p in prefixes), np.int64, len(prefixes)) % BITS
 
 
+def place_of(lang: Column, prefix: Column) -> Column:
+    """The same as a column."""
+    return F.crc32(F.concat(lang.cast("binary"), F.lit(bytearray(b"\0")), prefix)) % BITS
+
+
 def live_terms(words: list[bytes], lang: bytes, length: int, bits: np.ndarray | None) -> np.ndarray:
     """Whether each term's prefix of ``length`` bytes stayed in the level before."""
     if bits is None:
@@ -150,7 +155,7 @@ def _languages(col: pa.Array) -> tuple[list[bytes], np.ndarray]:
 
 
 def prefix_counts(docs: DataFrame, length: int, before: int, bits) -> DataFrame:
-    """lang, prefix, place, docs of every prefix of ``length`` bytes whose own prefix of ``before`` bytes stayed.
+    """lang, prefix, docs of every prefix of ``length`` bytes whose own prefix of ``before`` bytes stayed.
 
     ``docs``: text, lang, source without nulls; ``bits``: broadcast bitmap of the level before, None at first.
     """
@@ -175,12 +180,11 @@ def prefix_counts(docs: DataFrame, length: int, before: int, bits) -> DataFrame:
                 n = np.bincount(p, minlength=len(prefixes))
                 p = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.decode("utf-8", "surrogatepass")] * len(p), pa.string()), prefix.dictionary.take(pa.array(p)),
-                     pa.array(places([prefixes[i] for i in p], name), pa.int64()), pa.array(n[p], pa.int64())],
-                    names=["lang", "prefix", "place", "docs"])
+                    [pa.array([name.decode("utf-8", "surrogatepass")] * len(p), pa.string()), prefix.dictionary.take(pa.array(p)), pa.array(n[p], pa.int64())],
+                    names=["lang", "prefix", "docs"])
 
-    counts = map_batches(docs, run, "lang string, prefix binary, place long, docs long")
-    return counts.groupBy("lang", "prefix", "place").agg(F.sum("docs").alias("docs"))
+    counts = map_batches(docs, run, "lang string, prefix binary, docs long")
+    return counts.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
 
 
 def bitmap(places: DataFrame) -> np.ndarray:
@@ -199,7 +203,7 @@ def refine(docs: DataFrame, min_docs: int, levels: tuple[int, ...]) -> tuple[int
     before, bits = 0, None
     for length in levels:
         stay = prefix_counts(docs, length, before, bits).where(F.col("docs") >= min_docs)
-        before, bits = length, docs.sparkSession.sparkContext.broadcast(bitmap(stay.select("place")))
+        before, bits = length, docs.sparkSession.sparkContext.broadcast(bitmap(stay.select(place_of(F.col("lang"), F.col("prefix")).alias("place"))))
     return before, bits
 
 

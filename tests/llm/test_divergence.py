@@ -80,7 +80,6 @@ def test_empty_table(spark):
 
 
 def test_colliding_prefixes_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(D, "places", lambda prefixes, lang: np.zeros(len(prefixes), np.int64))
     monkeypatch.setattr(D, "live_terms", lambda words, lang, length, bits: np.ones(len(words), bool))
     check(spark, random_rows(60, 4), 5)
 
@@ -129,6 +128,13 @@ def test_bitmap_marks_the_places(spark):
     assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places
 
 
+def test_places_are_the_same_in_tasks_and_columns(spark):
+    rows = [("en", b"abc"), ("", b"\xc3"), ("日", b"")]
+    df = spark.createDataFrame([(g, bytearray(p)) for g, p in rows], "lang string, prefix binary")
+    got = [r.p for r in df.select(D.place_of(F.col("lang"), F.col("prefix")).alias("p")).collect()]
+    assert got == [int(D.places([p], g.encode())[0]) for g, p in rows]
+
+
 def test_shares_are_exact_for_large_counts(spark):
     rows = [(10**17 + 3, 3 * 10**17 + 1, 10**6), (0, 0, 1), (5, 0, 0)]
     df = spark.createDataFrame(rows, "n long, total long, kept long").select(D.share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
