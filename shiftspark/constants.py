@@ -69,6 +69,8 @@ DEFAULT_QUOTAS = {
     "ban_after_violations": 10,
     "ban_duration_hours": 24,
 }
+# A request without a client address counts for this one.
+UNKNOWN_IP = "unknown"
 # Storage reserved for a new upload: this many times its size.
 UPLOAD_STORAGE_FACTOR = 3
 SESSION_LIFETIME_DAYS = 365

@@ -104,6 +104,12 @@ def _materialize(df: DataFrame, materialize: bool, name: str = "rate-check") ->
     return write_and_read(df, name)
 
 
+def known_ips(df: DataFrame) -> DataFrame:
+    """Rows without an ip count for one ip, ``K.UNKNOWN_IP``, as the service logs requests
+    without a client: they are limited and banned like any other."""
+    return df.withColumn("ip_address", F.coalesce(F.col("ip_address"), F.lit(K.UNKNOWN_IP)))
+
+
 def with_checked_ids(logs: DataFrame) -> DataFrame:
     """The log, failing on a row without an id: events of one instant would have
     no order, and limits no definite result.  ``append_audit_events`` gives ids."""
@@ -162,7 +168,7 @@ def apply_limits(logs: DataFrame, limits=DEFAULT_LIMITS, materialize: bool = Tru
     later ones (its request stopped there), but it did count for the earlier
     limits it passed.
     """
-    logs = with_checked_ids(logs)
+    logs = known_ips(with_checked_ids(logs))
     thresholds = stage_thresholds(logs, limits, materialize)
     out = _with_windows(logs, limits)
     for i, thr in enumerate(thresholds):
@@ -255,6 +261,7 @@ def usage_by_window(logs: DataFrame, window: str = "1 hour",
     off once, from a (small) count of duplicates per ip and window, so the log
     itself is never joined or shuffled whole.
     """
+    logs = known_ips(logs)
     w = F.window("created_at", window)
     keys = ["ip_address", "window_start", "window_end"]
     usage = (logs.groupBy("ip_address", w.start.alias("window_start"), w.end.alias("window_end"))

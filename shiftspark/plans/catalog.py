@@ -706,12 +706,18 @@ def q_quota_compliance(spark, sf):
     return quotas.quota_compliance(fx.ip_quotas(), fx.sessions(), fx.file_inventory(), fx.now())
 
 
-def queries() -> dict[str, QueryFn]:
-    # Streaming queries register themselves on import.
+def _register_all() -> None:
+    """Queries of other modules register themselves on import."""
+    import shiftspark.plans.ordered_queries
+    import shiftspark.streaming.late
     import shiftspark.streaming.usage  # noqa: F401
+
+
+def queries() -> dict[str, QueryFn]:
+    _register_all()
     return {name: e.fn for name, e in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    import shiftspark.streaming.usage  # noqa: F401
+    _register_all()
     return {name: e.sql for name, e in REGISTRY.items() if e.sql is not None}

@@ -74,6 +74,15 @@ security_logs AS (
          data AS event_data,
          CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS severity,
          logged_at AS created_at FROM log_rows)""",
+    "admission_events": """
+admission_events AS (
+  SELECT 'session' AS kind, o_orderkey * 2 AS id,
+         CASE WHEN o_orderkey % 3 = 0 THEN '10.0.0.7' WHEN o_custkey % 89 <> 5 THEN concat('10.0.0.', o_custkey % 97) END AS ip_address,
+         o_orderdate + INTERVAL 8217 DAY AS created_at, CAST(NULL AS BIGINT) AS size FROM orders
+  UNION ALL
+  SELECT 'upload', doc_id * 2 + 1,
+         CASE WHEN doc_id % 3 = 0 THEN '10.0.0.7' WHEN doc_id % 89 <> 5 THEN concat('10.0.0.', doc_id % 97) END,
+         TIMESTAMP '2017-06-01' + to_days(CAST(doc_id * 7919 % 2400 AS INTEGER)) + to_seconds(doc_id % 86400), n_chars * 8192 FROM documents)""",
     "file_inventory": """
 file_inventory AS (
   SELECT sha256(CAST((doc_id - doc_id % 3) * 30 AS VARCHAR)) AS session_id,

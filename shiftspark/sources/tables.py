@@ -139,6 +139,23 @@ def file_inventory(documents: DataFrame) -> DataFrame:
         F.col("n_chars").alias("length"))
 
 
+def admission_events(orders: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sessions opened (one per order) and uploads (one per document) of the same ips, one of which
+    holds a third of both; some requests have no ip, some uploads are too large."""
+    def ip(row: str, key: str) -> Column:
+        k = F.col(key)
+        return F.when(F.col(row) % 3 == 0, F.lit("10.0.0.7")).when(k % 89 != 5, F.concat(F.lit("10.0.0."), (k % 97).cast("string")))
+
+    opened = orders.select(F.lit("session").alias("kind"), (F.col("o_orderkey") * 2).cast("long").alias("id"), ip("o_orderkey", "o_custkey").alias("ip_address"),
+                           (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(ORDER_SHIFT_DAYS))).alias("created_at"),
+                           F.lit(None).cast("long").alias("size"))
+    day, second = (F.col("doc_id") * 7919 % 2400).cast("int"), (F.col("doc_id") % 86400).cast("decimal(18,6)")
+    uploads = documents.select(F.lit("upload").alias("kind"), (F.col("doc_id") * 2 + 1).cast("long").alias("id"), ip("doc_id", "doc_id").alias("ip_address"),
+                               (F.lit("2017-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=day, secs=second)).alias("created_at"),
+                               (F.col("n_chars") * 8192).cast("long").alias("size"))
+    return opened.unionByName(uploads)
+
+
 class Fixtures:
     """Lazy access to the derived tables of one scale-factor folder."""
 
@@ -170,5 +187,8 @@ class Fixtures:
     def file_inventory(self) -> DataFrame:
         return file_inventory(self.table("documents"))
 
+    def admission_events(self) -> DataFrame:
+        return admission_events(self.table("orders"), self.table("documents"))
+
     def now(self) -> Column:
         return F.lit(FIXTURE_NOW).cast("timestamp_ntz")

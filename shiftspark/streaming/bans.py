@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from shiftspark import constants as K
 from shiftspark.functions.timeparts import plus_hours
-from shiftspark.operators.quotas import RateLimit
+from shiftspark.operators.quotas import RateLimit, known_ips
 
 #: Rows of one ip that are decided together.
 CHUNK = 100_000
@@ -153,7 +153,7 @@ def ban_decisions(logs: DataFrame, limits: tuple[RateLimit, ...],
                   after: int = K.DEFAULT_QUOTAS["ban_after_violations"],
                   hours: int = K.DEFAULT_QUOTAS["ban_duration_hours"]) -> DataFrame:
     """Per-event outcome on a streaming (or batch) log, keyed by ip."""
-    return (logs.select("id", "ip_address", "event_type", "created_at")
+    return (known_ips(logs).select("id", "ip_address", "event_type", "created_at")
             .groupBy("ip_address")
             .applyInPandasWithState(_decider(tuple(limits), after, hours), DECISIONS,
                                     _state_schema(len(limits)), "append", "NoTimeout"))

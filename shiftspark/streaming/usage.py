@@ -66,7 +66,7 @@ def usage_stream(logs: DataFrame, window: str = "1 hour", request_limit: int | N
     """
     ts = wall_clock_to_instant("created_at")
     w = F.window("event_time", window)
-    agg = (logs.withColumn("event_time", ts)
+    agg = (quotas.known_ips(logs).withColumn("event_time", ts)
            .withWatermark("event_time", watermark)
            .groupBy("ip_address", w.alias("w"))
            .agg(F.count("*").alias("requests"),

@@ -1,0 +1,60 @@
+"""Late events of a stream, and requests without an ip."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from shiftspark import constants as K
+from shiftspark.operators import quotas
+from shiftspark.streaming import bans as SB
+from shiftspark.streaming.late import UsageStore, run_usage
+
+T0 = dt.datetime(2024, 1, 1)
+SCHEMA = "id long, ip_address string, event_type string, created_at timestamp_ntz"
+
+
+def events(*minutes, ip="a", start=0):
+    return [(start + i, ip, K.EVENT_PREDICTION_MADE, T0 + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)]
+
+
+def counts(store):
+    return {((r.ip_address, (r.window_start - T0).seconds // 3600)): (r.requests, r.late_requests) for r in store.usage().collect()}
+
+
+def test_late_events_are_counted_apart(spark, tmp_dir):
+    store = UsageStore(spark, f"{tmp_dir}/store")
+    batches = [events(5, 20), events(30, 69), events(59, 40, 71), events(10, 80, 65, ip=None), [], events(59, 130, 65)]
+    for k, rows in enumerate(batches):
+        store.write(spark.createDataFrame(rows, SCHEMA), k)
+    # The hour from 0 ends, 10 minutes included, at 70: 71 comes in batch 2, and later batches are late for it.
+    assert counts(store) == {("a", 0): (5, 1), ("a", 1): (3, 0), ("a", 2): (1, 0), (K.UNKNOWN_IP, 0): (0, 1), (K.UNKNOWN_IP, 1): (2, 0)}
+    assert store.latest(6) == T0 + dt.timedelta(minutes=130) and store.latest(5) == T0 + dt.timedelta(minutes=80)
+    store.write(spark.createDataFrame(batches[3], SCHEMA), 3)           # a batch that runs again
+    assert counts(store)[K.UNKNOWN_IP, 0] == (0, 1)
+    assert store.compact(f"{tmp_dir}/compact").count() == 5
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_dir):
+    path, store = f"{tmp_dir}/in", UsageStore(spark, f"{tmp_dir}/store")
+
+    def run(rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        run_usage(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path), UsageStore(spark, f"{tmp_dir}/store"), f"{tmp_dir}/ck")
+
+    run(events(5, 200))
+    run(events(6, 190))
+    assert counts(store) == {("a", 0): (1, 1), ("a", 3): (2, 0)}
+
+
+def test_requests_without_an_ip_are_limited_and_banned(spark):
+    rows = events(*range(9), ip=None) + events(*range(9), ip="b", start=100)
+    logs = spark.createDataFrame(rows, SCHEMA).withColumns({"session_id": F.lit("s"), "event_data": F.lit(None).cast("string"), "severity": F.lit("INFO")})
+    limits = (quotas.RateLimit("request", "1 day", 5),)
+    got = {r.ip_address: r for r in quotas.bans(logs, limits, 3, 1).collect()}
+    assert set(got) == {K.UNKNOWN_IP, "b"}
+    assert [got[K.UNKNOWN_IP][c] for c in ("accepted", "violations", "refused_while_banned", "is_banned")] == [5, 3, 1, True]
+    assert list(got[K.UNKNOWN_IP])[1:] == list(got["b"])[1:]
+    rejects = quotas.rate_rejects(logs, limits).groupBy("ip_address").count()
+    assert {tuple(r) for r in rejects.collect()} == {(K.UNKNOWN_IP, 4), ("b", 4)}
+    usage = {tuple(r) for r in quotas.usage_by_window(logs).select("ip_address", "requests").collect()}
+    assert usage == {(K.UNKNOWN_IP, 9), ("b", 9)}
