@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 # Fixed values of the HTML standard.
@@ -29,8 +31,9 @@ CLOSES = {
 _P_STOPS = frozenset({"table", "td", "th", "button", "object", "template"})
 #: An end tag of an inline element doesn't close these.
 _BOUNDS = frozenset("article aside body div footer form header html main nav section table td th".split())
+_P_BOUNDS = _P_STOPS | _BOUNDS
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label|itemprop|data-y)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
@@ -43,6 +46,39 @@ class Page:
     text: list[tuple[int, str]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements, outermost first; where those of a name stand is known, so no tag walks them."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], ["#page"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.nodes) > depth:
+            self.places[self.names.pop()].pop()
+            self.nodes.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """Depth of the innermost element of these names; 0 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def first_after(self, names: Iterable[str], depth: int) -> int:
+        """Depth of the outermost element of these names inside ``depth``; 0 without one."""
+        found = []
+        for n in names:
+            at = self.places.get(n, ())
+            k = bisect_right(at, depth)
+            if k < len(at):
+                found.append(at[k])
+        return min(found, default=0)
+
+
 def attributes(raw: str) -> dict[str, str]:
     """The attributes that describe an element's role."""
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)}
@@ -52,15 +88,15 @@ def parse(html: str | None) -> Page:
     page = Page()
     if not html:
         return page
-    tags, parents, attrs, text = page.tag, page.parent, page.attrs, page.text
-    open_ = [0]
+    text = page.text
+    open_ = _Open()
     i, n = 0, len(html)
     while i < n:
         j = html.find("<", i)
         if j < 0:
             j = n
         if j > i:
-            text.append((open_[-1], html[i:j]))
+            text.append((open_.nodes[-1], html[i:j]))
         if j >= n:
             break
         m = _TAG.match(html, j)
@@ -83,47 +119,32 @@ def parse(html: str | None) -> Page:
                     continue
                 i = _element(page, open_, html, m, end)
             else:
-                text.append((open_[-1], "<"))
+                text.append((open_.nodes[-1], "<"))
                 i = j + 1
             continue
         i = _element(page, open_, html, m, m.end())
     return page
 
 
-def _element(page: Page, open_: list[int], html: str, m: re.Match, end: int) -> int:
+def _element(page: Page, open_: _Open, html: str, m: re.Match, end: int) -> int:
     """Take one tag; where reading goes on."""
-    tags = page.tag
     name = m[2].lower()
     if m[1]:
-        if name in ("br", "p") and not any(tags[x] == name for x in open_):
+        at = open_.last((name,))
+        if not at and name in ("br", "p"):
             _add(page, open_, name, "", False)
-            return end
-        for d in range(len(open_) - 1, 0, -1):
-            if tags[open_[d]] == name:
-                del open_[d:]
-                break
-            if name not in BLOCK and tags[open_[d]] in _BOUNDS:
-                break
+        elif at and (name in BLOCK or open_.last(_BOUNDS) <= at):
+            open_.cut(at)
         return end
     if name in ENDS_P:
-        for d in range(len(open_) - 1, 0, -1):
-            t = tags[open_[d]]
-            if t == "p":
-                del open_[d:]
-                break
-            if t in _P_STOPS or t in _BOUNDS:
-                break
+        at = open_.last(("p",))
+        if at > open_.last(_P_BOUNDS):
+            open_.cut(at)
     if name in CLOSES:
         ends, stops = CLOSES[name]
-        last = 0
-        for d in range(len(open_) - 1, 0, -1):
-            t = tags[open_[d]]
-            if t in stops:
-                break
-            if t in ends:
-                last = d
-        if last:
-            del open_[last:]
+        at = open_.first_after(ends, open_.last(stops))
+        if at:
+            open_.cut(at)
     raw = m[3]
     _add(page, open_, name, raw, name not in VOID and not (raw.endswith("/") and name not in BLOCK))
     if name in RAW:
@@ -135,15 +156,15 @@ def _element(page: Page, open_: list[int], html: str, m: re.Match, end: int) ->
     return end
 
 
-def _add(page: Page, open_: list[int], name: str, raw: str, stays: bool) -> None:
+def _add(page: Page, open_: _Open, name: str, raw: str, stays: bool) -> None:
     page.tag.append(name)
-    page.parent.append(open_[-1])
+    page.parent.append(open_.nodes[-1])
     page.attrs.append(raw)
     # A place where words part, even if the element has no text.
     if name in BLOCK:
         page.text.append((len(page.tag) - 1, ""))
     if stays:
-        open_.append(len(page.tag) - 1)
+        open_.push(len(page.tag) - 1, name)
 
 
 def joined(page: Page, keep) -> str:
