@@ -11,8 +11,13 @@ digest; one that does not fit its block is reported in the metadata
 
 Records are a table (one row a record: type, id, headers, block) or WARC files
 in text form: ``write_warc`` ends every record with the blank lines that the
-format asks for, ``read_warc`` splits files at record ends, so large files are
-read by many tasks.  Blocks are UTF-8.
+format asks for, ``read_warc`` splits files of either version at what looks like a
+record's end, so large files are read by many tasks, and joins what follows until a
+record has its Content-Length: blocks may hold record ends.  Only where such a block
+is cut by an input split does it raise (``spark.sql.files.maxPartitionBytes`` sets their
+size).  Headers beyond those with a column stay, in order, in ``other_headers``; those of
+the response, and all its HTTP headers, are written into the metadata record.  Blocks
+are UTF-8.
 
 Null html is an empty block, a null url a record without a target URI; rows that
 repeat a key give records with the same identifier and differ in their digests
@@ -24,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.llm.common import map_batches, read_table
 from shiftspark.llm.dom import visible_text
+from shiftspark.session import ship_package
 
 # Fixed values of the WARC format.
 VERSION = "WARC/1.1"
@@ -41,7 +48,7 @@ NO_DATE = "1970-01-01T00:00:00Z"
 #: Name space of derived record identifiers.
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-RECORD = "key long, type string, record_id string, refers_to string, target_uri string, date string, content_type string, block string, block_digest string, payload_digest string"
+RECORD = "key long, type string, record_id string, refers_to string, target_uri string, date string, content_type string, block string, block_digest string, payload_digest string, other_headers string"
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
@@ -81,7 +88,7 @@ def response(key: int | None, url: str | None, html: str | None) -> tuple:
     """The response record of one page."""
     block, body = http_response(html), (html or "").encode("utf-8", "surrogatepass")
     return (key, "response", record_id("response", str(key), url or ""), None, _one_line(url), NO_DATE,
-            "application/http; msgtype=response", block, digest(block.encode("utf-8", "surrogatepass")), digest(body))
+            "application/http; msgtype=response", block, digest(block.encode("utf-8", "surrogatepass")), digest(body), None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -99,7 +106,8 @@ def split_http(block: str) -> tuple[str, dict[str, str], str]:
     for line in lines:
         name, colon, value = line.partition(":")
         if colon:
-            headers[name.strip().lower()] = value.strip()
+            name = name.strip().lower()
+            headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
     return status, headers, body
 
 
@@ -118,12 +126,15 @@ def derive(record: dict) -> list[tuple]:
               ("source-content-type", kind), ("payload-length", str(len(raw))), ("payload-digest", payload),
               ("payload-digest-status", "absent" if said is None else "match" if said == payload else f"differs from {said}"),
               ("text-length", str(len(text.encode("utf-8", "surrogatepass"))))]
+    fields += [(f"source-http-{name}", value) for name, value in headers.items()]
+    fields += [(f"source-{name.strip().lower()}", value.strip()) for name, colon, value in
+               (line.partition(":") for line in (record.get("other_headers") or "").split(EOL)) if colon]
     meta = "".join(f"{k}: {v}{EOL}" for k, v in fields)
     out = []
     for type_, id_, mime, block in (("metadata", record_id("metadata", source), "application/warc-fields", meta),
                                     ("conversion", conversion, "text/plain; charset=utf-8", text)):
         out.append((record["key"], type_, id_, source, record["target_uri"], record["date"], mime, block,
-                    digest(block.encode("utf-8", "surrogatepass")), payload if type_ == "metadata" else None))
+                    digest(block.encode("utf-8", "surrogatepass")), payload if type_ == "metadata" else None, None))
     return out
 
 
@@ -162,28 +173,58 @@ def serialise(record: dict) -> str:
     head = [f"{h}: {record[c]}" for c, h in _HEADERS if record[c] is not None]
     if record["key"] is not None:
         head.append(f"X-Row-Key: {record['key']}")
+    head += [line for line in (record.get("other_headers") or "").split(EOL) if line]
     block = record["block"] or ""
     return EOL.join([VERSION, *head, f"Content-Length: {len(block.encode('utf-8', 'surrogatepass'))}"]) + END + block
 
 
-def parse(text: str) -> tuple | None:
-    """A record from its text, with or without the version line; None if its
-    length does not fit (a block that holds a record end was split)."""
-    head, found, block = text.removeprefix(VERSION + EOL).partition(END)
+#: Where files are split: a record's end and the next one's version, up to its last digit.
+_SPLIT = END + "WARC/1."
+_KNOWN = {h.lower() for _, h in _HEADERS} | {"x-row-key", "content-length"}
+
+
+def parse(text: str) -> tuple[tuple | None, int]:
+    """A record from its text (after the version, or with it), and the bytes that its block lacks.
+
+    0: the record is whole; more: its block goes on after what was split off; less: it is too long.
+    """
+    _, _, rest = text.partition(EOL)
+    head, found, block = rest.partition(END)
     if not found:
-        return None
-    h = {}
+        return None, -1
+    h, other = {}, []
     for line in head.split(EOL):
-        name, _, value = line.partition(": ")
-        h[name.lower()] = value
-    over = len(block.encode("utf-8", "surrogatepass")) - int(h.get("content-length", -1))
-    if over == len(END) and block.endswith(END):            # the last record of a file has its end
-        block = block.removesuffix(END)
-    elif over:
-        return None
+        name, _, value = line.partition(":")
+        h[name.strip().lower()] = value.strip()
+        if line and name.strip().lower() not in _KNOWN:
+            other.append(line)
+    lacks = int(h.get("content-length") or -1) - len(block.encode("utf-8", "surrogatepass"))
+    if lacks == -len(END) and block.endswith(END):          # the last record of a file has its end
+        block, lacks = block.removesuffix(END), 0
     key = h.get("x-row-key")
-    got = {c: h.get(n.lower()) for c, n in _HEADERS} | {"key": int(key) if key else None, "block": block}
-    return tuple(got[c] for c in _NAMES)
+    got = {c: h.get(n.lower()) for c, n in _HEADERS} | {"key": int(key) if key else None, "block": block, "other_headers": EOL.join(other) or None}
+    return tuple(got[c] for c in _NAMES), lacks
+
+
+def whole_records(pieces: Iterator[str]) -> Iterator[tuple]:
+    """Records of consecutive pieces of files; a piece that a block goes on in is joined to it."""
+    held, lacks = [], 0
+    for t in pieces:
+        if not held and not t.strip():
+            continue
+        held.append(t)
+        if lacks > 0:
+            lacks -= len((_SPLIT + t).encode("utf-8", "surrogatepass"))
+            if lacks > 0:
+                continue
+        got, lacks = parse(_SPLIT.join(held))
+        if lacks < 0:
+            raise ValueError("WARC record longer than its Content-Length: " + held[0][:200])
+        if lacks == 0:
+            yield got
+            held = []
+    if held:
+        raise ValueError("WARC record shorter than its Content-Length, or cut by an input split: " + held[0][:200])
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
@@ -197,19 +238,14 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files; raises on a record whose length does not fit."""
+    ship_package(spark)
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for t in b.column(0).to_pylist():
-            if t.strip():
-                got = parse(t)
-                if got is None:
-                    raise ValueError("WARC record with a wrong Content-Length: " + t[:200])
-                rows.append(got)
-        yield _batch(rows)
-
-    lines = spark.read.option("lineSep", END + VERSION + EOL).text(path)
-    return map_batches(lines, run, RECORD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = whole_records(t for b in batches for t in b.column(0).to_pylist())
+        while rows := list(islice(records, 512)):
+            yield _batch(rows)
+
+    return spark.read.option("lineSep", _SPLIT).text(path).mapInArrow(run, RECORD)
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,27 @@ def test_file_text_is_a_warc_record(spark, tmp_dir):
     assert f"Content-Length: {len(block) - 4}".encode() in head and b"WARC-Refers-To" not in head
 
 
+def test_blocks_that_hold_record_ends_and_both_versions(spark, tmp_dir):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "u", "a\r\n\r\nWARC/1.1\r\nb"), (2, "v", inner * 20), (3, "w", "\r\n\r\nWARC/1."), (4, "x", "\r\n\r\n"), (5, "y", "plain")]
+    rec = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    warc.write_warc(rec.coalesce(1), f"{tmp_dir}/w")
+    back = warc.read_warc(spark, f"{tmp_dir}/w")
+    assert sorted(map(str, back.collect())) == sorted(map(str, rec.collect()))
+    old = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:9>\r\nWARC-IP-Address: 1.2.3.4\r\nwarc-concurrent-to:<urn:uuid:8>\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    block = "HTTP/1.0 200 OK\r\nServer: s\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x"
+    text = old.format(len(block), block) * 2
+    spark.createDataFrame([(text.removesuffix("\r\n\r\n"),)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(f"{tmp_dir}/old")
+    got = warc.read_warc(spark, f"{tmp_dir}/old")
+    assert [(r.record_id, r.block, r.other_headers) for r in got.collect()] == [
+        ("<urn:uuid:9>", block, "WARC-IP-Address: 1.2.3.4\r\nwarc-concurrent-to:<urn:uuid:8>")] * 2
+    meta = warc.derivatives(got).where("type = 'metadata'").first().block
+    assert {"source-http-server: s", "source-http-set-cookie: a=1, b=2", "source-warc-ip-address: 1.2.3.4",
+            "source-warc-concurrent-to: <urn:uuid:8>"} <= set(meta.split("\r\n"))
+    warc.write_warc(got, f"{tmp_dir}/again")
+    assert sorted(map(str, warc.read_warc(spark, f"{tmp_dir}/again").collect())) == sorted(map(str, got.collect()))
+
+
 def test_foreign_responses(spark):
     def made(block, said):
         r = {"key": 1, "type": "response", "record_id": "<urn:uuid:1>", "target_uri": "u", "date": "2020-01-01T00:00:00Z", "block": block, "payload_digest": said}
