@@ -710,6 +710,7 @@ def _register_all() -> None:
     """Queries of other modules register themselves on import."""
     import shiftspark.plans.ordered_queries
     import shiftspark.streaming.late
+    import shiftspark.streaming.live_sessions
     import shiftspark.streaming.usage  # noqa: F401
 
 

@@ -94,10 +94,11 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str | None = None, multi_l
 def long_rows(raw: DataFrame) -> DataFrame:
     """Rows with more fields than the header (a pandas reader refuses the file).
 
-    Fields are counted by splitting the raw line on the separator, so a
-    separator inside quotes counts too: an upper bound, exact for unquoted text.
+    Fields are counted by the separators of the raw line outside quoted fields (those that
+    begin with a quote).
     """
-    fields = F.size(F.split(F.col(CORRUPT), F.col("_sep_re")))
+    quoted = F.concat(F.lit("(?<=^|"), F.col("_sep_re"), F.lit(')"[^"]*+(?:""[^"]*+)*+"'))
+    fields = F.size(F.split(F.regexp_replace(F.col(CORRUPT), quoted, F.lit("")), F.col("_sep_re")))
     # A row counts as malformed only for the columns the scan parses, and a
     # scan may not need the corrupt-record column alone: require every field.
     data_cols = raw.columns[:raw.columns.index(CORRUPT)]

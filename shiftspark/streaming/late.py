@@ -11,7 +11,7 @@ one row a window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark import constants as K
@@ -79,24 +79,29 @@ FILES = 24
 _SLOT_S = 30 * 24 * 3600 // FILES
 
 
-def arrival_file(ts: str = "ts", ident: str = "event_id"):
+def arrival_file(ts: str = "ts", ident: str = "event_id") -> Column:
     """The file in which an event arrives: that of its time, but every fifth comes one to three files later."""
     slot = F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts)) / _SLOT_S)
     behind = F.when(F.col(ident) % 5 == 0, F.col(ident) % 3 + 1).otherwise(0)
     return F.least(F.greatest(slot, F.lit(0)) + behind, F.lit(FILES - 1)).cast("int")
 
 
-def events_in_files(spark: SparkSession, sf_dir: str) -> str:
-    """The events table as ``FILES`` files, written one after the other: the order in which a stream reads them."""
-    base = scratch_dir(spark, "late-events")
-    dealt = f"{base}/dealt"
-    (read_table(spark, sf_dir, "events").withColumn("file", arrival_file()).repartition(FILES, "file").write.partitionBy("file").parquet(dealt))
-    events = spark.read.parquet(dealt)
+def in_files(df: DataFrame, file: Column, name: str) -> str:
+    """``df`` as ``FILES`` files by ``file``, written one after the other: the order in which a stream reads them."""
+    spark = df.sparkSession
+    base = scratch_dir(spark, name)
+    df.withColumn("_file", file).repartition(FILES, "_file").write.partitionBy("_file").parquet(f"{base}/dealt")
+    dealt = spark.read.parquet(f"{base}/dealt")
     for k in range(FILES):
-        events.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{base}/arrived")
     return f"{base}/arrived"
 
 
+def stream_of(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream over the files of a folder, a file a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @register("stream_usage_late", W(f"""
 slots AS (
   SELECT *, CASE WHEN id < 0 THEN -id - 1 ELSE id END AS event_id FROM security_logs),
@@ -119,9 +124,7 @@ SELECT ip_address, date_trunc('hour', created_at) AS window_start, date_trunc('h
 FROM judged GROUP BY ip_address, date_trunc('hour', created_at)""", "security_logs"))
 def q_stream_usage_late(spark, sf):
     """24 micro-batches, a file each, a fifth of the events out of time order."""
-    folder = events_in_files(spark, sf)
-    schema = spark.read.parquet(folder).schema
-    logs = security_logs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    logs = security_logs(stream_of(spark, in_files(read_table(spark, sf, "events"), arrival_file(), "late-events")))
     base = scratch_dir(spark, "usage-late")
     store = UsageStore(spark, f"{base}/store")
     run_usage(logs, store, f"{base}/checkpoint")

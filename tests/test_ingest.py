@@ -168,3 +168,14 @@ def test_bucketed_audit_tables_join_without_shuffle(spark):
         assert out.count() == Q.ip_changes(fx.security_logs(), fx.sessions()).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_separators_inside_quotes_do_not_make_a_row_long(spark, tmp_dir):
+    head = "ID,Date,Start Time,End Time\n"
+    path = write(tmp_dir, "short.csv", head + '"a, b, c, d, e",15/01/2025,08:30\n"x ""y"", z",15/01/2025,08:30,17:00\n')
+    assert C.long_rows(C.read_raw_csv(spark, path)).count() == 0
+    assert len(rows(C.load_schedule_csv(spark, path))) == 1         # the short row has no end
+    long_ = write(tmp_dir, "long.csv", head + '"a, b",15/01/2025,08:30,17:00,more\n1,15/01/2025,"08:30",17:00\n')
+    assert C.long_rows(C.read_raw_csv(spark, long_)).count() == 1
+    with pytest.raises(C.InvalidCsvError, match="more fields"):
+        C.load_schedule_csv(spark, long_)

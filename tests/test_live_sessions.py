@@ -1,0 +1,46 @@
+"""Sessions and log rows as two streams."""
+
+import datetime as dt
+
+from shiftspark import constants as K
+from shiftspark.streaming import late, usage
+from shiftspark.streaming.live_sessions import ip_changes
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def write(spark, path, schema, files):
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return late.stream_of(spark, path)
+
+
+def test_sessions_that_come_after_their_log_rows(spark, tmp_dir):
+    def s(i, ip, day, ends=365):
+        return (i, ip, T0 + dt.timedelta(days=day), T0 + dt.timedelta(days=day + ends))
+
+    def row(i, of, ip, day):
+        return (i, of, ip, K.EVENT_SESSION_ACCESSED, T0 + dt.timedelta(days=day))
+
+    opened = write(spark, f"{tmp_dir}/s", "session_id string, ip_address string, created_at timestamp_ntz, expires_at timestamp_ntz", [
+        [s("a", "1", 0)], [s("b", "1", 10), s("n", None, 10)], [s("c", "1", 12, -1), s("late", "1", 3)], [s("d", "1", 20, 5)]])
+    logs = write(spark, f"{tmp_dir}/l", "id long, session_id string, ip_address string, event_type string, created_at timestamp_ntz", [
+        [row(1, "a", "2", 5), row(2, "b", "2", 15), row(3, "late", "3", 4), row(10, "n", "2", 11)],
+        [row(4, "a", "1", 16), row(5, "c", "2", 16), row(6, "none", "2", 16), row(11, "a", None, 16)],
+        [row(7, "d", "2", 26), row(8, "d", "2", 25), row(9, "a", "2", -1), row(12, "a", "9", 17)]])
+    out = usage.run_to_table(ip_changes(logs, opened), "t-live")
+    assert out.columns == ["access_id", "session_id", "ip_address", "old_ip", "event_type", "event_data", "severity", "created_at"]
+    # 4 and 11 are no change, 5 and 7 came after the session's end, 9 before its begin.
+    assert sorted((r.access_id, r.old_ip, r.ip_address) for r in out.collect()) == [(1, "1", "2"), (2, "1", "2"), (3, "1", "3"), (8, "1", "2"), (12, "1", "9")]
+
+
+def test_state_of_ended_sessions_is_dropped(spark, tmp_dir):
+    opened = write(spark, f"{tmp_dir}/s", "session_id string, ip_address string, created_at timestamp_ntz, expires_at timestamp_ntz",
+                   [[(f"s{k}", "1", T0 + dt.timedelta(days=200 * k), T0 + dt.timedelta(days=200 * k + 365))] for k in range(8)])
+    logs = write(spark, f"{tmp_dir}/l", "id long, session_id string, ip_address string, event_type string, created_at timestamp_ntz",
+                 [[(k, f"s{k}", "2", K.EVENT_SESSION_ACCESSED, T0 + dt.timedelta(days=200 * k + 1))] for k in range(8)])
+    q = (ip_changes(logs, opened, "1 day").writeStream.format("parquet").option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 8 and held[-1] < 8
