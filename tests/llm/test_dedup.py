@@ -218,13 +218,52 @@ def test_pairs_on_both_sides_of_a_round_of_hubs_meet(spark, monkeypatch):
     """The most common class of a part changes between rounds; the pair (3, 39) needs the first one."""
     real = near_dup.sketch
     one = F.array(F.lit(1).cast("long"))
-    monkeypatch.setattr(near_dup, "sketch", lambda *a: real(*a).withColumns({"bands": one, "fine": one}))
+    monkeypatch.setattr(near_dup, "sketch", lambda *a: real(*a).withColumn("bands", one))
+    monkeypatch.setattr(near_dup, "_prefixes", lambda sets: sets.select("uid", F.lit(1).cast("long").alias("band")))
     rows = [(i, sentence(4000 + {39: 3, 7: 5}.get(i, i), 100) + (" and more" if i in (39, 7) else ""), "en", "s") for i in range(40)]
     assert len(rows) > near_dup.FIRST_HUBS
     got = near_dup.near_duplicates(documents(spark, rows).coalesce(1))
     assert classes_of(got) == brute_classes(rows)
 
 
+def crowd(n_common, seeds):
+    common = word_list(1, n_common)
+    return [" ".join(common + changed(word_list(50 + s, 30), i, 1)) for i, s in enumerate(seeds)]
+
+
+def short_sets(spark, texts):
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    members = near_dup.sketch(docs).select(F.col("id").alias("uid"), F.col("id").alias("key"), "digest")
+    return near_dup._short_sets(members, docs.select(F.col("doc_id").alias("key"), "text"))
+
+
+@pytest.mark.parametrize("cells", [1, 64, near_dup.CELLS])
+def test_similar_sets_share_a_prefix_shingle(spark, monkeypatch, cells):
+    """Exact for any number of cells, also where all shingles share one."""
+    monkeypatch.setattr(near_dup, "CELLS", cells)
+    texts = crowd(60, [i // 3 for i in range(30)]) + ["one", "one two three four", " ".join(["again"] * 50), "a b c d e f"] * 2
+    got = collections.defaultdict(set)
+    for r in near_dup._prefixes(short_sets(spark, texts)).collect():
+        got[r["uid"]].add(r["band"])
+    sets = [shingle_set(t) for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) >= 15
+    assert all(got[i] & got[j] for i, j in alike)
+
+
+def test_a_common_passage_makes_no_pairs(spark):
+    """Texts with nothing else in common share no prefix, however many there are."""
+    texts = crowd(100, range(60))
+    of = near_dup._prefixes(short_sets(spark, texts)).withColumn("label", F.col("uid"))
+    assert near_dup._mixed(of).count() == 0
+
+
+def test_bands_of_the_same_members_are_one(spark):
+    rows = [(u, b, u) for b in range(5) for u in (1, 2, 3)] + [(u, 9, u) for u in (1, 2)] + [(4, 11, 4), (5, 11, 4)]
+    of = spark.createDataFrame(rows, "uid long, band long, label long")
+    assert sorted(r["band"] for r in near_dup._mixed(of).collect()) == [0, 9]
+
+
 def test_copies_that_repeat_a_passage_are_found(spark):
     rows = []
     for g in range(12):
