@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from shiftspark.session import ship_package
 from shiftspark.sources.tables import read_table
 
-__all__ = ["NO_ID", "keep_texts", "lists_of", "map_batches", "read_table", "sample_rows"]
+__all__ = ["NO_ID", "keep_texts", "lists_of", "lists_with_edges", "map_batches", "read_table", "sample_rows", "small_batches"]
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
@@ -65,6 +66,24 @@ def lists_of(table: pa.Table, column: str) -> list[np.ndarray]:
     return out
 
 
+def lists_with_edges(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of every list (and the end of the last) in the values, and these."""
+    edge = lists.offsets.to_numpy()
+    return edge - edge[0], lists.values.to_numpy()[edge[0]:edge[-1]]
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs whose rows are large: at most so many in an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sample_rows(spark: SparkSession, df: DataFrame, key: str, label: str, per_class: int, seed: int) -> DataFrame:
     """At most about ``per_class`` rows of each value of ``label``, chosen by a
     seeded hash of ``key``: each class is thinned by its own rate, from counts

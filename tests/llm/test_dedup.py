@@ -251,6 +251,29 @@ def test_similar_sets_share_a_prefix_shingle(spark, monkeypatch, cells):
     assert all(got[i] & got[j] for i, j in alike)
 
 
+def test_lists_of_sets_meet_as_by_brute_force():
+    """Whole and thinned sets, slices of lists; of one class a member needs one hub."""
+    r = np.random.default_rng(1)
+    rows = []
+    for i in range(60):
+        n = int(r.choice([1, 5, 100, 2000, 2100, 4500, 9000]))
+        base, own = (x.integers(0, 2 ** 32, n, dtype=np.uint32) for x in (np.random.default_rng(n), r))
+        rows.append((i // 2, np.unique(np.where(r.random(n) < r.choice([0.86, 0.9, 0.95, 1.0]), base, own))))
+    kind = pa.struct([("uid", pa.int64()), ("rank", pa.int32()), ("label", pa.int64()), ("main", pa.bool_()),
+                      ("n", pa.int32()), ("thin", pa.list_(pa.int32()))])
+    listed = pa.array([{"uid": i, "rank": i, "label": g, "main": False, "n": len(v), "thin": near_dup._thinned(v).view(np.int32)}
+                       for i, (g, v) in enumerate(rows)], kind)
+    got = {(a + 10, b + 5) for a, b in zip(*near_dup._alike(listed.slice(10, 30), listed.slice(5, 50)), strict=True)}
+
+    def similarity(a, b):
+        return len(np.intersect1d(rows[a][1], rows[b][1])) / len(np.union1d(rows[a][1], rows[b][1]))
+
+    want = {(a, b) for a in range(10, 40) for b in range(5, min(55, a)) if rows[a][0] != rows[b][0] and similarity(a, b) >= 0.8}
+    assert len(want) > 40
+    assert {(a, rows[b][0]) for a, b in want} <= {(a, rows[b][0]) for a, b in got}
+    assert all(similarity(a, b) >= 0.72 or len(rows[a][1]) <= 5 for a, b in got)
+
+
 def test_a_common_passage_makes_no_pairs(spark):
     """Texts with nothing else in common share no prefix, however many there are."""
     texts = crowd(100, range(60))
