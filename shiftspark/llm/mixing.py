@@ -6,8 +6,10 @@ weight until none is above.  The mix is made of blocks of equally many words:
 
 1. Sources share ``total / block`` blocks by highest quotients target / (2k + 1).
 2. A source's documents are dealt by a seeded hash to shards of about
-   ``shard_words``, and its blocks are shared among its shards in the same way, by
-   their sizes.  Each shard has an integer quota, and works alone from here.
+   ``SHARD_WORDS`` words or ``SHARD_ROWS`` rows, whichever gives more, and its blocks are
+   shared among its shards in the same way, by their sizes.  Each shard has an integer
+   quota, and works alone from here.  Rows that repeat id and text are counted first and
+   dealt as runs of at most ``RUN_ROWS``; documents without words take none and are not dealt.
 3. In a shard, documents stand in a seeded order; their words, end to end, are
    cut into blocks.  With a quota of q out of n blocks, every block is taken q // n
    times, and q % n of them once more: block j if floor((j + 1) r / n + u) exceeds
@@ -24,7 +26,7 @@ are ranked, O(n) rows in all.  Ties go to the source that comes first.
 
 Defined cases: a null text has no words; documents without words take none; null
 source is a source, last in order; rows that repeat id and text are separate
-documents; an empty table gives an empty mix.  The per-source table (one row a
+documents, each with words of its own; an empty table gives an empty mix.  The per-source table (one row a
 source) is ordered in one task; documents never are.
 """
 
@@ -44,6 +46,9 @@ BLOCK_WORDS = 64
 #: Blocks are made smaller where a mean source would have fewer than so many.
 LEAST_BLOCKS = 2000
 SHARD_WORDS = 4_000_000
+SHARD_ROWS = 8192
+#: Rows equal in id and text stand in line in runs of at most so many.
+RUN_ROWS = 1024
 SEED = 5
 
 
@@ -113,20 +118,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), F.col(text_col)).alias("h")), "sizes")
-    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    lines = write_and_read(sized.where("size > 0").groupBy("source", "id", "h", "size").agg(F.count("*").alias("copies")), "lines")
+    per_source = (lines.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("rows"))
+                  .unionByName(sized.where("size = 0").select("source").distinct().select(
+                      "source", F.lit(0).cast("long").alias("source_size"), F.lit(0).cast("long").alias("rows")))
+                  .groupBy("source").agg(F.sum("source_size").alias("source_size"), F.sum("rows").alias("rows")))
+    per_source = targets(per_source.select("source", "source_size")).join(per_source.select(F.col("source").alias("_s"), "rows"),
+                                                                          F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     whole = Window.partitionBy()
     total = F.sum("source_size").over(whole)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(total / (F.count("*").over(whole) * LEAST_BLOCKS)))).cast("long")
     per_source = (per_source.withColumn("block", block).withColumn("blocks", F.round(total / F.col("block")).cast("long")))
     per_source = sainte_lague(per_source, [], "target", "blocks", "place", "quota")
     per_source = write_and_read(per_source.withColumn(
-        "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("int")), "sources")
-
-    small = per_source.select(F.col("source").alias("_s"), "place", "shards")
-    dealt = (sized.join(small, F.col("source").eqNullSafe(F.col("_s")))
-             .withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 1), "h"), F.col("shards")).cast("int"))
-             .select("id", "size", "h", "place", "shard"))
-    shards = dealt.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"))
+        "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS)).cast("int")), "sources")
+
+    small = per_source.select(F.col("source").alias("_s"), "place", "shards", "source_size", "target")
+    runs = (lines.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN_ROWS))))
+            .withColumn("copies", F.least(F.lit(RUN_ROWS), F.col("copies") - F.col("run") * RUN_ROWS).cast("int")))
+    dealt = (runs.join(small, F.col("source").eqNullSafe(F.col("_s")))
+             .withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 1), "h", "run"), F.col("shards")).cast("int"))
+             .select("id", "size", "h", "run", "copies", "place", "shard"))
+    shards = dealt.groupBy("place", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"))
     shards = sainte_lague(shards.join(per_source.select("place", "source_size", "target", "block", "quota"), "place"),
                           ["place"], "shard_size", "quota", "shard", "shard_quota")
     n = F.ceil(F.col("shard_size") / F.col("block")).cast("long")
@@ -138,8 +151,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
               .select(F.col("place").alias("_p"), F.col("shard").alias("_sh"), "source_size", "target", "block", "n", "full", "r", "u"))
     shards = write_and_read(shards, "shards")
 
-    line = Window.partitionBy("place", "shard").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (dealt.withColumn("to", F.sum("size").over(line))
+    line = Window.partitionBy("place", "shard").orderBy("h", "id", "size", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (dealt.withColumn("to", F.sum(F.col("size") * F.col("copies")).over(line))
+              .withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("to") - k * F.col("size"))))
               .join(shards, (F.col("place") == F.col("_p")) & (F.col("shard") == F.col("_sh"))))
 
     def picked(j: Column) -> Column:
@@ -152,8 +166,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return picked(j) * F.col("block") + (x - j * F.col("block")) * (picked(j + 1) - picked(j))
 
     to = F.col("to")
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                         (F.col("full") * F.col("size") + words(to) - words(to - F.col("size"))).cast("long").alias("taken"))
+    taken = (F.col("full") * F.col("size") + words(to) - words(to - F.col("size"))).cast("long")
+    none = sized.where("size = 0").join(small, F.col("source").eqNullSafe(F.col("_s")))
+    return (placed.select("id", "size", "source_size", "target", taken.alias("taken"))
+            .unionByName(none.select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+            .withColumnRenamed("id", id_col))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,26 @@ def test_shards_share_a_source(spark, monkeypatch):
         assert abs(taken[s] - target[s]) < 0.01 * target[s]
 
 
+def test_repeated_and_empty_rows_are_split(spark, monkeypatch):
+    """A third of all rows repeats one id and text, another third is empty: each row once, runs and shards are many."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 7)
+    rows = [(7, sentence(1, 33), "en", "a")] * 150 + [(i, " ", "en", "a") for i in range(100, 250)] + [
+        (i, sentence(i, 5 + i % 40), "en", "ab"[i % 2]) for i in range(300, 420)]
+    got = mixing.mix(documents(spark, rows).repartition(5)).collect()
+    assert collections.Counter(x["doc_id"] for x in got) == collections.Counter(r[0] for r in rows)
+    assert all(x["taken"] <= 3 * x["size"] for x in got) and all(x["taken"] == 0 for x in got if x["size"] == 0)
+    size, source = {r[0]: words_of(r[1]) for r in rows}, {r[0]: r[3] for r in rows}
+    assert all(x["size"] == size[x["doc_id"]] for x in got)
+    taken, target = collections.Counter(), {}
+    for x in got:
+        taken[source[x["doc_id"]]] += x["taken"]
+        target[source[x["doc_id"]]] = x["target"]
+    for s in target:
+        assert abs(taken[s] - target[s]) < 0.01 * target[s]
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(documents(spark, rows[::-1])).collect()))
+
+
 def test_no_python_runs_in_the_mix(spark):
     plan = mixing.mix(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
