@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shiftspark.llm import text as T
 from shiftspark.llm.common import map_batches, read_table
@@ -139,10 +140,14 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemIndex]
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``id_col``, ``item_id``, containment of every document that holds an item."""
+    """``id_col``, ``item_id``, containment of every document that holds an item.
+
+    A document is a row: rows that repeat an id are judged apart, each by its own text.
+    """
     spark = docs.sparkSession
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = f"id {kinds[0]}, item {kinds[1]}, containment double"
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out: DataFrame | None = None
     for index in _blocks(items, item_id, item_text):
@@ -158,7 +163,6 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                          pa.array([ix.ids[x] for x in i]).cast(item_type), pa.array(c, pa.float64())],
                         names=["id", "item", "containment"])
 
-        item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
         part = map_batches(rows, run, schema)
         out = part if out is None else out.union(part)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "containment")

@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, params: FMParams =
     # Sorted by content, so that the fit does not depend on partitioning.
     table = map_batches(rows, terms_of, "id string, y int, terms array<int>").toArrow()
     got = sorted(zip(table.column("id").to_pylist(), table.column("y").to_pylist(), lists_of(table, "terms"), strict=True),
-                 key=lambda r: (r[0], r[1], len(r[2])))
+                 key=lambda r: (r[0], r[1], r[2].tobytes()))
     y = np.array([r[1] for r in got], float)
     n = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([total.get(int(c), 1) / n[int(c)] for c in y])

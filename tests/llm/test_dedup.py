@@ -1,5 +1,7 @@
 """Exact dedup, near-duplicate classes, repeated passages, decontamination."""
 
+import datetime
+import decimal
 import collections
 import hashlib
 import random
@@ -421,6 +423,17 @@ def test_search_equals_brute_force(spark, benchmark_items):
     assert decontaminate.search(empty_documents(spark), items).count() == 0
 
 
+def test_ids_of_any_type_and_rows_that_repeat_an_id(spark):
+    item = sentence(3, 20)
+    words = item.split()
+    docs = documents(spark, [(1, item, "en", "a"), (1, item, "en", "a"), (2, " ".join(words[:12]), "en", "a"), (2, " ".join(words[8:]), "en", "a")])
+    for kind, value in (("smallint", 7), ("date", datetime.date(2024, 1, 2)), ("decimal(9,2)", decimal.Decimal("7.25")), ("string", "x")):
+        items = spark.createDataFrame([(value, item)], f"item_id {kind}, text string")
+        got = decontaminate.search(docs, items)
+        assert dict(got.dtypes)["item_id"] == kind
+        assert [(r.doc_id, r.item_id, r.containment) for r in got.collect()] == [(1, value, 1.0)] * 2
+
+
 def test_blocks_of_items_find_the_same(spark, benchmark_items, monkeypatch):
     docs = documents(spark, [(k, t, "en", "s") for k, t in benchmark_items])
     items = spark.createDataFrame(benchmark_items, "item_id long, text string")
