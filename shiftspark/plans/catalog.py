@@ -532,15 +532,34 @@ def q_session_rejects(spark, sf):
     return quality.session_rejects(Fixtures(spark, sf).sessions())
 
 
-@register("log_retention", W(f"""
+_RETENTION_SQL = W(f"""
 SELECT * FROM security_logs
 WHERE (SELECT count(*) FROM security_logs) <= {FIXTURE_LOG_ROWS}
-   OR created_at >= {O.NOW} - INTERVAL {FIXTURE_LOG_DAYS} DAY""", "security_logs"))
+   OR created_at >= {O.NOW} - INTERVAL {FIXTURE_LOG_DAYS} DAY""", "security_logs")
+
+
+@register("log_retention", _RETENTION_SQL)
 def q_log_retention(spark, sf):
     fx = Fixtures(spark, sf)
     return quality.log_retention(fx.security_logs(), fx.now(), FIXTURE_LOG_DAYS, FIXTURE_LOG_ROWS)
 
 
+# The clean-up runs a quarter of a day after midnight, so that it parts its border's day.
+FIXTURE_CLEAN_HOURS = 6
+
+
+@register("log_retention_by_day", _RETENTION_SQL.replace(O.NOW, f"{O.NOW} + INTERVAL {FIXTURE_CLEAN_HOURS} HOUR"))
+def q_log_retention_by_day(spark, sf):
+    """S7 + P16: the log appended in two batches, stored by day, then cleaned up in place."""
+    from shiftspark.sources import audit_store
+    fx = Fixtures(spark, sf)
+    logs, path = fx.security_logs(), scratch_dir(spark, "audit-log")
+    for warned in (F.col("severity") == "WARNING", F.col("severity") != "WARNING"):
+        audit_store.append_by_day(logs.where(warned), path)
+    audit_store.clean_by_day(spark, path, fx.now() + F.expr(f"INTERVAL {FIXTURE_CLEAN_HOURS} HOURS"), FIXTURE_LOG_DAYS, FIXTURE_LOG_ROWS)
+    return audit_store.read_by_day(spark, path).drop(audit_store.DAY)
+
+
 @register("dataset_profile", W("""
 SELECT count(*) AS data_points, count(DISTINCT id) AS entities,
        count(*) <= 100000 AS within_max_data_points,

@@ -113,12 +113,16 @@ AUDIT_SCHEMA = T.StructType([
 ])
 
 
-def append_audit_events(events: DataFrame, path: str) -> None:
-    """Append a batch of audit rows (any number) to the log table.  A row
-    without an id gets a random one, so that rows of one instant have an order."""
+def audit_rows(events: DataFrame) -> DataFrame:
+    """``events`` with the log's columns.  A row without an id gets a random one, so
+    that rows of one instant have an order."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields]
-    given = events.select(*cols)
-    given.withColumn("id", F.coalesce("id", F.xxhash64(F.expr("uuid()")))).write.mode("append").parquet(path)
+    return events.select(*cols).withColumn("id", F.coalesce("id", F.xxhash64(F.expr("uuid()"))))
+
+
+def append_audit_events(events: DataFrame, path: str) -> None:
+    """Append a batch of audit rows (any number) to the log table."""
+    audit_rows(events).write.mode("append").parquet(path)
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
