@@ -77,13 +77,18 @@ def prepare_training(train: DataFrame, partitions: int) -> DataFrame:
             .select(*cols))
 
 
+def feature_vector() -> VectorAssembler:
+    """The features as one vector, in their fixed order."""
+    return VectorAssembler(inputCols=K.FEATURES, outputCol="features")
+
+
 def fit_models(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
     """M3 + M4: one pipeline = feature vector + start forest + end forest."""
     from shiftspark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
     partitions, bins = fit_layout(train, p)
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=K.FEATURES, outputCol="features"),
+        feature_vector(),
         _forest(K.START, "pred_start", p, bins),
         _forest(K.END, "pred_end", p, bins),
     ])

@@ -728,6 +728,7 @@ def q_quota_compliance(spark, sf):
 def _register_all() -> None:
     """Queries of other modules register themselves on import."""
     import shiftspark.plans.forest_queries
+    import shiftspark.plans.order_queries
     import shiftspark.plans.ordered_queries
     import shiftspark.streaming.late
     import shiftspark.streaming.live_sessions
