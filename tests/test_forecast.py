@@ -133,3 +133,22 @@ def test_prediction_mask(spark):
     got = [tuple(r) for r in df.select(s, e).collect()]
     assert got == [("08:00", "17:01"), ("NA", "NA"), ("NA", "NA"), ("NA", "NA"), ("NA", "NA"),
                    ("NA", "NA")]
+
+
+def test_many_requested_days_are_not_broadcast(spark):
+    """Few rows of requests are many days: the plan goes by the days, and both ways give the same rows."""
+    sched = spark.createDataFrame([(str(i), dt.date(2024, 1, 1 + d), 480.0 + i, 960.0 + d) for i in range(40) for d in range(0, 28, 3)],
+                                  "id string, date date, start_time_by_minutes double, end_time_by_minutes double")
+    index = FE.id_index(sched)
+    many = spark.range(1700).select(F.col("id").cast("string").alias("id"), F.lit("15/01/2024").alias("target_date"), F.lit(31).alias("window_size"))
+
+    def plan(requests):
+        return FC.forecast_history(requests, sched, index)._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin [id" not in plan(many) and "BroadcastHashJoin [id" in plan(many.limit(50))
+    rows = FC.forecast_history(many, sched, index)
+    known = many.where("CAST(id AS INT) < 40")
+    assert rows.count() == 40 * 31 and rows.where("historical").count() == sched.count()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, FC.forecast_history(known, sched, index).collect()))
+    no_days = many.withColumn("target_date", F.lit(None).cast("string"))
+    assert FC.forecast_history(no_days, sched, index).count() == 0
