@@ -52,3 +52,20 @@ def test_usage_scans_the_log_once(spark):
     """Duplicate-training detection reads a written slice of training rows, not the log."""
     p = plan(spark, "usage_by_window")
     assert p.count("events.parquet") == 1
+
+
+def test_ordered_forecast_of_many_days_is_not_broadcast(spark):
+    """Places of a forecast whose requests are few rows but many days."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from shiftspark.operators import features, forecast
+    from shiftspark.operators.places import with_place
+    sched = spark.createDataFrame([(str(i), dt.date(2024, 1, 2), 480.0, 960.0) for i in range(5)],
+                                  "id string, date date, start_time_by_minutes double, end_time_by_minutes double")
+    requests = spark.range(1700).select(F.col("id").cast("string").alias("id"), F.lit("15/01/2024").alias("target_date"), F.lit(31).alias("window_size"))
+    ordered = forecast.ordered(forecast.forecast_history(requests, sched, features.id_index(sched)))
+    assert "BroadcastHashJoin [id" not in ordered._jdf.queryExecution().executedPlan().toString()
+    assert [(r.place, r.id, r.day.day) for r in with_place(ordered).where("historical").orderBy("place").collect()] == [
+        (31 * i + 3, str(i), 2) for i in range(5)]
