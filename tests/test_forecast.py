@@ -152,3 +152,19 @@ def test_many_requested_days_are_not_broadcast(spark):
     assert sorted(map(str, rows.collect())) == sorted(map(str, FC.forecast_history(known, sched, index).collect()))
     no_days = many.withColumn("target_date", F.lit(None).cast("string"))
     assert FC.forecast_history(no_days, sched, index).count() == 0
+
+
+def frame_plans(monkeypatch):
+    """Plans of the frames that a forecast writes."""
+    plans, write = [], FC.write_and_read
+    monkeypatch.setattr(FC, "write_and_read", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    return plans
+
+
+def test_model_forecast_of_many_days_is_not_broadcast(spark, trained, monkeypatch):
+    fx, sched, index, fitted = trained
+    plans = frame_plans(monkeypatch)
+    requests = spark.range(1700).select(F.col("id").cast("string").alias("id"), F.lit("25/01/2024").alias("target_date"), F.lit(31).alias("window_size"))
+    out = FC.forecast(requests, sched, fitted, index)
+    assert "BroadcastHashJoin [id" not in plans[0]
+    assert out.count() == 31 * index.where("CAST(id AS INT) < 1700").count()
