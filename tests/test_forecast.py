@@ -168,3 +168,12 @@ def test_model_forecast_of_many_days_is_not_broadcast(spark, trained, monkeypatc
     out = FC.forecast(requests, sched, fitted, index)
     assert "BroadcastHashJoin [id" not in plans[0]
     assert out.count() == 31 * index.where("CAST(id AS INT) < 1700").count()
+
+
+def test_single_days_of_many_requests_are_not_broadcast(spark, trained, monkeypatch):
+    fx, sched, index, fitted = trained
+    plans = frame_plans(monkeypatch)
+    requests = spark.range(FC.FEW_DAYS + 1).select(F.col("id").cast("string").alias("id"), F.lit("25/01/2024").alias("target_date"), F.lit(31).alias("window_size"))
+    out = FC.forecast_single_day(requests, sched, fitted, index)
+    assert "BroadcastHashJoin [id" not in plans[0]
+    assert out.count() == index.count()
