@@ -76,6 +76,7 @@ def run_usage(logs: DataFrame, store: UsageStore, checkpoint_location: str) -> N
 
 
 FILES = 24
+ROW_GROUP_BYTES = 4 * 1024 * 1024
 _SLOT_S = 30 * 24 * 3600 // FILES
 
 
@@ -87,13 +88,14 @@ def arrival_file(ts: str = "ts", ident: str = "event_id") -> Column:
 
 
 def in_files(df: DataFrame, file: Column, name: str) -> str:
-    """``df`` as ``FILES`` files by ``file``, written one after the other: the order in which a stream reads them."""
+    """``df`` as ``FILES`` files by ``file``, written one after the other: the order in which a stream reads them.
+    Each has many row groups, so that several tasks read a large one."""
     spark = df.sparkSession
     base = scratch_dir(spark, name)
     df.withColumn("_file", file).repartition(FILES, "_file").write.partitionBy("_file").parquet(f"{base}/dealt")
     dealt = spark.read.parquet(f"{base}/dealt")
     for k in range(FILES):
-        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{base}/arrived")
     return f"{base}/arrived"
 
 

@@ -11,7 +11,7 @@ without a session costs its own row for the length of the delay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark import constants as K
@@ -22,6 +22,8 @@ from shiftspark.streaming import late
 from shiftspark.streaming import usage  # noqa: F401  (its queries' SQL)
 
 DELAY = "30 days"
+#: Rows of both streams for each state partition, where they are more than the cores need.
+STATE_ROWS = 2_000_000
 
 
 def ip_changes(logs: DataFrame, opened: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -51,9 +53,16 @@ def _session_file(first: str = "2017-01-01 00:00:00", days: int = 2600) -> Colum
     return F.least(F.greatest(slot, F.lit(0)), F.lit(late.FILES - 1)).cast("int")
 
 
+def state_partitions(spark: SparkSession, rows: int) -> int:
+    """State partitions of a join that sees ``rows`` rows: one a core, and more as the rows grow."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+
+
 @register("stream_ip_changes_live", REGISTRY["stream_ip_changes"].sql)
 def q_stream_ip_changes_live(spark, sf):
     """24 files each of sessions and of the log, a fifth of whose events comes out of time order."""
-    opened = late.stream_of(spark, late.in_files(read_table(spark, sf, "orders"), _session_file(), "live-orders"))
-    logs = late.stream_of(spark, late.in_files(read_table(spark, sf, "events"), late.arrival_file(), "live-events"))
-    return usage.run_to_table(ip_changes(security_logs(logs), sessions(opened)), "ip-changes-live")
+    orders, events = read_table(spark, sf, "orders"), read_table(spark, sf, "events")
+    opened = late.stream_of(spark, late.in_files(orders, _session_file(), "live-orders"))
+    logs = late.stream_of(spark, late.in_files(events, late.arrival_file(), "live-events"))
+    return usage.run_to_table(ip_changes(security_logs(logs), sessions(opened)), "ip-changes-live",
+                              state_partitions=state_partitions(spark, orders.count() + events.count()))

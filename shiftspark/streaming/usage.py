@@ -82,13 +82,25 @@ def usage_stream(logs: DataFrame, window: str = "1 hour", request_limit: int | N
     return out
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a streaming query until the available input is consumed; read its sink."""
+def run_to_table(df: DataFrame, name: str, output_mode: str = "append", state_partitions: int | None = None) -> DataFrame:
+    """Run a streaming query until the available input is consumed; read its sink.
+
+    Every micro-batch opens and commits the stores of every state partition, even of those that
+    get no row; ``state_partitions`` sets their number (else the session's shuffle partitions).
+    """
     spark = df.sparkSession
     base = scratch_dir(spark, f"stream-{name}")
-    query = (df.writeStream.format("parquet").outputMode(output_mode)
-             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-             .trigger(availableNow=True).start())
+    writer = (df.writeStream.format("parquet").outputMode(output_mode)
+              .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+              .trigger(availableNow=True))
+    conf = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    try:
+        # A query takes the session's settings as they are when it starts.
+        spark.conf.set(conf, state_partitions or before)
+        query = writer.start()
+    finally:
+        spark.conf.set(conf, before)
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 

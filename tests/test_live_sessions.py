@@ -4,7 +4,7 @@ import datetime as dt
 
 from shiftspark import constants as K
 from shiftspark.streaming import late, usage
-from shiftspark.streaming.live_sessions import ip_changes
+from shiftspark.streaming.live_sessions import STATE_ROWS, ip_changes, state_partitions
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -44,3 +44,20 @@ def test_state_of_ended_sessions_is_dropped(spark, tmp_dir):
     q.awaitTermination()
     held = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
     assert spark.read.parquet(f"{tmp_dir}/out").count() == 8 and held[-1] < 8
+
+
+def test_state_partitions_go_by_rows_not_by_the_session(spark, tmp_dir):
+    """Each batch commits the stores of every state partition: the session's 200 cost more than the rows."""
+    import glob
+
+    opened = write(spark, f"{tmp_dir}/s", "session_id string, ip_address string, created_at timestamp_ntz, expires_at timestamp_ntz",
+                   [[("a", "1", T0, T0 + dt.timedelta(days=9))]])
+    logs = write(spark, f"{tmp_dir}/l", "id long, session_id string, ip_address string, event_type string, created_at timestamp_ntz",
+                 [[(1, "a", "2", K.EVENT_SESSION_ACCESSED, T0 + dt.timedelta(days=1))]])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = usage.run_to_table(ip_changes(logs, opened), "t-parts", state_partitions=3)
+    assert out.count() == 1 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    base = out.inputFiles()[0].removeprefix("file://").rsplit("/out/", 1)[0]
+    assert sorted(d.rsplit("/", 1)[1] for d in glob.glob(f"{base}/checkpoint/state/0/[0-9]*")) == ["0", "1", "2"]
+    cores = spark.sparkContext.defaultParallelism
+    assert state_partitions(spark, 5) == cores and state_partitions(spark, 1000 * STATE_ROWS + 1) == max(cores, 1001)
