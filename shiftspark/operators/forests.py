@@ -42,6 +42,8 @@ DATASET = "dataset_id"
 DRAW_KEYS = [K.ID, K.DATE, K.START, K.END]
 TARGETS = {"start": K.START, "end": K.END}
 NODE = [DATASET, "target", "tree", "node"]
+#: Bits of a node's number and of a feature's value (none is negative) where they share a long with others.
+NODE_BITS, VALUE_BITS = 40, 32
 #: Leaf values are whole millionths of a minute, so means over trees are exact too.
 MICRO = 1_000_000
 #: A draw of 32 bits counts once for each of these that it reaches: P(count <= k) of Poisson(1).
@@ -62,11 +64,15 @@ def _features() -> Column:
 def draw(train: DataFrame, p: ForestsParams) -> DataFrame:
     """Every row once for each tree that draws it, with its count ``w``."""
     text = [F.col(c).cast("long" if c in TARGETS.values() else "string").cast("string") for c in DRAW_KEYS]
-    rows = train.select("*", F.explode(F.sequence(F.lit(0), F.lit(p.num_trees - 1))).alias("tree"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("tree").cast("string"), *text).cast("binary"))
-    rows = rows.withColumn("_u", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
-    count = reduce(lambda a, b: a + b, [(F.col("_u") >= t).cast("long") for t in POISSON_STEPS])
-    return rows.withColumn("w", count).where("w > 0").drop("_u")
+
+    def drawn(tree: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(p.seed)), tree.cast("string"), *text).cast("binary"))
+        return F.struct(tree.alias("tree"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("u"))
+
+    # The digest is part of what is exploded, so it is taken once a tree, not for each step that it is held against.
+    rows = train.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.num_trees - 1)), drawn)).alias("_d"))
+    count = reduce(lambda a, b: a + b, [(F.col("_d.u") >= t).cast("long") for t in POISSON_STEPS])
+    return rows.select(*train.columns, "_d.tree", count.alias("w")).where("w > 0")
 
 
 def node_splits(rows: DataFrame, may_split: bool) -> DataFrame:
@@ -75,20 +81,38 @@ def node_splits(rows: DataFrame, may_split: bool) -> DataFrame:
     ``feature`` and ``threshold`` are null for a leaf: pure, or at the last level.  Rows
     whose value is at most the threshold, halfway between two values, go left.
     """
-    cells = (rows.select(*NODE, "w", "y", F.posexplode("x").alias("f", "v"))
-             .groupBy(*NODE, "f", "v")
-             .agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"), F.min("y").alias("lo"), F.max("y").alias("hi")))
-    of = Window.partitionBy(*NODE, "f")
+    sums = [F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s")]
+    if not may_split:
+        # Nothing is looked for among the values, so there are no cells to shuffle.
+        return rows.groupBy(*NODE).agg(*sums).select(
+            *NODE, "n", F.expr(f"(s * {MICRO}L) div n").alias("value"),
+            F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold"))
+    # Labels are the same for each feature: the last one's cells, of few values, carry their bounds.
+    label = F.when(F.col("f") == len(K.FEATURES) - 1, F.col("y"))
+    # Cells are many: target, tree and node go through the shuffles as one number, feature and value as another.
+    target = F.array_position(F.array(*map(F.lit, TARGETS)), F.col("target")) - 1
+    spot = F.shiftleft(F.col("tree") * F.lit(len(TARGETS)).cast("long") + target, NODE_BITS) + F.col("node")
+    cells = (rows.select(DATASET, spot.alias("spot"), "w", "y", F.posexplode("x").alias("f", "v"))
+             .groupBy(DATASET, "spot", (F.shiftleft(F.col("f").cast("long"), VALUE_BITS) + F.col("v")).alias("fv"))
+             .agg(*sums, F.min(label).alias("lo"), F.max(label).alias("hi")))
+    f = F.shiftright("fv", VALUE_BITS).cast("int")
+    cells = cells.select(DATASET, "spot", f.alias("f"), (F.col("fv") - F.shiftleft(f.cast("long"), VALUE_BITS)).cast("int").alias("v"),
+                         "n", "s", "lo", "hi")
+    of = Window.partitionBy(DATASET, "spot", "f")
     line = of.orderBy("v")
     so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = cells.select(*NODE, "f", "v", "lo", "hi", F.sum("n").over(of).alias("n"), F.sum("s").over(of).alias("s"),
+    cuts = cells.select(DATASET, "spot", "f", "v", "lo", "hi", F.sum("n").over(of).alias("n"), F.sum("s").over(of).alias("s"),
                         F.sum("n").over(so_far).alias("nl"), F.sum("s").over(so_far).alias("sl"), F.lead("v").over(line).alias("next"))
     left, right = F.col("sl").cast("double"), (F.col("s") - F.col("sl")).cast("double")
     score = left * left / F.col("nl") + right * right / (F.col("n") - F.col("nl"))
     cut = F.struct(score.alias("score"), (-F.col("f")).alias("f"), (-(F.col("v") + F.col("next")) / 2.0).alias("t"))
-    best = (cuts.groupBy(*NODE).agg(F.max("n").alias("n"), F.max("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                    F.max(F.when(F.col("next").isNotNull(), cut)).alias("best")))
-    splits = F.lit(may_split) & (F.col("lo") < F.col("hi")) & F.col("best").isNotNull()
+    best = (cuts.groupBy(DATASET, "spot").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                              F.max(F.when(F.col("next").isNotNull(), cut)).alias("best")))
+    tree = F.shiftright("spot", NODE_BITS)
+    best = best.select("*", F.get(F.array(*map(F.lit, TARGETS)), (tree % len(TARGETS)).cast("int")).alias("target"),
+                       F.floor(tree / len(TARGETS)).cast("int").alias("tree"),
+                       F.col("spot").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("node"))
+    splits = (F.col("lo") < F.col("hi")) & F.col("best").isNotNull()
     return best.select(*NODE, "n", F.expr(f"(s * {MICRO}L) div n").alias("value"),
                        F.when(splits, -F.col("best.f")).alias("feature"), F.when(splits, -F.col("best.t")).alias("threshold"))
 
@@ -107,8 +131,10 @@ def fit_forests(train: DataFrame, p: ForestsParams = ForestsParams()) -> DataFra
     ``train``: ``dataset_id``, id, date, the features, start and end minutes.  Node 1 is the
     root, node k has the children 2k and 2k + 1.
     """
-    whole = train.dropna(subset=[DATASET, *DRAW_KEYS])
-    drawn = draw(whole.select(DATASET, *DRAW_KEYS, _features().alias("x")), p)
+    whole = train.dropna(subset=[DATASET, *DRAW_KEYS]).select(DATASET, *DRAW_KEYS, _features().alias("x"))
+    # An id's rows lie together, and stay so from level to level: most cells of its code are
+    # whole before they are shuffled.  A hot id is split.
+    drawn = draw(whole.hint("rebalance", DATASET, K.ID), p)
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(c).cast("long").alias("y")) for t, c in TARGETS.items()]))
     rows = (drawn.select(DATASET, "tree", "w", "x", each.alias("_t"))
             .select(DATASET, "_t.target", "tree", F.lit(1).cast("long").alias("node"), "w", "x", "_t.y"))

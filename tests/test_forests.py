@@ -91,6 +91,43 @@ def test_partitions_and_extra_columns_change_nothing(spark):
     assert sorted(map(str, FO.fit_forests(a, p).collect())) == sorted(map(str, FO.fit_forests(b, p).collect()))
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_last_level_has_no_cells(spark):
+    """Its rows are summed by node; only levels that may split look at every value."""
+    rows = spark.createDataFrame([("d", "start", 0, 1, 2, [1, 2, 3, 4, 5, 6], 480), ("d", "start", 0, 1, 1, [2, 2, 3, 4, 5, 6], 600), ("d", "end", 1, 3, 1, [0] * 6, 7)],
+                                 "dataset_id string, target string, tree int, node long, w long, x array<int>, y long")
+    last, split = FO.node_splits(rows, False), FO.node_splits(rows, True)
+    assert "Window" not in executed(last) and "Generate" not in executed(last) and "Window" in executed(split)
+    assert last.dtypes == split.dtypes
+    assert sorted(map(tuple, last.collect())) == [("d", "end", 1, 3, 1, 7 * FO.MICRO, None, None), ("d", "start", 0, 1, 3, 520 * FO.MICRO, None, None)]
+    assert sorted(map(tuple, split.collect())) == [("d", "end", 1, 3, 1, 7 * FO.MICRO, None, None), ("d", "start", 0, 1, 3, 520 * FO.MICRO, 0, 1.5)]
+
+
+def test_a_draw_takes_one_digest_a_tree(spark):
+    _, _, train = fitted(spark, sample(20))
+    drawn = FO.draw(train.select(FO.DATASET, *FO.DRAW_KEYS), P)
+    optimized = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("md5(") == 1
+
+
+def test_rows_of_an_id_are_written_together(spark, monkeypatch):
+    """However the training rows lie: so most of a node's cells of the id's code are whole before a shuffle."""
+    written = {}
+
+    def keep(df, name):
+        written.setdefault(name, executed(df))
+        return FO_write(df, name)
+
+    FO_write = FO.write_and_read
+    _, _, train = fitted(spark, sample(40), parts=5)
+    monkeypatch.setattr(FO, "write_and_read", keep)
+    FO.fit_forests(train, FO.ForestsParams(num_trees=1, max_depth=1))
+    assert "REBALANCE_PARTITIONS_BY_COL" in written["forest-rows"]
+
+
 def test_empty_history_has_no_nodes_and_no_predictions(spark):
     _, index, train = fitted(spark, sample())
     nodes = FO.fit_forests(train.limit(0), P)
