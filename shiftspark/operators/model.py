@@ -32,25 +32,27 @@ class ForestParams:
     # max(366, entities): every day of the year and every entity code has a bin
     # of its own, so any value can be a split.  Statistics of a node take
     # 6 features x bins x 3 doubles; ``max_memory_mb`` says how many nodes a pass holds.
+    # Every task of a pass holds that much, and as much again while it is shuffled; more
+    # passes of fewer nodes give the same forest.
     max_bins: int | None = None
-    max_memory_mb: int = 1024
+    max_memory_mb: int = 256
     # The layout before the fit depends on the rows alone, so the same data and
     # seed give the same forest on any cluster: one partition per
     # ``fit_rows_per_partition`` rows, at least ``fit_least_partitions``.
     fit_rows_per_partition: int = 500_000
     fit_least_partitions: int = 8
-    checkpoint_interval: int = 10
 
 
 def _forest(label: str, prediction: str, p: ForestParams, bins: int) -> RandomForestRegressor:
     # All features considered at every split and one bootstrap sample of the
     # full size per tree: the configuration of the forests being reproduced.
+    # A pass sends the trees that it grows with its tasks.  Node ids, once cached, would
+    # be 100 numbers a row, held and written anew after every pass.
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol=prediction,
         numTrees=p.num_trees, maxDepth=p.max_depth, seed=p.seed, maxBins=bins,
         featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
-        maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True,
-        checkpointInterval=p.checkpoint_interval)
+        maxMemoryInMB=p.max_memory_mb, cacheNodeIds=False)
 
 
 def fit_layout(train: DataFrame, p: ForestParams) -> tuple[int, int]:
@@ -84,8 +86,6 @@ def feature_vector() -> VectorAssembler:
 
 def fit_models(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
     """M3 + M4: one pipeline = feature vector + start forest + end forest."""
-    from shiftspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(train.sparkSession)
     partitions, bins = fit_layout(train, p)
     pipe = Pipeline(stages=[
         feature_vector(),

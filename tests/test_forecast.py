@@ -94,6 +94,17 @@ def test_beats_global_mean_on_weekday_pattern(spark):
     assert err[0] < err[1] / 5
 
 
+def test_memory_of_a_pass_is_bounded_and_gives_the_same_forest(spark, trained):
+    """A task holds a pass's statistics: 4 tasks of 256 MB and their shuffle fit an executor of 6 GB, 4 of 1 GB did not.
+    Node ids are not cached, so no pass writes 100 numbers a row.  Passes of a few nodes grow the same trees."""
+    fx, sched, index, fitted = trained
+    for forest in fitted.stages[1:]:
+        assert forest.getMaxMemoryInMB() <= 256 and not forest.getCacheNodeIds()
+    few = M.ForestParams(num_trees=SMALL_FOREST.num_trees, max_depth=SMALL_FOREST.max_depth, max_memory_mb=1)
+    again = M.fit_models(FE.training_frame(sched, index), few)
+    assert [f.toDebugString.split("\n", 1)[1] for f in again.stages[1:]] == [f.toDebugString.split("\n", 1)[1] for f in fitted.stages[1:]]
+
+
 def test_single_day(spark, trained):
     fx, sched, index, fitted = trained
     out = FC.forecast_single_day(fx.prediction_requests(), sched, fitted, index)
