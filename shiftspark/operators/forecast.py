@@ -63,15 +63,15 @@ def forecast_frame(requests: DataFrame, history: DataFrame, index: DataFrame) ->
     half = F.floor(F.col("window_size") / 2).cast("int")
     # Every requested day lies in [lo, hi]: history outside it is dropped before any
     # shuffle.  The figures come from the requests (no calendar explode), in one row.
-    lo, hi, days = r.where("target_date IS NOT NULL").agg(
-        F.min(F.date_sub("target_date", half)), F.max(F.date_add("target_date", half)),
-        F.sum(2 * half.cast("long") + 1)).first()
+    dated = r.where("target_date IS NOT NULL")
+    span = dated.agg(F.min(F.date_sub("target_date", half)).alias("lo"), F.max(F.date_add("target_date", half)).alias("hi"))
+    days = dated.agg(F.sum(2 * half.cast("long") + 1)).first()[0]
     join = "broadcast" if (days or 0) <= FEW_DAYS else "merge"
     # The ids' codes are joined to the requests, before these become days.
     cal = r.hint(join).join(index, K.ID).select(
         *REQUEST_COLS, *[c for c in index.columns if c != K.ID],
         F.explode(T.window_dates("target_date", "window_size")).alias(K.DATE))
-    hist = history.where(F.col(K.DATE).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    hist = history.where(F.col(K.DATE).between(span.select("lo").scalar(), span.select("hi").scalar()))
     hist = hist.join(cal.select(K.ID, K.DATE).hint(join), [K.ID, K.DATE], "left_semi")
     # One row per (id, date), so the left join below never multiplies rows:
     # the last in file order (A13), or without an order the largest pair.
