@@ -12,7 +12,9 @@ context and symbol, ``ORDER + 1`` bytes) is a 64-bit number, and shorter ones ar
 low bytes, so their counts are sums over it.  The table also lists the n-grams of
 urls without a rule, with count 0, and gets the probability of each under each
 model, order by order.  Urls then meet it by ``CHUNK`` of them: one row for each
-distinct n-gram of a chunk.  The threshold is calibrated out of sample: urls are
+distinct n-gram of a chunk.  Spark sizes these rows by the urls' file, a small part of
+them, so the joins say how they are done: tables of n-grams are merged, and only
+those of at most ``2**(8 * SENT)`` rows are broadcast.  The threshold is calibrated out of sample: urls are
 split in two by a hash of the url, each half is scored by the model of the other,
 and the threshold with the best mean of both classes' accuracies is taken, from a
 histogram of ``BINS`` bins.
@@ -43,6 +45,8 @@ ORDER = 5
 BINS = 2000
 #: Urls that look up their n-grams together; divides the 2**33 row numbers of a partition.
 CHUNK = 256
+#: N-grams of so many bytes, a row each at most, are broadcast.
+SENT = 2
 #: Scores are clipped to this many nats a character for the histogram.
 WIDEST = 8.0
 ALPHABET = 256
@@ -154,8 +158,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
             below = {m: F.lit(1.0 / ALPHABET) for m in _MODELS}
         else:
             shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
-            told = told.withColumn("shorter", shorter).join(
-                out.select(F.col("gram").alias("shorter"), *(F.col(f"p{h}{k}").alias(f"q{h}{k}") for h, k in _MODELS)), "shorter")
+            lower = out.select(F.col("gram").alias("shorter"), *(F.col(f"p{h}{k}").alias(f"q{h}{k}") for h, k in _MODELS))
+            told = told.withColumn("shorter", shorter).join(lower.hint("broadcast" if n <= SENT else "merge"), "shorter")
             below = {(h, k): F.col(f"q{h}{k}") for h, k in _MODELS}
         out = write_and_read(told.select("gram", *(
             F.when(F.col(f"t{h}{k}") > 0, (F.col(f"s{h}{k}") + F.col(f"k{h}{k}") * below[h, k]) / (F.col(f"t{h}{k}") + F.col(f"k{h}{k}")))
@@ -215,7 +219,7 @@ def _scored(rows: DataFrame, *carry: str) -> DataFrame:
         return own.select(["kept", *carry]).append_column("cross", pa.array(np.where(half == 0, by[1], by[0]))).append_column("score", pa.array(by[2]))
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("kept", *carry)) + ", cross double, score double"
-    looked = map_batches(rows.select("chunk", "url"), grams, "chunk long, gram long").join(ratio, "gram")
+    looked = map_batches(rows.select("chunk", "url"), grams, "chunk long, gram long").join(ratio.hint("merge"), "gram")
     return write_and_read(rows.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(score, schema), "url-scores")
 
 

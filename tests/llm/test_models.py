@@ -263,6 +263,23 @@ def test_one_sided_and_empty_url_tables(spark):
     assert url_filter.judge(pages_of(spark, ["x"]).limit(0), url_filter.RULES).count() == 0
 
 
+def test_ngrams_of_many_urls_are_not_broadcast(spark, monkeypatch):
+    """The urls' file is small, what they look up is not; only lists of 256 and 65,536 n-grams at most may be sent."""
+    plans, write = [], url_filter.write_and_read
+    monkeypatch.setattr(url_filter, "write_and_read", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    r = random.Random(9)
+    urls = [f"http://{r.choice(['a.org', 'b.com/de', 'c.net'])}/{r.randrange(10**9)}" for _ in range(1000)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert url_filter.judge(pages_of(spark, urls), url_filter.RULES).count() == len(urls)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scores, = (p for name, p in plans if name == "url-scores")
+    assert "SortMergeJoin [gram" in scores and "Broadcast" not in scores
+    assert ["BroadcastHashJoin" in p for name, p in plans if name == "url-probabilities"] == [False, True, True, False, False, False]
+
+
 # --- main text --------------------------------------------------------------------
 
 def test_sum_product_equals_enumeration():
